@@ -27,10 +27,11 @@ class WordMemo(dict):
         self.entries = entries
 
     def learn(self, words: Iterable) -> None:
-        new = set(words).difference(self)
+        words = set(words)
+        new = words.difference(self)
         if len(self) + len(new) > self.entries:
             self.clear()
-            new = set(words)
+            new = words
         if new:
             new = sorted(new)
             self.update(zip(new, self.encode(new), strict=True))
