@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.bpe import round_trip_digests
 from cadenza.llm.near_text import near_duplicates
+from cadenza.llm.near_vectors import near_duplicate_vectors
 from cadenza.llm.packing import pack
 from cadenza.llm.token_counts import count_tokens
 
@@ -20,6 +21,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
