@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.media import read_media, store_as_media
 from cadenza.llm.near_text import near_duplicates
 from cadenza.llm.near_vectors import near_duplicate_vectors
 from cadenza.llm.packing import pack
@@ -37,11 +39,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_as_media(table(spark, sf_dir, "documents"))
+    named = stored.select(F.struct("doc_id", "n_bytes").alias("doc"), "media")
+    return read_media(named, id_col="doc", with_tensors=False).select("doc.doc_id", "doc.n_bytes", *["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_media_columns": op10_media_columns,
 }
 ORACLES: dict[str, str] = {}
