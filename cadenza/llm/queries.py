@@ -13,6 +13,7 @@ from cadenza.llm.media import read_media, store_as_media
 from cadenza.llm.near_text import near_duplicates
 from cadenza.llm.near_vectors import near_duplicate_vectors
 from cadenza.llm.packing import pack
+from cadenza.llm.pages import extract_main_text
 from cadenza.llm.token_counts import count_tokens
 from cadenza.llm.toxicity import toxicity
 
@@ -29,6 +30,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_line_dedup": op7_line_dedup,
