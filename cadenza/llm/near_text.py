@@ -157,3 +157,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = placed.filter("not blank").join(least, "class").select("id", "component_id")
     alone = placed.filter("blank").select("id", F.col("id").alias("component_id"))
     return joined.union(alone).select(F.col("id").alias(id_col), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns; rows with the same id stay or go together."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold).filter("kept").select(F.col(id_col).alias("_kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

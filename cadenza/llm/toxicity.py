@@ -204,3 +204,19 @@ def toxicity(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = rows.mapInPandas(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), is_held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, with all their columns, as ``toxicity`` scores them."""
+    import pyarrow as pa
+
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([model.score(saved_bytes(t or "", model.ordinary, model.toxic)) < cut for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,58 @@
-"""A corpus pipeline out of the training-data operators."""
+"""A corpus pipeline out of the training-data operators: filter, deduplicate, pack.
+
+The stages work on a table with the columns of ``documents``; each gets all rows that the one before it kept, and what it
+decides takes effect: toxic documents go, recurring lines are cut out of the texts, of near-duplicate documents one stays,
+and what is left is packed. Clean documents go through every stage, also those whose text has become empty.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm.line_dedup import drop_recurring_lines
+from cadenza.llm.lineage import written
+from cadenza.llm.near_text import drop_near_duplicates
+from cadenza.llm.packing import pack
+from cadenza.llm.toxicity import drop_toxic
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the documents that the classifier doesn't reject."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: the documents without lines whose template an earlier document has."""
+    return drop_recurring_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one document of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the pieces of the documents and their places in sequences."""
+    return pack(docs, with_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
+
+#: Scores, weighted samples and tokens are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; between stages the rows are written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
