@@ -20,47 +20,27 @@ from cadenza.llm.candidates import blocks, by_unit, in_units, linked_groups, sha
 from cadenza.llm.components import components
 from cadenza.llm.lineage import written
 from cadenza.llm.shingles import CELLS, cells, idf, shingles, weighted_samples
+from cadenza.llm.totals import slices, summed
 
 THRESHOLD, BANDS, ROWS = 0.8, 7, 3
-_SLICE = 1 << 14
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with a shingle in each cell of the table, and the number of documents.
 
-    Every task counts into a table of its own, and the slices of these tables are summed by tasks that hold at most one
-    whole table; so the driver gets CELLS numbers, however many documents there are.
+    The driver gets CELLS numbers, however many documents there are.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(CELLS, np.int64), 0
+        total = np.zeros(CELLS + 1)  # the last number counts the documents
         for pdf in batches:
+            total[CELLS] += len(pdf)
             for text in pdf["text"]:
-                n += 1
-                at = np.unique(cells(shingles(text)[0]))
-                df[at] += 1
-        yield pd.DataFrame({"slice": [-1], "counts": [np.array([n], np.int64).tobytes()]})
-        for k in range(0, CELLS, _SLICE):
-            if df[k : k + _SLICE].any():
-                part = df[k : k + _SLICE]
-                yield pd.DataFrame({"slice": [k], "counts": [part.astype(np.int32 if part.max() < 1 << 31 else np.int64).tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for k, raw in zip(pdf["slice"].tolist(), pdf["counts"], strict=True):
-                part = np.frombuffer(raw, np.int64 if k < 0 or len(raw) == 8 * _SLICE else np.int32).astype(np.int64)
-                total[k] = total[k] + part if k in total else part
-        yield pd.DataFrame({"slice": list(total), "counts": [x.tobytes() for x in total.values()]})
-
-    df, n = np.zeros(CELLS, np.int64), 0
-    for row in texts.mapInPandas(count, "slice long, counts binary").repartition("slice").mapInPandas(add, "slice long, counts binary").collect():
-        part = np.frombuffer(row["counts"], np.int64)
-        if row["slice"] < 0:
-            n = int(part[0])
-        else:
-            df[row["slice"] : row["slice"] + _SLICE] = part
-    return df, n
+                total[np.unique(cells(shingles(text)[0]))] += 1
+        yield slices(total)
+
+    total = summed(texts.mapInPandas(count, "slice long, sums binary"), CELLS + 1)
+    return total[:CELLS], int(total[CELLS])
 
 
 def similarities(sets: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:

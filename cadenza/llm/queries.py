@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.hidden_markov import score
 from cadenza.llm.line_dedup import LINE_DEDUP_SQL, drop_recurring_lines
 from cadenza.llm.media import read_media, store_as_media
 from cadenza.llm.near_text import near_duplicates
@@ -30,6 +31,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_round_trip": op6_bpe_round_trip,
