@@ -1,10 +1,263 @@
-"""The queries over the driver's tables, and for each the SQL that gives the same rows."""
+"""The queries over the driver's tables; ``oracles`` has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cadenza.functions import expressions as fx
+from cadenza.operators import align, boundaries, classify, export, review, rules, runs, smooth
+from cadenza.oracles import ORACLES as ORACLES
+from cadenza.plans.fusion import Fusion
+from cadenza.sources import adapters
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def fusion(spark: SparkSession, sf_dir: str) -> Fusion:
+    return Fusion(
+        adapters.durations(spark, sf_dir),
+        adapters.audio(spark, sf_dir),
+        adapters.frames(spark, sf_dir),
+        adapters.text_features(spark, sf_dir),
+        adapters.vectors(spark, sf_dir),
+        adapters.PROSE,
+    )
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _segments(df: DataFrame) -> DataFrame:
+    rules_ = F.when(F.size("triggered_rules") > 0, F.array_join("triggered_rules", "|"))
+    return df.select("video_id", "segment_id", "start_sec", "end_sec", "label", "confidence", "visual_score", "audio_score", "text_score", rules_.alias("rules"), "summary")
+
+
+@query
+def grid_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = align.audio_grid(align.spine(adapters.durations(spark, sf_dir)), adapters.audio(spark, sf_dir))
+    out = grid.select("video_id", "t", "is_speech", "rms_energy", "spectral_centroid", "zero_crossing_rate", "is_music")
+    return _rounded(out, "rms_energy", "spectral_centroid", "zero_crossing_rate")
+
+
+@query
+def grid_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visual = adapters.frames(spark, sf_dir)
+    grid = align.visual_grid(align.spine(adapters.durations(spark, sf_dir)), visual)
+    each = grid.select("video_id", "t", F.posexplode("scene").alias("k", "prob"))
+    return each.join(align.scene_labels(visual), "video_id").select("video_id", "t", F.get("labels", "k").alias("label"), "prob")
+
+
+@query
+def grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(align.text_grid(align.spine(adapters.durations(spark, sf_dir)), adapters.text_features(spark, sf_dir)), "text_sim_to_next")
+
+
+@query
+def runs_dead_air(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.dead_air(fusion(spark, sf_dir).grid).select("video_id", "start_sec", "end_sec")
+
+
+@query
+def runs_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.holding_screen(fusion(spark, sf_dir).grid).select("video_id", "start_sec", "end_sec")
+
+
+@query
+def runs_ad_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return runs.runs(f.grid, F.col("is_speech") == 0, f.config.ad_run, f.config.ad_gap)
+
+
+@query
+def rule_keyword_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    every = rules.sponsor_keywords(f.grid, f.text).unionByName(rules.self_promo_keywords(f.grid, f.text)).unionByName(rules.recap_keywords(f.grid, f.text))
+    return every.drop("ord")
+
+
+@query
+def rule_intro_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return rules.intro_keyword(f.grid, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
+
+
+@query
+def rule_outro_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return rules.outro_keyword(f.grid, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
+
+
+@query
+def rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion(spark, sf_dir).hits
+
+
+@query
+def kl_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(boundaries.scene_shifts(fusion(spark, sf_dir).grid), "divergence")
+
+
+@query
+def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = fusion(spark, sf_dir).grid
+    kinds = [boundaries.flips(grid, f"is_{k}").withColumn("kind", F.lit(k)) for k in ("speech", "music")]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query
+def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.low_similarity(fusion(spark, sf_dir).grid)
+
+
+@query
+def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion(spark, sf_dir).candidates
+
+
+@query
+def boundaries_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion(spark, sf_dir).boundaries.select("video_id", F.explode("boundaries").alias("boundary"))
+
+
+QUERIES["boundaries"] = QUERIES.pop("boundaries_")
+
+
+@query
+def segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return classify.segment_means(f.grid, classify.segments(f.boundaries))
+
+
+@query
+def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    out = classify.rule_coverage(classify.segments(f.boundaries), f.hits)
+    return out.withColumn("rules", F.array_join("rules", "|"))
+
+
+@query
+def scene_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    best = classify.best_scene(classify.scene_means(f.grid, classify.segments(f.boundaries)), f.labels)
+    return _rounded(best, "prob").withColumn("label", fx.scene_label(F.col("scene")))
+
+
+@query
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(fusion(spark, sf_dir).classified)
+
+
+@query
+def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(smooth.merge_adjacent(fusion(spark, sf_dir).classified))
+
+
+@query
+def absorb_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(smooth.absorb_short(smooth.merge_adjacent(fusion(spark, sf_dir).classified)))
+
+
+@query
+def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = smooth.merge_adjacent(smooth.absorb_short(smooth.merge_adjacent(fusion(spark, sf_dir).classified)))
+    return _segments(smooth.bridge(merged))
+
+
+@query
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(fusion(spark, sf_dir).smoothed())
+
+
+@query
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return classify.longest_sentence(classify.segments(f.boundaries), f.text)
+
+
+@query
+def representative_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return export.representative_sentence(f.smoothed(), f.text, f.vectors, "segment_id", f.config.summary_chars)
+
+
+@query
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    return export.chapters(f.smoothed(), f.text, f.vectors)
+
+
+@query
+def skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = export.skip_list(fusion(spark, sf_dir).smoothed())
+    return listed.withColumn("skip_suggestions", F.array_join(F.col("skip_suggestions").cast("array<string>"), ","))
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.events(spark, sf_dir).select("video_id", (F.col("t") + 0.5).alias("now")).distinct()
+
+
+@query
+def next_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.next_segment(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed())
+
+
+@query
+def skip_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.skip_target(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed())
+
+
+@query
+def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = fusion(spark, sf_dir).smoothed().groupBy("video_id").agg(F.collect_list(F.struct("segment_id", "label", "user_corrected")).alias("s"))
+    edited = listed.select("video_id", F.explode(review.relabelled(F.col("s"), F.lit(1), F.lit("core_content"))).alias("s"))
+    return edited.select("video_id", "s.segment_id", "s.label", "s.user_corrected")
+
+
+@query
+def audio_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "events").select("event_id", fx.audio_class(F.col("value") / 1000, F.col("value") / 2000).alias("audio_class"))
+
+
+@query
+def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = F.col("matched_keywords")
+    return adapters.text_features(spark, sf_dir).select("video_id", "pos", F.when(F.size(matched) > 0, F.array_join(matched, "|")).alias("matched"))
+
+
+@query
+def similarity_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = adapters.text_features(spark, sf_dir)
+    return text.select("video_id", "pos", "similarity_to_next", F.coalesce(F.col("similarity_to_next") < 0.35, F.lit(False)).alias("is_potential_boundary"))
+
+
+@query
+def spectral_entropy_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x))
+    return adapters.table(spark, sf_dir, "embeddings").select("vec_id", F.round(fx.entropy(weights), 6).alias("entropy"))
+
+
+@query
+def black_frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = adapters.events(spark, sf_dir).groupBy("video_id", "t").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    return _rounded(stats.withColumn("is_black", (F.col("mean") < 10) & (F.col("variance") < 50)), "mean", "variance")
+
+
+@query
+def list_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = fusion(spark, sf_dir).smoothed().groupBy("video_id").agg(F.count("*").alias("n_segments"), F.max("end_sec").alias("duration_sec"))
+    return review.listed(adapters.sentences(spark, sf_dir).select("video_id").distinct(), documents)
+
+
+@query
+def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.missing(adapters.durations(spark, sf_dir).select("video_id"), adapters.sentences(spark, sf_dir))
