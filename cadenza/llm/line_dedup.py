@@ -22,7 +22,8 @@ VARIABLE = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    general = F.regexp_replace(F.trim(line), r"\S*\d\S*", VARIABLE)
+    trimmed = F.trim(line)
+    general = F.when(trimmed.rlike(r"\d"), F.regexp_replace(trimmed, r"\S*\d\S*", VARIABLE)).otherwise(trimmed)
     return F.split(F.lower(general), r"\s+")
 
 
@@ -40,10 +41,10 @@ def template_keys(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= LEAST_GENERALISED, halves).when(F.size(tokens) >= LEAST_TOKENS, F.array(key(0, tail)))
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` freed of recurring lines, and n_lines and n_dropped after all other columns.
 
-    A template recurs if lines of at least ``min_docs`` documents belong to it. It stays in the document of the least id
+    A template recurs if lines of two documents belong to it. It stays in the document of the least id
     that has it and is dropped from all others; lines that a single document repeats stay. Lines keep their order, whatever
     separates them but line feeds, and no other line changes. A null text stays null and counts no lines; a text that
     loses all lines becomes empty. Rows with a null id keep their text and count for no template. Rows that repeat an id
@@ -55,11 +56,13 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     lines = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(split).alias("line"))
     tokens = lines.select("id", F.xxhash64("line").alias("line"), _tokens(F.col("line")).alias("tokens"))
     keyed = tokens.select("id", "line", F.explode(template_keys(F.col("tokens"))).alias("key"))
-    seen = keyed.groupBy("key", "id").agg(F.collect_set("line").alias("lines"))
-    recurring = seen.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    seen = keyed.distinct()
+    # lines are counted, so that both uses of ``seen`` need it as it is and Spark computes it once
+    spread = seen.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    recurring = spread.filter((F.col("first") < F.col("last")) & (F.col("n") > 1)).select("key", "first")
     # for each document the lines that it has to drop: what it shares with a document of lower id
     shared = seen.join(recurring, "key").filter(F.col("id") > F.col("first"))
-    to_drop = shared.select(F.col("id").alias("_document"), F.explode("lines").alias("line")).groupBy("_document").agg(F.collect_set("line").alias("_dropping"))
+    to_drop = shared.groupBy(F.col("id").alias("_document")).agg(F.collect_set("line").alias("_dropping"))
     joined = rows.join(to_drop, F.col(id_col) == F.col("_document"), "left")
     staying = F.when(F.col("_dropping").isNull(), split).otherwise(F.filter(split, lambda line: ~F.array_contains("_dropping", F.xxhash64(line))))
     out = joined.withColumn("_staying", staying)
