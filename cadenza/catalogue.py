@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import expressions as fx
-from cadenza.operators import align, boundaries, classify, export, review, rules, runs, smooth
+from cadenza.functions import signals
+from cadenza.operators import align, boundaries, classify, export, planned, review, rules, runs, smooth
 from cadenza.oracles import ORACLES as ORACLES
 from cadenza.plans.fusion import Fusion
 from cadenza.sources import adapters
+from cadenza.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,3 +263,103 @@ def list_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.missing(adapters.durations(spark, sf_dir).select("video_id"), adapters.sentences(spark, sf_dir))
+
+
+@query
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion(spark, sf_dir)
+    info = f.durations.select(
+        "video_id", F.concat("video_id", F.lit(".mp4")).alias("filename"), "duration_sec", F.lit(30.0).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height")
+    )
+    m = F.col("metadata")
+    return f.documents(info).select(
+        "video_id",
+        m["video_info"]["filename"].alias("filename"),
+        m["video_info"]["analysis_version"].alias("analysis_version"),
+        F.size(m["segments"]).alias("n_segments"),
+        F.size(m["chapters"]).alias("n_chapters"),
+        F.size(m["skip_suggestions"]).alias("n_skip"),
+    )
+
+
+@query
+def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.table(spark, sf_dir, "events")
+    return rows.select("event_id", F.coalesce(F.array_join(export.unknown_keys(F.col("props"), ["id", "value"]), ","), F.lit("")).alias("unknown"))
+
+
+@query
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = review.timeline_width(F.col("start_sec"), F.col("end_sec"), F.lit(float(adapters.SECONDS)))
+    return _rounded(fusion(spark, sf_dir).smoothed().select("video_id", "segment_id", width.alias("width")), "width")
+
+
+@query
+def safe_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "pages").select("page_id", fx.safe_stem(F.regexp_replace("url", "^.*/", "")).alias("stem"))
+
+
+@query
+def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = adapters.table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 20).cast("string")).alias("name")).distinct()
+    every = taken.unionByName(taken.select(F.regexp_replace("name", "_.*", "").alias("name"))).distinct()
+    wanted = adapters.table(spark, sf_dir, "events").select("event_type").distinct()
+    return review.free_name(F.col("event_type"), every, wanted)
+
+
+@query
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("click", "view"), "running").when(F.col("event_type") == "purchase", "done").otherwise("error")
+    log = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").cast("double").alias("ts"), state.alias("status"))
+    return review.job_status(log, F.lit(1e9))
+
+
+@query
+def live_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = adapters.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    return live.live_grid(log, "1 hour").select("video_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", "top")
+
+
+@query
+def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet = adapters.table(spark, sf_dir, "events").filter("value < 30").select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return live.quiet_sessions(quiet, "6 hours").select("video_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query
+def commercial_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", planned.commercial(F.col("text")).alias("commercial"))
+
+
+@query
+def rolling_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = align.audio_grid(align.spine(adapters.durations(spark, sf_dir)), adapters.audio(spark, sf_dir))
+    return _rounded(planned.rolling_mean(grid.select("video_id", "t", "rms_energy"), "rms_energy"), "rms_energy")
+
+
+@query
+def style_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = adapters.vectors(spark, sf_dir).select("video_id", F.col("id").alias("t"), F.col("embedding").alias("vector"))
+    return _rounded(planned.style_drift(v), "drift")
+
+
+@query
+def sound_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for chunks of sound, one second of 64 samples each."""
+    v = adapters.vectors(spark, sf_dir).select("video_id", F.col("id").alias("t"), F.col("embedding").cast("array<float>").alias("samples"))
+    return signals.sound_features(v, rate=64)
+
+
+@query
+def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for pictures of 8 x 8 grey pixels, packed as their bytes."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round(x * 100 + 128))).cast("int"))
+    v = adapters.vectors(spark, sf_dir).select("video_id", F.col("id").alias("frame_index"), F.col("id").cast("double").alias("timestamp_sec"), F.array_join(grey.cast("array<string>"), " ").cast("binary").alias("content"))
+
+    def decode(raw: bytes):  # noqa: ANN202
+        import numpy as np
+
+        pixels = np.array(bytes(raw).split(), np.uint8)
+        return np.repeat(pixels.reshape(8, 8)[:, :, None], 3, axis=2) if len(pixels) == 64 else None
+
+    return signals.frame_features(v, decode)

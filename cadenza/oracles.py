@@ -242,4 +242,40 @@ SELECTS: dict[str, str] = {
     "cache_miss": "SELECT video_id FROM users WHERE video_id NOT IN (SELECT video_id FROM sent)",
 }
 
+_COMMERCIAL = " OR ".join(
+    f"regexp_matches(text, '{p}')"
+    for p in (
+        r"(?i)\b(?:https?://|www\.)\S+|\b[a-z0-9-]+\.(?:com|net|org|io|co)\b",
+        r"[$€£]\s?\d+(?:[.,]\d{2})?|\b\d+(?:[.,]\d{2})?\s?(?:usd|eur|gbp)\b",
+        r"\b(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b",
+        r"(?i)\b(?:order now|buy now|call now|shop now|sign up|free trial|limited time|use code|learn more)\b",
+        "[™®©]",
+    )
+)
+
+SELECTS |= {
+    "documents": """SELECT video_id, concat(video_id, '.mp4') AS filename, '0.4.0' AS analysis_version, CAST(count(*) AS INTEGER) AS n_segments,
+    CAST((SELECT count(*) FROM spans p WHERE p.video_id = s.video_id) AS INTEGER) AS n_chapters, CAST(count(*) FILTER (WHERE label <> 'core_content') AS INTEGER) AS n_skip FROM smoothed s GROUP BY video_id""",
+    "unknown_keys": "SELECT event_id, coalesce(list_aggregate(list_filter(json_keys(props), lambda k: k NOT IN ('id', 'value')), 'string_agg', ','), '') AS unknown FROM events",
+    "timeline": "SELECT video_id, segment_id, round((end_sec - start_sec) / 720 * 100, 6) AS width FROM smoothed",
+    "safe_stems": r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(CASE WHEN regexp_matches(n, '.\.[^.]*$') THEN regexp_replace(n, '\.[^.]*$', '') ELSE n END, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'video') AS stem
+  FROM (SELECT page_id, regexp_replace(url, '^.*/', '') AS n FROM pages)""",
+    "free_names": """SELECT stem, CASE WHEN EXISTS (SELECT 1 FROM taken WHERE name = stem) THEN concat(stem, '_', (SELECT min(k) FROM range(2, 30) r(k) WHERE concat(stem, '_', k) NOT IN (SELECT name FROM taken))) ELSE stem END AS name
+  FROM (SELECT DISTINCT event_type AS stem FROM events)""",
+    "job_status": """SELECT job_id, status, CASE WHEN began IS NULL THEN 0.0 ELSE round(coalesce(ended, 1e9) - began, 1) END AS elapsed FROM (
+  SELECT user_id AS job_id, arg_max(CASE WHEN event_type = 'signup' THEN 'queued' WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type = 'purchase' THEN 'done' ELSE 'error' END, event_id) AS status,
+    min(event_id) FILTER (WHERE event_type IN ('click', 'view'))::DOUBLE AS began, max(event_id) FILTER (WHERE event_type IN ('purchase', 'error'))::DOUBLE AS ended FROM events GROUP BY user_id)""",
+    "live_grid": "SELECT CAST(user_id AS VARCHAR) AS video_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
+    "quiet_sessions": """SELECT video_id, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY ts) AS island FROM (
+    SELECT CAST(user_id AS VARCHAR) AS video_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE value < 30)
+  ) GROUP BY video_id, island""",
+    "commercial_text": f"SELECT doc_id, {_COMMERCIAL} AS commercial FROM documents",
+    "rolling_energy": "SELECT video_id, t, round(avg(rms_energy) OVER (PARTITION BY video_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS rms_energy FROM av",
+    "style_drift": """SELECT a.video_id, a.id AS t, round(1 - list_cosine_similarity(any_value(a.embedding), any_value(m.mean)), 6) AS drift FROM vec a LEFT JOIN (
+  SELECT video_id, id, list(x ORDER BY d) AS mean FROM (
+    SELECT v.video_id, v.id, d, avg(o.embedding[d]) AS x FROM vec v JOIN vec o ON o.video_id = v.video_id AND abs(o.id - v.id) BETWEEN 3 AND 15, range(1, 65) r(d) GROUP BY ALL) GROUP BY ALL) m USING (video_id, id) GROUP BY ALL""",
+}
+CTES.append("taken AS (SELECT concat(event_type, '_', user_id % 20) AS name FROM events UNION SELECT event_type FROM events)")
+
 ORACLES = {name: oracle(select) for name, select in SELECTS.items()}

@@ -33,6 +33,9 @@ class Fusion:
         return smooth.smooth(self.classified, self.config)
 
     def documents(self, info: DataFrame) -> DataFrame:
-        """``info``: (video_id, filename, duration_sec, fps, width, height)."""
-        segments = export.attach_summaries(self.smoothed(), self.text, self.vectors, self.config)
+        """``info``: (video_id, filename, duration_sec, fps, width, height).
+
+        Segments are used several times and few, so they are kept (and computed again if an executor is lost).
+        """
+        segments = export.attach_summaries(self.smoothed().persist(), self.text, self.vectors, self.config).persist()
         return export.documents(info, segments, export.chapters(segments, self.text, self.vectors, self.config), self.config)
