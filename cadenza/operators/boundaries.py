@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cadenza.config import DEFAULT, Config
 from cadenza.functions.expressions import scene_divergence
 
-_BY_TIME = Window.partitionBy("video_id").orderBy("t")
+
+def _by_time() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("t")
 
 
 def scene_shifts(grid: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(video_id, t, divergence): seconds whose scene differs from the one before."""
-    before = grid.select("video_id", "t", "scene", F.lag("scene").over(_BY_TIME).alias("before"))
+    before = grid.select("video_id", "t", "scene", F.lag("scene").over(_by_time()).alias("before"))
     told = before.filter("before is not null and size(scene) > 0 and scene <> before").withColumn("divergence", scene_divergence(F.col("before"), F.col("scene")))
     return told.filter(F.col("divergence") > config.scene_shift).select("video_id", "t", "divergence")
 
 
 def flips(grid: DataFrame, column: str) -> DataFrame:
     """(video_id, t): seconds where a flag differs from the second before."""
-    return grid.select("video_id", "t", column, F.lag(column).over(_BY_TIME).alias("before")).filter(F.col("before") != F.col(column)).select("video_id", "t")
+    return grid.select("video_id", "t", column, F.lag(column).over(_by_time()).alias("before")).filter(F.col("before") != F.col(column)).select("video_id", "t")
 
 
 def hard_cuts(grid: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def candidates(grid: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     One pass over a single window: what every second tells is an array, exploded afterwards.
     """
-    g = grid.select("*", *[F.lag(c).over(_BY_TIME).alias(f"{c}_before") for c in ("scene", "is_speech", "is_music")], (F.max("t").over(Window.partitionBy("video_id")) + 1).alias("seconds"))
+    g = grid.select("*", *[F.lag(c).over(_by_time()).alias(f"{c}_before") for c in ("scene", "is_speech", "is_music")], (F.max("t").over(Window.partitionBy("video_id")) + 1).alias("seconds"))
     t = F.col("t")
     moved = F.when(F.col("scene_before").isNotNull() & (F.size("scene") > 0) & (F.col("scene") != F.col("scene_before")), scene_divergence(F.col("scene_before"), F.col("scene")) > config.scene_shift)
     here = (F.col("is_hard_cut") == 1) | F.coalesce(moved, F.lit(False)) | F.coalesce(F.col("is_speech_before") != F.col("is_speech"), F.lit(False)) | F.coalesce(F.col("is_music_before") != F.col("is_music"), F.lit(False))

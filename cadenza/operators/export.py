@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cadenza.config import DEFAULT, LABELS, Config
 from cadenza.functions.expressions import chapter_title, dot, strip
 
-_BY_START = Window.partitionBy("video_id").orderBy("start_sec")
+
+def _by_start() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("start_sec")
 
 
 def representative_sentence(spans: DataFrame, sentences: DataFrame, vectors: DataFrame | None, key: str, chars: int) -> DataFrame:
@@ -43,9 +46,9 @@ def attach_summaries(segment: DataFrame, sentences: DataFrame, vectors: DataFram
 def chapter_spans(segment: DataFrame) -> DataFrame:
     """(video_id, chapter_id, start_sec, end_sec): stretches of core content."""
     core = F.col("label") == "core_content"
-    new = (core & ~F.coalesce(F.lag("label").over(_BY_START) == "core_content", F.lit(False))).cast("int")
+    new = (core & ~F.coalesce(F.lag("label").over(_by_start()) == "core_content", F.lit(False))).cast("int")
     islands = segment.select("video_id", "start_sec", "end_sec", core.alias("core"), new.alias("new"))
-    numbered = islands.withColumn("chapter_id", F.sum("new").over(_BY_START) - 1).filter("core")
+    numbered = islands.withColumn("chapter_id", F.sum("new").over(_by_start()) - 1).filter("core")
     return numbered.groupBy("video_id", "chapter_id").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
 
 

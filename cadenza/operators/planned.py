@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cadenza.functions.expressions import cosine
 
-_BY_TIME = Window.partitionBy("video_id").orderBy("t")
+
+def _by_time() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("t")
 
 
 def commercial(text: Column) -> Column:
@@ -27,11 +30,11 @@ def commercial(text: Column) -> Column:
 
 def carried_forward(grid: DataFrame, column: str) -> DataFrame:
     """Seconds without a value get the last one before."""
-    return grid.withColumn(column, F.last(column, ignorenulls=True).over(_BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    return grid.withColumn(column, F.last(column, ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def rolling_mean(grid: DataFrame, column: str, reach: int = 2) -> DataFrame:
-    return grid.withColumn(column, F.avg(column).over(_BY_TIME.rowsBetween(-reach, reach)))
+    return grid.withColumn(column, F.avg(column).over(_by_time().rowsBetween(-reach, reach)))
 
 
 def style_drift(vectors: DataFrame, near: int = 3, far: int = 15) -> DataFrame:

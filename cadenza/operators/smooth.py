@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cadenza.config import DEFAULT, Config
 
-_BY_START = Window.partitionBy("video_id").orderBy("start_sec", "segment_id")
+
+def _by_start() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("start_sec", "segment_id")
+
+
 FIELDS = ["segment_id", "start_sec", "end_sec", "label", "confidence", "visual_score", "audio_score", "text_score", "triggered_rules", "summary", "user_corrected"]
 
 
@@ -46,8 +51,8 @@ def _merged(islands: DataFrame, label: Column, confidence: Column, rules: Column
 
 def merge_adjacent(segment: DataFrame) -> DataFrame:
     """Neighbours of one label become one segment."""
-    new = F.coalesce((F.col("label") != F.lag("label").over(_BY_START)).cast("int"), F.lit(1))
-    islands = segment.withColumn("new", new).withColumn("island", F.sum("new").over(_BY_START))
+    new = F.coalesce((F.col("label") != F.lag("label").over(_by_start())).cast("int"), F.lit(1))
+    islands = segment.withColumn("new", new).withColumn("island", F.sum("new").over(_by_start()))
     return _merged(islands, F.lit(None).cast("string"), F.max("confidence"), _union_of_rules())
 
 
@@ -93,19 +98,19 @@ def bridge(segment: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     Expects no neighbours of one label. Chains of bridges become one segment.
     """
-    near = segment.withColumns({"before": F.lag("label").over(_BY_START), "after": F.lead("label").over(_BY_START)})
+    near = segment.withColumns({"before": F.lag("label").over(_by_start()), "after": F.lead("label").over(_by_start())})
     sponsored = F.col("label") == "sponsorship"
     is_bridge = ~sponsored & (F.col("before") == "sponsorship") & (F.col("after") == "sponsorship") & (F.col("end_sec") - F.col("start_sec") <= config.bridge)
     marked = near.withColumn("bridge", F.coalesce(is_bridge, F.lit(False)))
-    joins = F.col("bridge") | F.coalesce(F.lag("bridge").over(_BY_START), F.lit(False))
-    islands = marked.withColumn("new", (~joins).cast("int")).withColumn("island", F.sum("new").over(_BY_START))
+    joins = F.col("bridge") | F.coalesce(F.lag("bridge").over(_by_start()), F.lit(False))
+    islands = marked.withColumn("new", (~joins).cast("int")).withColumn("island", F.sum("new").over(_by_start()))
     rules = F.array_sort(F.array_union(_union_of_rules(), F.array(F.lit("sponsorship_bridge"))))
     flanks = F.coalesce(F.min(F.when(sponsored, F.col("confidence"))), F.max("confidence"))
     return _merged(islands, F.lit(None).cast("string"), flanks, rules)
 
 
 def renumber(segment: DataFrame) -> DataFrame:
-    return segment.withColumn("segment_id", F.row_number().over(_BY_START) - 1)
+    return segment.withColumn("segment_id", F.row_number().over(_by_start()) - 1)
 
 
 def smooth(segment: DataFrame, config: Config = DEFAULT) -> DataFrame:
