@@ -345,7 +345,7 @@ def test_pipeline(spark, tmp_path):
         for _ in range(4 * toxic[-1]):
             words.insert(rng.randrange(len(words)), rng.choice(bad))
         texts.append(" ".join(words) + (f"\n{shared}" if k % 7 == 1 else ""))
-    near = texts[1].split("\n")[0].split()
+    near = texts[2].split()
     near.insert(40, "inserted")  # another number of tokens, so another template
     texts += [" ".join(near), "", None]
     path = str(tmp_path)
