@@ -177,7 +177,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(fusion(spark, sf_dir).smoothed())
+    return _segments(fusion(spark, sf_dir).smoothed)
 
 
 @query
@@ -189,18 +189,18 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def representative_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion(spark, sf_dir)
-    return export.representative_sentence(f.smoothed(), f.text, f.vectors, "segment_id", f.config.summary_chars)
+    return export.representative_sentence(f.smoothed, f.text, f.vectors, "segment_id", f.config.summary_chars)
 
 
 @query
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion(spark, sf_dir)
-    return export.chapters(f.smoothed(), f.text, f.vectors)
+    return export.chapters(f.smoothed, f.text, f.vectors)
 
 
 @query
 def skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = export.skip_list(fusion(spark, sf_dir).smoothed())
+    listed = export.skip_list(fusion(spark, sf_dir).smoothed)
     return listed.withColumn("skip_suggestions", F.array_join(F.col("skip_suggestions").cast("array<string>"), ","))
 
 
@@ -210,17 +210,17 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def next_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.next_segment(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed())
+    return review.next_segment(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed)
 
 
 @query
 def skip_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.skip_target(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed())
+    return review.skip_target(_moments(spark, sf_dir), fusion(spark, sf_dir).smoothed)
 
 
 @query
 def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = fusion(spark, sf_dir).smoothed().groupBy("video_id").agg(F.collect_list(F.struct("segment_id", "label", "user_corrected")).alias("s"))
+    listed = fusion(spark, sf_dir).smoothed.groupBy("video_id").agg(F.collect_list(F.struct("segment_id", "label", "user_corrected")).alias("s"))
     edited = listed.select("video_id", F.explode(review.relabelled(F.col("s"), F.lit(1), F.lit("core_content"))).alias("s"))
     return edited.select("video_id", "s.segment_id", "s.label", "s.user_corrected")
 
@@ -256,7 +256,7 @@ def black_frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def list_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fusion(spark, sf_dir).smoothed().groupBy("video_id").agg(F.count("*").alias("n_segments"), F.max("end_sec").alias("duration_sec"))
+    documents = fusion(spark, sf_dir).smoothed.groupBy("video_id").agg(F.count("*").alias("n_segments"), F.max("end_sec").alias("duration_sec"))
     return review.listed(adapters.sentences(spark, sf_dir).select("video_id").distinct(), documents)
 
 
@@ -291,7 +291,7 @@ def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = review.timeline_width(F.col("start_sec"), F.col("end_sec"), F.lit(float(adapters.SECONDS)))
-    return _rounded(fusion(spark, sf_dir).smoothed().select("video_id", "segment_id", width.alias("width")), "width")
+    return _rounded(fusion(spark, sf_dir).smoothed.select("video_id", "segment_id", width.alias("width")), "width")
 
 
 @query

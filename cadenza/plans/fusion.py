@@ -3,39 +3,63 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from cadenza.config import DEFAULT, Config
 from cadenza.operators import align, boundaries, classify, export, rules, smooth
+from cadenza.sources.tables import kept
 
 
 @dataclass
 class Fusion:
-    """Results of each step, all lazy; Spark reuses the exchanges that branches share."""
+    """Each step of the segmentation, worked out when it is asked for.
+
+    What several steps read is kept as a table, dealt out by recording: the text, the grid, the boundaries and the
+    classified segments. Everything after the grid then works within recordings, without another shuffle of seconds.
+    """
 
     durations: DataFrame
     audio: DataFrame
     visual: DataFrame
-    text: DataFrame
+    text_features: DataFrame
     vectors: DataFrame | None = None
     config: Config = DEFAULT
 
-    def __post_init__(self) -> None:
-        self.grid = align.build_grid(self.durations, self.audio, self.visual, self.text)
-        self.labels = align.scene_labels(self.visual)
-        self.hits = rules.all_rules(self.grid, self.text, self.config)
-        self.candidates = boundaries.candidates(self.grid, self.config)
-        self.boundaries = boundaries.boundaries(self.candidates, self.config)
-        self.classified = classify.classify(self.grid, self.boundaries, self.hits, self.text, self.labels, self.config)
+    @cached_property
+    def text(self) -> DataFrame:
+        return kept(self.text_features, "video_id", "pos")
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return kept(align.build_grid(self.durations, self.audio, self.visual, self.text), "video_id", "t")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return align.scene_labels(self.visual)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return rules.all_rules(self.grid, self.text, self.config)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return boundaries.candidates(self.grid, self.config)
+
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        return kept(boundaries.boundaries(self.candidates, self.config), "video_id")
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return kept(classify.classify(self.grid, self.boundaries, self.hits, self.text, self.labels, self.config), "video_id", "start_sec")
+
+    @cached_property
     def smoothed(self) -> DataFrame:
-        return smooth.smooth(self.classified, self.config)
+        return kept(smooth.smooth(self.classified, self.config), "video_id", "start_sec")
 
     def documents(self, info: DataFrame) -> DataFrame:
-        """``info``: (video_id, filename, duration_sec, fps, width, height).
-
-        Segments are used several times and few, so they are kept (and computed again if an executor is lost).
-        """
-        segments = export.attach_summaries(self.smoothed().persist(), self.text, self.vectors, self.config).persist()
-        return export.documents(info, segments, export.chapters(segments, self.text, self.vectors, self.config), self.config)
+        """``info``: (video_id, filename, duration_sec, fps, width, height)."""
+        segments = export.attach_summaries(self.smoothed, self.text, self.vectors, self.config)
+        return export.documents(info, segments, export.chapters(self.smoothed, self.text, self.vectors, self.config), self.config)

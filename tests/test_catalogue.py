@@ -76,4 +76,4 @@ def test_sixty_seconds(spark):
     assert any(s["label"] == "sponsorship" and s["start_sec"] <= 30 < s["end_sec"] for s in segs)
     core = [(s["start_sec"], s["end_sec"]) for s in segs if s["label"] == "core_content"]
     assert all(any(a <= c["start_sec"] and c["end_sec"] <= b for a, b in core) for c in doc["chapters"])
-    assert export.broken(f.smoothed()).count() == 0
+    assert export.broken(f.smoothed).count() == 0
