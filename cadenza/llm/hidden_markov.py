@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.lineage import written
+from cadenza.llm.lineage import bounded_batches, written
 from cadenza.llm.totals import slices, summed
 
 STATES = 8
@@ -98,7 +98,17 @@ class Vocabulary:
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     n_tokens, n_words = int(totals[0] or 0), int(totals[1])
-    held = counts.filter(F.octet_length("word") <= HELD_BYTES).orderBy(F.desc("n"), "word").limit(HELD).collect()
+    # the most frequent words by steps of frequency: a sort and limit would send as many words from every partition
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    short = counts.filter(F.octet_length("word") <= HELD_BYTES).withColumn("step", step)
+    least, room = None, HELD
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # under a thousand steps
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    held = [] if least is None else short.filter(F.col("step") >= least).collect()
+    held = sorted(held, key=lambda r: (-r["n"], bytes(r["word"])))
     words = [bytes(r["word"]) for r in held]
     count = np.array([r["n"] for r in held], np.float64)
     own = min(OWN, len(words))
@@ -217,7 +227,7 @@ def _blocks(sequences: list, most: int = 500_000) -> Iterator[list]:
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> Markov:
-    """A model of ``texts`` (id, text): a start from at most SAMPLE_DOCS of them, then ROUNDS rounds over all."""
+    """A model of ``texts`` (id, text): a start from about SAMPLE_DOCS of them, then ROUNDS rounds over all."""
     spark = texts.sparkSession
     size = len(vocabulary.base)
     sent = spark.sparkContext.broadcast(vocabulary)  # at most HELD words of HELD_BYTES
@@ -225,7 +235,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Markov:
     def symbols(text: str) -> np.ndarray:
         return sent.value.symbols(*sent.value.of(tokens(text)))
 
-    sample = texts.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).select("text")
+    share = min(1.0, SAMPLE_DOCS / max(texts.count(), 1))
+    sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(4 * SAMPLE_DOCS).select("text")
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:  # of each document the same number of segments at most
@@ -266,6 +277,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     A null or empty text is the end token alone. Rows may repeat; those with a null id are never held out. Other columns
     are not read. Without training rows all words are unknown and both models give each word the same probability.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = rows.filter(~is_held_out(F.col("id")))

@@ -17,6 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get batches of at most 16 MB, as rows may be very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table of the shared folder, read again."""
     spark = df.sparkSession
@@ -28,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` returned and nothing needs any longer."""
     jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)

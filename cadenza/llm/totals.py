@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE = 1 << 14
+#: Tasks whose slices are added first, before the sums of all such groups are.
+NEIGHBOURS = 32
 
 
 def slices(total: np.ndarray) -> pd.DataFrame:
@@ -20,8 +23,8 @@ def slices(total: np.ndarray) -> pd.DataFrame:
 def summed(parts: DataFrame, size: int) -> np.ndarray:
     """The sum of all tasks' arrays of ``size`` numbers; ``parts`` has the rows of ``slices``.
 
-    The slices of one place meet in one task and are added as they come, so a task holds at most ``size`` numbers, and the
-    driver gets as many, however many tasks there were.
+    Slices of one place and of neighbouring tasks meet first, then their sums; they are added as they come, so a task
+    holds at most ``size`` numbers, and the driver gets as many, however many tasks there were.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +36,9 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
         yield pd.DataFrame({"slice": list(total), "sums": [x.tobytes() for x in total.values()]})
 
     out = np.zeros(size)
-    for row in parts.repartition("slice").mapInPandas(add, "slice long, sums binary").collect():
+    near = F.floor(F.spark_partition_id() / NEIGHBOURS)
+    first = parts.withColumn("near", near).repartition("slice", "near").select("slice", "sums").mapInPandas(add, "slice long, sums binary")
+    for row in first.repartition("slice").mapInPandas(add, "slice long, sums binary").collect():
         part = np.frombuffer(row["sums"])
         out[row["slice"] : row["slice"] + len(part)] = part
     return out
