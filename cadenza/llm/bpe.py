@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.lineage import bounded_batches
 from cadenza.llm.tokens import WordMemo, in_chunks, vocabulary
 
 #: The pre-token pattern of byte-level BPE vocabularies, with white space as Unicode defines it.
@@ -170,6 +171,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A null or empty text has no ids. Ids may be null or repeat: one row comes out for each row in. Other columns are not
     read. Strings of special tokens inside a text become those tokens.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,6 +188,7 @@ def round_trip_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     The same rules as ``encode_documents``; the decoded text of a null or empty text is empty.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

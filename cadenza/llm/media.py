@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import jpeg
+from cadenza.llm.lineage import bounded_batches
 
 UNIT = 64
 
@@ -26,6 +27,7 @@ def store_as_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A null or empty text is stored as one unit of zeros. Ids may be null or repeat: one row comes out for each row in.
     Other columns are not read. Equal texts give equal pictures.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +55,7 @@ def read_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
     Any progressive JPEG is decoded; payload columns are null where a picture holds no payload, and all but the media
     columns are null where the bytes are null or no progressive JPEG.
     """
+    bounded_batches(media.sparkSession)
     kind = media.schema[id_col].dataType.simpleString()
 
     def row(raw: bytes | None) -> tuple:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.candidates import blocks, by_unit, in_units, linked_groups, shared_buckets
 from cadenza.llm.components import components
-from cadenza.llm.lineage import written
+from cadenza.llm.lineage import bounded_batches, written
 
 WIDTH = 2.0
 #: Most pairs at the threshold itself that may meet in no table.
@@ -64,6 +64,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     components link with nothing, and so do rows without an id. Vectors of different lengths never link. Repeated
     rows count as vectors of their own; different vectors under one id share their links. Other columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(vectors.sparkSession)
     v = F.col("v")
     fine = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))

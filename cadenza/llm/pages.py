@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.lineage import bounded_batches
+
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -294,6 +296,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     A null or empty page has no text. Markup may be broken or end early. Rows may repeat, ids and urls may be null. Other
     columns are not read. White space within a block becomes one space; nothing else of a content block is changed.
     """
+    bounded_batches(pages.sparkSession)
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.lineage import bounded_batches
 from cadenza.llm.tokens import WordMemo, in_chunks, vocabulary
 
 SPACE = "▁"
@@ -124,6 +125,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has no bytes and no tokens. Ids may be null or repeat: one row comes out for each row in. Other
     columns are not read. An empty table gives an empty result. Texts are processed whole, whatever their length.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

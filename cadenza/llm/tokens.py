@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's word memo; a full memo is emptied and filled again, so results never depend on it.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 
 
 def vocabulary(name: str) -> str:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.lineage import bounded_batches
 from cadenza.llm.shingles import shingles, word_hashes
 
 TOXIC, ORDINARY, MOST_WORDS, SAMPLED_WINDOWS = 3000, 6000, 2000, 16
@@ -135,10 +136,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def _drawn(told: DataFrame, n: int, size: int) -> DataFrame:
+    """The ``n`` rows of the least hash; rows whose hash can't be among them are left out first, so few meet in one place."""
+    likely = min(1.0, 1.3 * (n + 100) / max(size, 1))
+    kept = told.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(likely * (1 << 30)))
+    return kept.distinct().orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from the labelled rows that are not held out; None where either label is missing among them."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("id is not null and toxic is not null").filter(~is_held_out(F.col("id")))
-    drawn = [told.filter(f).distinct().orderBy(F.xxhash64("id"), "id").limit(n) for f, n in (("toxic <> 0", TOXIC), ("toxic = 0", ORDINARY))]
+    sizes = told.groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()
+    sizes = {r["toxic"]: r["count"] for r in sizes}
+    drawn = [_drawn(told.filter((F.col("toxic") != 0) == toxic), n, sizes.get(toxic, 0)) for toxic, n in ((True, TOXIC), (False, ORDINARY))]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("toxic", "text")  # at most TOXIC + ORDINARY rows
 
@@ -193,6 +203,7 @@ def toxicity(
     A null, empty or wordless text has no window and gets the score of no hits. Without labels of both kinds every score is
     0.5. Rows may repeat and ids may be null (never held out). Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -208,6 +219,7 @@ def toxicity(
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``cut``, with all their columns, as ``toxicity`` scores them."""
+    bounded_batches(docs.sparkSession)
     import pyarrow as pa
 
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
