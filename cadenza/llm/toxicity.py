@@ -116,7 +116,7 @@ def over_represented(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     rate = (in_toxic / max(toxic.sum(), 1)) / ((in_ordinary + 0.5) / ((~toxic).sum() + 1))
     with np.errstate(divide="ignore"):
         ratio = np.where(in_toxic > 1, in_toxic * np.log(np.maximum(rate, 1e-9)), 0)
-    return words[(ratio >= math.log(max(len(words), 2)) + 6) & (rate >= LEAST_RATE)]
+    return words[(ratio >= math.log(max(len(words), 2)) + 10) & (rate >= LEAST_RATE)]
 
 
 def is_held_out(id_: Column) -> Column:
