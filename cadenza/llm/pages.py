@@ -27,6 +27,10 @@ BLOCK = frozenset(
     "html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 UNSEEN = frozenset("audio canvas datalist embed head iframe math noscript object script select style svg template textarea title video".split())
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: A start tag of these shows what follows in an unseen element, unless that turns out to be closed by its own end tag.
+SHOWS = BLOCK - VOID - {"option", "optgroup"}
 APART = frozenset("aside button dialog fieldset footer form menu nav search".split())
 WITHIN = frozenset(["article", "main"])
 #: A start tag of these closes an open one of the second set, up to the third.
@@ -58,6 +62,7 @@ class Node:
     unseen: bool = False
     link: bool = False
     container: int = 0
+    shown_from: int | None = None
 
 
 @dataclass
@@ -83,6 +88,8 @@ class Blocks(HTMLParser):
         self.containers = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.top.tag == "head" and tag not in IN_HEAD:
+            self._pop()
         if tag in BLOCK:
             self.current = None
             if self.depth_of.get("p"):
@@ -93,6 +100,8 @@ class Blocks(HTMLParser):
             self._close(*CLOSES[tag])
         if tag in VOID:
             return
+        if self.top.unseen and tag in SHOWS:
+            self._show()
         up = self.top
         node = Node(tag, up, up.apart, up.within, up.unseen or tag in UNSEEN, up.link or tag == "a", up.container)
         if tag in BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -118,6 +127,15 @@ class Blocks(HTMLParser):
                 return True
         return False
 
+    def _show(self) -> None:
+        """Takes the open unseen elements for unclosed ones; the blocks from here on go again if an end tag closes them."""
+        node = self.top
+        while node is not None and node.unseen:
+            node.unseen = False
+            if node.tag in UNSEEN and node.shown_from is None:
+                node.shown_from = len(self.blocks)
+            node = node.parent
+
     def _pop(self) -> str:
         tag = self.top.tag
         self.depth_of[tag] -= 1
@@ -142,13 +160,19 @@ class Blocks(HTMLParser):
         if tag in BLOCK:
             self.current = None
         if self.depth_of.get(tag):
+            node = self.top
             while self._pop() != tag:
-                pass
+                node = self.top
+            if node.shown_from is not None:
+                del self.blocks[node.shown_from :]
+                self.current = None
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
     def handle_data(self, data: str) -> None:
+        if self.top.tag == "head" and data.strip():
+            self._pop()
         if self.top.unseen:
             return
         if self.current is None:

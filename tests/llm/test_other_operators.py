@@ -106,6 +106,19 @@ def test_prose_without_article():
     assert main_text(f"<body><p>{text}</p><p>{text}</p><ul><li><a href=x>Link</a><li><a href=y>Other</a></ul></body>") == f"{text}\n{text}"
 
 
+@pytest.mark.parametrize("opening", ["<head><title>T</title>", "<head><meta charset=x><body>", "<head><noscript><link href=x><body>", "<svg><path d=x>", "<noscript>", "<object>", "<p>a<select><option>one", "<select><option>one", "<select><svg>", "<video>"])
+def test_unclosed_unseen_elements(opening):
+    text = "This paragraph is long enough to be the content of a page, as it has words."
+    assert main_text(f"<html>{opening}<article><p>{text}</p><svg><title>icon</title></svg></article></html>").endswith(text)
+
+
+def test_closed_unseen_elements():
+    text = "This paragraph is long enough to be the content of a page, as it has words."
+    hidden = "<p>This other paragraph is long enough too, but a browser shows nothing of it.</p>"
+    unseen = "".join(f"<{t}>{hidden}</{t}>" for t in ("noscript", "object", "select", "svg", "video", "canvas", "template"))
+    assert main_text(f"<head><noscript>{hidden}</noscript><title>T</title></head><body><article>{unseen}<p>{text}</p>{unseen}<p>{text}</p></article>") == f"{text}\n{text}"
+
+
 def test_maximum_flow_is_the_minimum_cut():
     rng = random.Random(5)
     for _ in range(40):
