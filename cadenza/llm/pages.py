@@ -31,8 +31,10 @@ UNSEEN = frozenset("audio canvas datalist embed head iframe math noscript object
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: A start tag of these shows what follows in an unseen element, unless that turns out to be closed by its own end tag.
 SHOWS = BLOCK - VOID - {"option", "optgroup"}
-APART = frozenset("aside button dialog fieldset footer form menu nav search".split())
+APART = frozenset("aside button dialog fieldset footer menu nav search".split())
 WITHIN = frozenset(["article", "main"])
+#: Names of these say nothing about their text.
+NAMELESS = WITHIN | frozenset("body h1 h2 h3 h4 h5 h6 html".split())
 #: A start tag of these closes an open one of the second set, up to the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -48,6 +50,10 @@ APART_NAMES = frozenset(
     "disqus dialog feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted "
     "recommended related replies reply responses share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription tags toolbar widget widgets".split()
 )
+#: Within an article or main these name its own head.
+HEAD_NAMES = frozenset("banner header masthead".split())
+#: A name that starts so tells of a layout, not of what its element is.
+LAYOUT = frozenset("has hide is no not show with without".split())
 APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -58,11 +64,14 @@ class Node:
     tag: str
     parent: Node | None
     apart: bool = False
+    named: Node | None = None  # the innermost of the element and those around it that a name sets apart
+    mute: bool = False
     within: bool = False
     unseen: bool = False
     link: bool = False
     container: int = 0
     shown_from: int | None = None
+    wraps: bool = False
 
 
 @dataclass
@@ -74,6 +83,8 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    names: Node | None = None
+    named: bool = False
 
 
 class Blocks(HTMLParser):
@@ -86,6 +97,7 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.current: Block | None = None
         self.containers = 0
+        self.articles = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.top.tag == "head" and tag not in IN_HEAD:
@@ -103,30 +115,53 @@ class Blocks(HTMLParser):
         if self.top.unseen and tag in SHOWS:
             self._show()
         up = self.top
-        node = Node(tag, up, up.apart, up.within, up.unseen or tag in UNSEEN, up.link or tag == "a", up.container)
+        node = Node(tag, up, up.apart, up.named, up.mute and tag not in BLOCK, up.within, up.unseen or tag in UNSEEN, up.link or tag == "a", up.container)
         if tag in BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             self.containers += 1
             node.container = self.containers
         if tag in WITHIN:
             node.within = True
-        if tag in APART or tag == "header" and not up.within or self._names_apart(attrs):
+            if tag == "main" or not self.articles:
+                self._wrapped(up)
+            self.articles += tag == "article"
+        apart = tag in APART or tag == "header" and not up.within or self._set_apart(attrs)
+        named = tag == "form" or tag not in NAMELESS and self._names_apart(attrs, up.within)
+        if apart:
             node.apart = True
+        if named:
+            node.named = node
+        if (apart or named) and tag not in BLOCK and "-" not in tag:
+            node.mute = True
         self.top = node
         self.depth_of[tag] = self.depth_of.get(tag, 0) + 1
 
     @staticmethod
-    def _names_apart(attrs: list[tuple[str, str | None]]) -> bool:
+    def _set_apart(attrs: list[tuple[str, str | None]]) -> bool:
         for key, value in attrs:
-            if key in ("class", "id"):
-                if value and any(p.lower() in APART_NAMES for p in _NAME_PARTS.findall(value)):
-                    return True
-            elif key == "role":
+            if key == "role":
                 if value in APART_ROLES:
                     return True
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and "display:none" in value.replace(" ", ""):
                 return True
         return False
 
+    @staticmethod
+    def _names_apart(attrs: list[tuple[str, str | None]], within: bool) -> bool:
+        for key, value in attrs:
+            if key in ("class", "id"):
+                for name in (value or "").split():
+                    parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+                    if parts and parts[0] not in LAYOUT and any(p in APART_NAMES and not (within and p in HEAD_NAMES) for p in parts):
+                        return True
+        return False
+
+    @staticmethod
+    def _wrapped(node: Node) -> None:
+        """The elements around main or the first article of a page are no longer apart by their names."""
+        while node is not None and not node.wraps:
+            node.wraps = True
+            node = node.parent
+
     def _show(self) -> None:
         """Takes the open unseen elements for unclosed ones; the blocks from here on go again if an end tag closes them."""
         node = self.top
@@ -173,7 +208,7 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.top.tag == "head" and data.strip():
             self._pop()
-        if self.top.unseen:
+        if self.top.unseen or self.top.mute:
             return
         if self.current is None:
             if not data.strip():
@@ -182,10 +217,8 @@ class Blocks(HTMLParser):
             tag = node
             while tag.tag and tag.tag not in BLOCK:
                 tag = tag.parent
-            self.current = Block(tag.tag, node.container, node.apart, node.within)
+            self.current = Block(tag.tag, node.container, node.apart, node.within, names=node.named)
             self.blocks.append(self.current)
-        if self.top.apart:
-            self.current.apart = True
         self.current.parts.append(data)
         if self.top.link:
             self.current.linked += len(data.strip())
@@ -194,6 +227,10 @@ class Blocks(HTMLParser):
         self.close()
         for b in self.blocks:
             b.text = " ".join("".join(b.parts).split())
+            node = b.names
+            while node is not None and node.wraps:
+                node = node.parent.named
+            b.named = node is not None
         return [b for b in self.blocks if b.text]
 
 
@@ -214,6 +251,8 @@ def evidence(block: Block) -> int:
         out += 500
     if block.apart:
         out -= 1200
+    elif block.named:
+        out -= 700
     return round(out)
 
 
@@ -294,7 +333,7 @@ def content_blocks(blocks: list[Block]) -> list[bool]:
         elif e < 0:
             flow.join(k, sink, -e)
         if k:
-            like = b.apart == blocks[k - 1].apart and b.within == blocks[k - 1].within
+            like = b.apart == blocks[k - 1].apart and b.named == blocks[k - 1].named and b.within == blocks[k - 1].within
             flow.join(k - 1, k, 60 if like else 15, 60 if like else 15)
         near = last.get(b.container)
         if near is not None and near != k - 1:
@@ -311,7 +350,12 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html)
     blocks = parser.finished()
-    return "\n".join(b.text for b, keep in zip(blocks, content_blocks(blocks), strict=True) if keep)
+    content = content_blocks(blocks)
+    if not any(content) and any(b.named for b in blocks):  # names that leave a page without text are those of its layout
+        for b in blocks:
+            b.named = False
+        content = content_blocks(blocks)
+    return "\n".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

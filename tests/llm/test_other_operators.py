@@ -119,6 +119,32 @@ def test_closed_unseen_elements():
     assert main_text(f"<head><noscript>{hidden}</noscript><title>T</title></head><body><article>{unseen}<p>{text}</p>{unseen}<p>{text}</p></article>") == f"{text}\n{text}"
 
 
+TEXT = "This paragraph is long enough to be the content of a page, as it has words."
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ["<body class='has-sidebar'><article>", "<body class='sidebar'><article>", "<div class='no-ads layout'>", "<div class='layout sidebar-left'>", "<div class='sidebar-left'><article>", "<form id=aspnetForm><div>", "<form><main>"]
+    + ["<main><div class='sidebar-left'><article class='post tags'>", "<main><div class='has-sidebar'>"],
+)
+def test_names_of_layout(opening):
+    assert main_text(f"{opening}<p>{TEXT}</p><p>{TEXT}</p>") == f"{TEXT}\n{TEXT}"
+
+
+def test_names_in_articles():
+    assert main_text(f"<article><h1 class='page-header'>Title</h1><p>{TEXT}</p></article>") == f"Title\n{TEXT}"
+    assert main_text(f"<article><header class='entry-header'><h1>Title</h1></header><p>{TEXT}</p></article>") == f"Title\n{TEXT}"
+    inline = "<span class='author'>Jane</span> <a class='social' href=x>Share</a> <button>Press</button>"
+    assert main_text(f"<article><p>{TEXT} {inline} {TEXT}</p><p>{inline}</p></article>") == f"{TEXT} {TEXT}"
+    long = " ".join([TEXT] * 20)
+    assert main_text(f"<article><p>{TEXT}</p><div class='promo'><p>{long}</p></div><div class='promo'><p>Buy this.</p></div></article>") == f"{TEXT}\n{long}"
+
+
+def test_comments_stay_apart():
+    comments = f"<section class='comments'><article class='comment'><p>{TEXT}</p></article><article><p>{TEXT}</p></article></section>"
+    assert main_text(f"<article><p>{TEXT}</p></article>{comments}<form><p>{TEXT}</p></form>") == TEXT
+
+
 def test_maximum_flow_is_the_minimum_cut():
     rng = random.Random(5)
     for _ in range(40):
