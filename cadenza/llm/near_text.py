@@ -3,8 +3,10 @@
 A text is the weighted set of its shingles of five words; a weight is the shingle's count times its inverse document
 frequency. Document frequencies are counted over all documents in a table of fixed size, addressed by the shingle's hash:
 a cell that rare shingles share holds the same fraction of the documents at any size of the corpus, so weights do not
-drift as it grows. Samples of the weighted sets are banded; all pairs of a bucket are verified by their exact weighted
-Jaccard similarity, in blocks of bounded size that return spanning links only. Exact copies are one node throughout.
+drift as it grows. In a large group of near copies what they share weighs less than what was changed, so texts are also
+compared by their counts alone, which no group's size moves. Samples of the weighted and of the plain sets are banded; all
+pairs of a bucket are verified by both exact Jaccard similarities, in blocks of bounded size that return spanning links
+only. Exact copies are one node throughout.
 """
 
 from __future__ import annotations
@@ -78,8 +80,8 @@ def similarities(sets: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray)
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, component_id (least id of the document's class) and kept (whether the row stands for its class).
 
-    Two documents are linked if their texts are equal or their weighted Jaccard similarity is at least ``threshold``; a
-    class is what links connect. Null, empty and blank texts are like nothing and form classes of their own. Texts of fewer
+    Two documents are linked if their texts are equal or their Jaccard similarity, weighted or by counts alone, is at least
+    ``threshold``; a class is what links connect. Null, empty and blank texts are like nothing and form classes of their own. Texts of fewer
     than five words are one shingle, those without any word equal only their copies. Rows with the same id share its
     outcome. Rows with a null id never stand for others and are kept only where their class has no id. Other columns are
     not read; an empty table gives an empty result.
@@ -93,21 +95,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weight.value
-        bands = np.arange(BANDS, dtype=np.int32)
+        n_bands = 2 * BANDS  # of the weighted sets, then of the plain ones
+        bands = np.arange(n_bands, dtype=np.int32)
         for pdf in batches:
             nodes, keys = [], []
             for node, text in zip(pdf["node"].tolist(), pdf["text"].tolist(), strict=True):
                 h, c = shingles(text)
                 if len(h):
                     nodes.append(node)
-                    keys.append(weighted_samples(h, c * w[cells(h)], BANDS * ROWS))
+                    keys.append(np.concatenate([weighted_samples(h, x, BANDS * ROWS) for x in (c * w[cells(h)], c)]))
             if nodes:
-                parts = np.array(keys, np.float32).view(np.uint32).astype(np.uint64).reshape(len(nodes), BANDS, ROWS)
-                key = np.zeros((len(nodes), BANDS), np.uint64)
+                parts = np.array(keys, np.float32).view(np.uint32).astype(np.uint64).reshape(len(nodes), n_bands, ROWS)
+                key = np.zeros((len(nodes), n_bands), np.uint64)
                 for k in range(ROWS):
                     key = (key ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
-                yield pd.DataFrame({"band": np.tile(bands, len(nodes)), "key": key.astype(np.int64).ravel(), "node": np.repeat(np.array(nodes, object), BANDS)})
+                yield pd.DataFrame({"band": np.tile(bands, len(nodes)), "key": key.astype(np.int64).ravel(), "node": np.repeat(np.array(nodes, object), n_bands)})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,14 +123,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for h, c in zip(unit["hashes"], unit["counts"], strict=True):
             h = np.frombuffer(h, np.uint64)
             sets.append((h, np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(h), np.int64)))
-        linked = similarities(sets, weight.value) >= threshold
+        linked = (similarities(sets, weight.value) >= threshold) | (similarities(sets, np.broadcast_to(1.0, CELLS)) >= threshold)
         first = linked_groups(linked)
         node = unit["node"].to_numpy()
         more = np.flatnonzero(first != np.arange(len(node)))
         return pd.DataFrame({"a": node[more], "b": node[first[more]]})
 
     sampled = rows.filter("not blank").select("node", "text").mapInPandas(sample, "band int, key long, node binary")
-    shared = written(shared_buckets(sampled))
+    shared = written(shared_buckets(written(sampled)))  # which reads the samples twice
     wanted = shared.select("node").distinct()
     texts = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = texts.mapInPandas(features, "node binary, hashes binary, counts binary")

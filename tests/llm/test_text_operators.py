@@ -223,6 +223,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(kept == (k == c) for k, (c, kept) in got.items())
 
 
+def test_near_copies_of_a_large_group_are_linked(spark):
+    rng = random.Random(6)
+    base = prose(rng, 204).split()
+    texts = []
+    for k in range(20):  # a third of the rows; every two have 180 of 220 shingles in common
+        words = list(base)
+        words[4 + 10 * k], words[9 + 10 * k] = f"one{k}", f"two{k}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts + [prose(rng, 204) for _ in range(40)])).collect()}
+    assert got == {k: 0 if k < 20 else k for k in range(60)}
+
+
 def test_similarities_count_repeated_shingles():
     sets = [shingles("a b c d e a b c d e a b c d e"), shingles("a b c d e a b c d e"), shingles("q")]
     j = similarities(sets, np.ones(CELLS))
