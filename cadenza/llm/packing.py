@@ -9,6 +9,7 @@ at a partition's end is packed once more, bin by bin, among neighbouring partiti
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,21 @@ from cadenza.llm.lineage import bounded_batches, written
 from cadenza.llm.tokens import WordMemo, in_chunks, vocabulary
 
 OPEN_BINS = 64
+#: Pieces between white space are more than words.
+MEMO_ENTRIES = 700_000
+#: Python's str.split takes these for white space, Unicode's property doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SPACE = regex.compile(r"\p{White_Space}+")
 #: Partitions whose open bins are packed together; their bins are at most this many times OPEN_BINS.
 NEIGHBOURS = 256
 
 
 class WordEncoder:
-    """Ids of whole texts by a word-wise vocabulary of the tokenizers library, each distinct word encoded once.
+    """Ids of whole texts by a word-wise vocabulary of the tokenizers library, each distinct piece between white space encoded once.
 
-    The file's own normaliser and pattern decide what a word is; both are read from it and refused if unknown.
+    The file's own normaliser and pattern decide what a word is; both are read from it and refused if unknown. No word of
+    the pattern holds white space, so pieces between white space are encoded apart. Pieces reach the library normalised
+    and cut into words; its last token of a word carries the suffix of word ends, which tells where a word's ids end.
     """
 
     def __init__(self, path: str):
@@ -45,31 +53,54 @@ class WordEncoder:
             spec = json.load(f)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, mapped = spec["pre_tokenizer"]["pretokenizers"]
-        if steps != ["NFC", "Replace", "Lowercase"] or (split["type"], split["behavior"], split["invert"]) != ("Split", "Removed", True) or mapped["use_regex"]:
+        known = (split["type"], split["behavior"], split["invert"]) == ("Split", "Removed", True) and not mapped["use_regex"] and spec["model"]["end_of_word_suffix"]
+        if steps != ["NFC", "Replace", "Lowercase"] or not known:
             raise ValueError(f"{path}: its normaliser or pre-tokeniser is not supported")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.special = [a["content"] for a in spec["added_tokens"]]
-        self.memo = WordMemo(self._encode_words)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        self.of_words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": mapped, "added_tokens": [], "post_processor": None}))
+        self.assigned: set[str] = set()
+        self.memo = WordMemo(self._encode_pieces, MEMO_ENTRIES)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids; a piece is normalised and holds no white space."""
+        found = [self.words.findall(p) for p in pieces]
+        out: list[bytes] = []
+        for part in in_chunks(found, len, 100_000):
+            flat = [w for words in part for w in words]
+            ids = np.array(self.of_words.encode_batch_fast([flat], is_pretokenized=True, add_special_tokens=False)[0].ids if flat else [], "<u4")
+            after = np.r_[0, np.flatnonzero(self.ends_word[ids]) + 1]  # where each word's ids end
+            at = (4 * after[np.cumsum([0, *map(len, part)])]).tolist()
+            raw = ids.tobytes()
+            out += [raw[s:e] for s, e in zip(at, at[1:], strict=False)]
+        return out
 
-    def _split(self, text: str) -> list[str] | None:
+    def _pieces(self, text: str) -> list[str] | None:
+        """Normalised pieces of a text; None if the library has to take it whole: for special tokens, and for characters
+        younger than Python's tables, which other libraries class otherwise."""
         if any(s in text for s in self.special):
             return None
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
+            new = set(text).difference(self.assigned)
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return None
+            self.assigned |= new
+            text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+        text = text.lower()
+        return _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         out = []
         for part in in_chunks(texts, len):
-            split = [self._split(t) for t in part]
-            self.memo.learn(w for words in split if words for w in words)
+            split = [self._pieces(t) for t in part]
+            self.memo.learn(itertools.chain.from_iterable(filter(None, split)))
             get = self.memo.__getitem__
-            for text, words in zip(part, split, strict=True):
-                out.append(self._encode_words([text])[0] if words is None else b"".join(map(get, words)))
+            for text, pieces in zip(part, split, strict=True):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None else b"".join(map(get, pieces)))
         return out
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Callable, Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a worker's word memo; a full memo is emptied and filled again, so results never depend on it.
+#: Entries of a worker's word memo; a full memo loses its older half, so results never depend on it.
 MEMO_ENTRIES = 400_000
 
 
@@ -30,10 +31,13 @@ class WordMemo(dict):
         words = set(words)
         new = words.difference(self)
         if len(self) + len(new) > self.entries:
-            self.clear()
-            new = words
+            for word in list(itertools.islice(self, (len(self) + 1) // 2)):
+                del self[word]
+            if len(self) + len(new) > self.entries:
+                self.clear()
+            new = words.difference(self)
         if new:
-            new = sorted(new)
+            new = list(new)
             self.update(zip(new, self.encode(new), strict=True))
 
 

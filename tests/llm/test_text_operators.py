@@ -113,6 +113,17 @@ def test_word_ids_are_the_librarys():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(path).encode(texts)] == expected
 
 
+def test_word_ids_of_odd_characters():
+    path = vocabulary("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(13)
+    marks = [chr(c) for c in (0x316, 0x307, 0x301, 0x327, 0x345, 0x130, 0x1E9E, 0x2028, 0x200B, 0xFB01, 0x1100, 0x1161, 0x2160, 0x187F8, 0x32000)]
+    letters = [*"aAbB'stre 19_.\t\n\x1c\x1f\x85\xa0Σσςıß", *marks]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.8 else chr(rng.randrange(0x80, 0xD800)) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["\u0130\u0316"] + [chr(c) + "a" for c in range(0x80, 0x3000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(path).encode(texts)] == expected
+
+
 def test_best_fit_takes_the_fullest_bin():
     fit = BestFit(10, 3)
     assert [fit.put(n)[0] for n in (6, 5, 7, 3, 4)] == [0, 1, 2, 2, 0]
