@@ -37,8 +37,8 @@ class WordEncoder:
     """Ids of whole texts by a word-wise vocabulary of the tokenizers library, each distinct piece between white space encoded once.
 
     The file's own normaliser and pattern decide what a word is; both are read from it and refused if unknown. No word of
-    the pattern holds white space, so pieces between white space are encoded apart. Pieces reach the library normalised
-    and cut into words; its last token of a word carries the suffix of word ends, which tells where a word's ids end.
+    the pattern holds white space, so pieces between white space are encoded apart. Pieces reach the library in lower case
+    and cut into words; the last token of a word carries the suffix of word ends, which tells where a word's ids end.
     """
 
     def __init__(self, path: str):
@@ -79,16 +79,16 @@ class WordEncoder:
         return out
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Normalised pieces of a text; None if the library has to take it whole: for special tokens, and for characters
-        younger than Python's tables, which other libraries class otherwise."""
+        """Normalised pieces of a text; None if the library has to take it whole: for special tokens, characters younger than
+        Python's tables, which others class otherwise, and texts that aren't normalised, as tables of marks differ too."""
         if any(s in text for s in self.special):
             return None
         if not text.isascii():
             new = set(text).difference(self.assigned)
-            if any(unicodedata.category(c) == "Cn" for c in new):
+            if any(unicodedata.category(c) == "Cn" for c in new) or not unicodedata.is_normalized("NFC", text):
                 return None
             self.assigned |= new
-            text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+            text = text.replace("Σ", "σ")
         text = text.lower()
         return _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
 
