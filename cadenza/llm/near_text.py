@@ -4,9 +4,10 @@ A text is the weighted set of its shingles of five words; a weight is the shingl
 frequency. Document frequencies are counted over all documents in a table of fixed size, addressed by the shingle's hash:
 a cell that rare shingles share holds the same fraction of the documents at any size of the corpus, so weights do not
 drift as it grows. In a large group of near copies what they share weighs less than what was changed, so texts are also
-compared by their counts alone, which no group's size moves. Samples of the weighted and of the plain sets are banded; all
-pairs of a bucket are verified by both exact Jaccard similarities, in blocks of bounded size that return spanning links
-only. Exact copies are one node throughout.
+compared by their counts alone, which no group's size moves. Samples of the weighted and of the plain sets are banded. In
+a bucket the pairs of every block of bounded size are verified by both exact Jaccard similarities, together with one lead;
+whatever isn't connected with the lead is then verified against the whole bucket, so no class loses a link. Blocks return
+spanning links only. Exact copies are one node throughout.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.candidates import blocks, by_unit, in_units, linked_groups, shared_buckets
+from cadenza.llm.candidates import by_unit, in_units, linked_groups, loose_blocks, shared_buckets, stars
 from cadenza.llm.components import components
+from cadenza.llm.joins import looked_up
 from cadenza.llm.lineage import bounded_batches, written
 from cadenza.llm.shingles import CELLS, cells, idf, shingles, weighted_samples
 from cadenza.llm.totals import slices, summed
@@ -89,28 +91,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = given.select("id", "text", F.unhex(F.md5("text")).alias("node"), (~F.col("text").rlike(r"\S")).alias("blank"))
+    rows = given.select("id", "text", F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5("text"))).alias("node"))
     counts, n_docs = document_frequencies(given.select("text"))
     weight = spark.sparkContext.broadcast(idf(counts, n_docs))  # CELLS numbers
+    kind = rows.schema["id"].dataType.simpleString()
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weight.value
-        n_bands = 2 * BANDS  # of the weighted sets, then of the plain ones
-        bands = np.arange(n_bands, dtype=np.int32)
         for pdf in batches:
-            nodes, keys = [], []
+            keys: dict[bytes, np.ndarray | None] = {None: None}
             for node, text in zip(pdf["node"].tolist(), pdf["text"].tolist(), strict=True):
-                h, c = shingles(text)
-                if len(h):
-                    nodes.append(node)
-                    keys.append(np.concatenate([weighted_samples(h, x, BANDS * ROWS) for x in (c * w[cells(h)], c)]))
-            if nodes:
-                parts = np.array(keys, np.float32).view(np.uint32).astype(np.uint64).reshape(len(nodes), n_bands, ROWS)
-                key = np.zeros((len(nodes), n_bands), np.uint64)
-                for k in range(ROWS):
-                    key = (key ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(31)
-                yield pd.DataFrame({"band": np.tile(bands, len(nodes)), "key": key.astype(np.int64).ravel(), "node": np.repeat(np.array(nodes, object), n_bands)})
+                if node not in keys:
+                    h, c = shingles(text)
+                    keys[node] = band_keys([weighted_samples(h, x, BANDS * ROWS) for x in (c * w[cells(h)], c)]) if len(h) else None
+            yield pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "keys": [keys[n] for n in pdf["node"].tolist()]})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,29 +112,62 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             counts = [b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c in sets]
             yield pd.DataFrame({"node": pdf["node"], "hashes": [h.tobytes() for h, _ in sets], "counts": counts})
 
-    def verify(unit: pd.DataFrame) -> pd.DataFrame | None:
+    def groups(unit: pd.DataFrame) -> np.ndarray:
         sets = []
         for h, c in zip(unit["hashes"], unit["counts"], strict=True):
             h = np.frombuffer(h, np.uint64)
             sets.append((h, np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(h), np.int64)))
-        linked = (similarities(sets, weight.value) >= threshold) | (similarities(sets, np.broadcast_to(1.0, CELLS)) >= threshold)
-        first = linked_groups(linked)
+        return linked_groups((similarities(sets, weight.value) >= threshold) | (similarities(sets, np.broadcast_to(1.0, CELLS)) >= threshold))
+
+    def links_of(unit: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         node = unit["node"].to_numpy()
         more = np.flatnonzero(first != np.arange(len(node)))
         return pd.DataFrame({"a": node[more], "b": node[first[more]]})
 
-    sampled = rows.filter("not blank").select("node", "text").mapInPandas(sample, "band int, key long, node binary")
-    shared = written(shared_buckets(written(sampled)))  # which reads the samples twice
+    def verify_star(unit: pd.DataFrame) -> pd.DataFrame | None:
+        first = groups(unit)
+        out = links_of(unit, first)
+        if unit["wide"].iloc[0]:
+            lead = min(np.flatnonzero(unit["lead"].to_numpy()).tolist(), key=unit["node"].tolist().__getitem__)
+            apart = unit.loc[first != first[lead], ["band", "key", "node"]].rename(columns={"node": "a"})
+            out = pd.concat([out, apart], ignore_index=True)
+        return out.reindex(columns=["a", "b", "band", "key"]).astype({"band": "Int32", "key": "Int64"})
+
+    def verify_loose(unit: pd.DataFrame) -> pd.DataFrame | None:
+        return links_of(unit, groups(unit))
+
+    signed = written(rows.mapInPandas(sample, f"id {kind}, node binary, keys array<long>"))
+    nodes = written(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("keys", ignorenulls=True).alias("keys")))
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    total = 2 * BANDS * n_docs
+    shared = written(shared_buckets(members.select("band", "key", "node"), total))
     wanted = shared.select("node").distinct()
-    texts = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = texts.mapInPandas(features, "node binary, hashes binary, counts binary")
-    links = written(in_units(blocks(shared).join(sets, "node")).mapInPandas(by_unit(verify), "a binary, b binary"))
+    # copies are dropped before texts are dealt out, so a text with very many of them meets nowhere
+    texts = rows.select("node", "text").filter("node is not null").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    sets = written(texts.mapInPandas(features, "node binary, hashes binary, counts binary"))
+    told = written(in_units(stars(shared).join(sets, "node")).mapInPandas(by_unit(verify_star), "a binary, b binary, band int, key long"))
+    links = told.filter("b is not null").select("a", "b")
+    loose = told.filter("b is null").select("band", "key", F.col("a").alias("node"))
+    if not loose.isEmpty():  # nodes of wide buckets that aren't connected with its lead meet the whole bucket
+        links = written(links.union(in_units(loose_blocks(shared, loose, total).join(sets, "node")).mapInPandas(by_unit(verify_loose), "a binary, b binary")))
     found = components(links)
-    placed = rows.select("id", "node", "blank").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = placed.filter("not blank").groupBy("class").agg(F.min("id").alias("component_id"))
-    joined = placed.filter("not blank").join(least, "class").select("id", "component_id")
-    alone = placed.filter("blank").select("id", F.col("id").alias("component_id"))
-    return joined.union(alone).select(F.col("id").alias(id_col), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    placed = nodes.select("node", "least", "n").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classes = placed.groupBy("class").agg(F.min("least").alias("component_id"), F.sum("n").alias("n"), F.lit(True).alias("any"))
+    of_node = looked_up(placed.select("node", "class", F.col("n").alias("rows")), classes, on="class", count="n", total=n_docs, values=["any", "component_id"], spread="node")
+    joined = looked_up(signed.select("id", "node"), of_node.select("node", "any", "component_id", "rows"), on="node", count="rows", total=n_docs, values=["any", "component_id"], spread="id")
+    component = F.when(F.col("any"), F.col("component_id")).otherwise(F.col("id"))
+    out = joined.select("id", component.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def band_keys(samples: list[np.ndarray]) -> np.ndarray:
+    """One key for every ROWS samples, those of the weighted set first, then those of the plain one."""
+    parts = np.concatenate(samples).astype(np.float32).view(np.uint32).astype(np.uint64).reshape(-1, ROWS)
+    key = np.zeros(len(parts), np.uint64)
+    for k in range(ROWS):
+        key = (key ^ parts[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key.astype(np.int64)
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

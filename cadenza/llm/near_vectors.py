@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.candidates import blocks, by_unit, in_units, linked_groups, shared_buckets
 from cadenza.llm.components import components
+from cadenza.llm.joins import digest, looked_up
 from cadenza.llm.lineage import bounded_batches, written
 
 WIDTH = 2.0
@@ -61,16 +62,19 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
 
     Two vectors are linked if their cosine is at least ``threshold``; of pairs exactly at it at least 99 in 100 are found,
     of nearer ones more, and none below it. Null or empty vectors, zero vectors, and those with null or non-finite
-    components link with nothing, and so do rows without an id. Vectors of different lengths never link. Repeated
-    rows count as vectors of their own; different vectors under one id share their links. Other columns are not read; an empty table gives an empty result.
+    components link with nothing. Vectors of different lengths never link. Every row is a vector of its own, whether it
+    repeats another or only shares its id; a row without an id links like others, and is kept only where no row it can reach
+    has an id. Other columns are not read; an empty table gives an empty result.
     """
     bounded_batches(vectors.sparkSession)
     v = F.col("v")
-    fine = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    nodes = written(rows.filter("fine").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    k, tables = plan(nodes.count(), threshold)
-    kind = rows.schema["id"].dataType.simpleString()
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = given.withColumn("node", F.when(fine, digest("v")))
+    few = [F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")]
+    nodes = written(rows.filter("node is not null").groupBy("node").agg(*few))
+    n_rows, n_nodes = (int(x or 0) for x in nodes.agg(F.sum("copies"), F.count("*")).first())
+    k, tables = plan(n_nodes, threshold)
 
     def units(raw: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places and unit vectors, by vector length."""
@@ -127,15 +131,18 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
         node = unit["node"].to_numpy()
         return pd.DataFrame({"a": node[told], "b": node[first[told]], "n": n[told].astype(np.int64)})
 
-    signed = nodes.mapInPandas(hashed, f"node {kind}, copies long, unit binary, keys binary")
-    signed = written(signed)
-    shared = shared_buckets(signed.mapInPandas(memberships, f"band int, key long, node {kind}"))
-    links = written(in_units(blocks(shared).join(signed, "node")).mapInPandas(by_unit(verify), f"a {kind}, b {kind}, n long"))
+    signed = written(nodes.mapInPandas(hashed, "node binary, copies long, unit binary, keys binary"))
+    members = signed.select("node", "keys").mapInPandas(memberships, "band int, key long, node binary")
+    shared = shared_buckets(members, n_nodes * tables)
+    links = written(in_units(blocks(shared).join(signed, "node")).mapInPandas(by_unit(verify), "a binary, b binary, n long"))
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     found = components(links.filter("a <> b").select("a", "b"))
-    of_node = nodes.join(counted, "node", "left").join(found, "node", "left")
-    of_node = of_node.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
-    linked = rows.filter("fine").join(of_node, "v").select("id", "n", "component")
-    alone = rows.filter("not fine").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
-    out = linked.union(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    placed = nodes.select("node", "least", "copies").join(counted, "node", "left").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classes = placed.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("size"), F.lit(True).alias("any"))
+    of_node = looked_up(placed.select("node", "class", "copies", F.coalesce("n", F.lit(0)).alias("n")), classes, on="class", count="size", total=n_nodes, values=["any", "component_id"], spread="node")
+    told = of_node.select("node", "copies", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
+    joined = looked_up(rows.select("id", "node"), told, on="node", count="copies", total=n_rows, values=["n_links", "component_id"], spread="id")
+    alone = F.col("n_links").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
+    out = joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -50,7 +50,7 @@ def test_near_vectors_against_brute_force(spark):
     centres = rng.normal(size=(12, 16))
     rows = [c + rng.normal(size=16) * s for c in centres for s in rng.choice([0.0, 0.05, 0.1, 0.2, 0.4], 20)] + list(rng.normal(size=(50, 16)))
     rows += [rows[0], rows[0], rows[1] * 7]
-    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0, None]), (905, [float("inf")] * 16), (906, [1e-30, 1e-30]), (907, [1.0, 1.0]), (None, [1.0] * 16)]
+    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0, None]), (905, [float("inf")] * 16), (906, [1e-30, 1e-30]), (907, [1.0, 1.0]), (None, None)]
     data = [(k, [float(x) for x in v], 0, "x") for k, v in enumerate(rows)] + [(k, v, 0, "x") for k, v in odd]
     got = {r["vec_id"]: r for r in near_duplicate_vectors(spark.createDataFrame(data, VECTORS)).collect()}
     x = np.array(rows, np.float32).astype(float)
@@ -69,6 +69,13 @@ def test_near_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    data = [(1, a, 0, "x"), (1, b, 0, "x"), (2, [1.0, 0.01, 0.0, 0.0], 0, "x"), (3, [0.01, 1.0, 0.0, 0.0], 0, "x"), (None, [0.0, 0.0, 1.0, 0.0], 0, "x"), (None, [0.0, 0.0, 1.0, 0.0], 0, "x"), (None, a, 0, "x")]
+    got = sorted((tuple(r) for r in near_duplicate_vectors(spark.createDataFrame(data, VECTORS)).collect()), key=str)
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 2, 1, False)]
+
+
 def test_large_group_is_counted_once(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=32)

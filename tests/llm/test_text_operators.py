@@ -12,6 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cadenza.llm import candidates
 from cadenza.llm import hidden_markov as hm
 from cadenza.llm import toxicity as tx
 from cadenza.llm.bpe import codec, encode_documents, round_trip_digests
@@ -212,7 +213,8 @@ def classes_by_brute_force(texts, df, n, threshold=0.8):
             if bags[i].keys() & bags[j].keys():
                 lo = sum(min(bags[i].get(k, 0), bags[j].get(k, 0)) * weight[k % CELLS] for k in keys)
                 hi = sum(max(bags[i].get(k, 0), bags[j].get(k, 0)) * weight[k % CELLS] for k in keys)
-                if lo / hi >= threshold:
+                lo_plain = sum(min(bags[i].get(k, 0), bags[j].get(k, 0)) for k in keys)
+                if lo / hi >= threshold or lo_plain / sum(max(bags[i].get(k, 0), bags[j].get(k, 0)) for k in keys) >= threshold:
                     label[find(i)] = find(j)
     place = {t: find(k) for k, t in enumerate(distinct)}
     first: dict = {}
@@ -246,6 +248,42 @@ def test_near_copies_of_a_large_group_are_linked(spark):
     assert got == {k: 0 if k < 20 else k for k in range(60)}
 
 
+def test_wide_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 4)  # so that buckets of few nodes have many blocks
+    rng = random.Random(9)
+    words = prose(rng, 300).split()
+    texts = []
+    for k in range(90):  # a drifting chain: neighbours are alike, ends aren't, and few are linked with a bucket's lead
+        texts.append(" ".join(words))
+        words[(7 * k) % 300] = f"new{k}"
+    texts += [texts[0], texts[40]] * 30 + [prose(rng, 80) for _ in range(30)] + ["long " * 200_000, "long " * 200_000]
+    df = docs(spark, texts)
+    counts, n = document_frequencies(df.select("text"))
+    expected = classes_by_brute_force(texts, counts, n)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == expected
+
+
+def test_loose_nodes_meet_their_whole_bucket(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 3)
+    node = [bytes([k]) * 16 for k in range(20)]
+    members = spark.createDataFrame([(0, 5, x) for x in node] + [(1, 6, node[0]), (1, 6, node[1]), (2, 7, node[3])], "band int, key long, node binary")
+    shared = candidates.shared_buckets(members, members.count())
+    assert {(r["band"], r["n"]) for r in shared.collect()} == {(0, 20), (1, 2)}
+    loose = spark.createDataFrame([(0, 5, x) for x in node[:5]], "band int, key long, node binary")
+    met = set()
+    units: dict = {}
+    for r in candidates.loose_blocks(shared, loose, 23).collect():
+        units.setdefault((r["band"], r["key"], r["i"], r["j"]), set()).add(bytes(r["node"]))
+    for together in units.values():
+        met |= {(a, b) for a in together for b in together}
+    assert {(a, b) for a in node[:5] for b in node} <= met
+    star: dict = {}
+    for r in candidates.stars(shared).collect():
+        star.setdefault((r["band"], r["i"]), []).append((bytes(r["node"]), r["lead"]))
+    assert all(sum(lead for _, lead in rows) == 1 for rows in star.values())
+    assert {n for (band, _), rows in star.items() for n, _ in rows if not band} == set(node)
+
+
 def test_similarities_count_repeated_shingles():
     sets = [shingles("a b c d e a b c d e a b c d e"), shingles("a b c d e a b c d e"), shingles("q")]
     j = similarities(sets, np.ones(CELLS))
