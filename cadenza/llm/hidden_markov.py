@@ -30,7 +30,12 @@ STATES = 8
 OWN, CLASSES, HELD = 1 << 14, 1 << 10, 1 << 18
 #: Longer words are joined, whatever their count, so that the table of held words has a bounded size.
 HELD_BYTES = 64
-SEGMENT, SAMPLE_DOCS, SAMPLE_ROUNDS, ROUNDS = 256, 400, 15, 2
+SAMPLE_DOCS, SAMPLE_ROUNDS = 400, 15
+#: Rounds over all training texts end once the likelihood of a token grows by less than this part of it, or after so many.
+SETTLED, MOST_ROUNDS = 1e-3, 3
+#: Steps of time whose states are held at once.
+WINDOW = 8192
+LONG = 2048
 END = b""
 _FLUSH = 300_000
 
@@ -154,57 +159,90 @@ class TimeMajor:
         return zip(self.begin.tolist(), self.active.tolist(), strict=True)
 
 
+def _forward_through(model: Markov, inside: list[tuple[int, int]], a: np.ndarray | None, state: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Forward states and scales of consecutive steps into ``state``, which holds their emissions, and ``scale``; the last state.
+
+    ``a`` is the state of the step before them, None at the start of the sequences.
+    """
+    base, ones = inside[0][0], np.ones(STATES)
+    for begin, n in inside:
+        here = slice(begin - base, begin - base + n)
+        now, s = state[here], scale[here]
+        now *= model.start if a is None else a[:n] @ model.move
+        np.matmul(now, ones, out=s)
+        now /= s[:, None]
+        a = now
+    return a
+
+
 def forward(model: Markov, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence of symbols."""
     tm = TimeMajor(sequences)
     logs = np.zeros(len(sequences))
-    a = None
-    for begin, n in tm.steps():
-        a = (model.start[None, :] if a is None else a[:n] @ model.move) * model.emit[tm.obs[begin : begin + n]]
-        scale = a.sum(axis=1)
-        a /= scale[:, None]
-        logs[:n] += np.log10(scale)
+    steps, a = list(tm.steps()), None
+    for first in range(0, len(steps), WINDOW):
+        inside = steps[first : first + WINDOW]
+        base, end = inside[0][0], sum(inside[-1])
+        state, scale = model.emit[tm.obs[base:end]], np.empty(end - base)
+        a = _forward_through(model, inside, a, state, scale)
+        row = np.arange(end - base) - np.repeat([begin - base for begin, _ in inside], [n for _, n in inside])
+        logs += np.bincount(row, weights=np.log10(scale), minlength=len(logs))
     out = np.empty(len(sequences))
     out[tm.order] = logs
     return out
 
 
-def expected_counts(model: Markov, segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions (symbols x states) of sequences of symbols."""
-    tm = TimeMajor(segments)
+def expected_counts(model: Markov, sequences: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, moves and emissions (symbols x states) of whole sequences of symbols, and their log10 likelihood.
+
+    Time runs in windows. The first pass keeps the forward state at each window's start only; going back, a window's forward
+    states are made anew from there and the backward state is carried into it from the window after it. So the counts are
+    those of whole sequences, and memory is bounded by a window of them.
+    """
+    tm = TimeMajor(sequences)
     steps = list(tm.steps())
-    alpha = np.empty((len(tm.obs), STATES))
-    scale = np.empty(len(tm.obs))
-    a = None
-    for begin, n in steps:
-        a = (model.start[None, :] if a is None else a[:n] @ model.move) * model.emit[tm.obs[begin : begin + n]]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        alpha[begin : begin + n], scale[begin : begin + n] = a, s
-    moves = np.zeros((STATES, STATES))
-    beta = np.ones((0, STATES))
-    gamma = alpha
-    for t in range(len(steps) - 1, -1, -1):
-        begin, n = steps[t]
-        if t + 1 < len(steps):
-            after, m = steps[t + 1]
-            weighted = model.emit[tm.obs[after : after + m]] * beta / scale[after : after + m, None]
-            moves += alpha[begin : begin + m].T @ weighted
-            beta = np.concatenate([weighted @ model.move.T, np.ones((n - m, STATES))])
-        else:
-            beta = np.ones((n, STATES))
-        if t:
-            gamma[begin : begin + n] *= beta
-        else:
-            gamma[:n] = alpha[:n] * beta
-    # alpha of a step was read before it became gamma: moves go from the end to the start
-    first = gamma[: steps[0][1]].sum(axis=0) if steps else np.zeros(STATES)
-    emitted = np.stack([np.bincount(tm.obs, weights=gamma[:, s], minlength=len(model.emit)) for s in range(STATES)], axis=1)
-    return first, moves * model.move, emitted
-
-
-def segments_of(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[k : k + SEGMENT] for k in range(0, len(symbols), SEGMENT)]
+    starts = list(range(0, len(steps), window))
+
+    def bounds(first: int) -> tuple[int, int, list[tuple[int, int]]]:
+        inside = steps[first : first + window]
+        return inside[0][0], sum(inside[-1]), inside
+
+    entering: list[np.ndarray | None] = [None]
+    for first in starts[:-1]:
+        base, end, inside = bounds(first)
+        entering.append(_forward_through(model, inside, entering[-1], model.emit[tm.obs[base:end]], np.empty(end - base)).copy())
+    moves, first_state, likelihood = np.zeros((STATES, STATES)), np.zeros(STATES), 0.0
+    emitted = np.zeros((len(model.emit), STATES))
+    after = np.empty((0, STATES))  # emission times backward state over scale, of the step after a window
+    back = np.ascontiguousarray(model.move.T)
+    for first, a in zip(reversed(starts), reversed(entering), strict=True) if steps else ():
+        base, end, inside = bounds(first)
+        emission = model.emit[tm.obs[base:end]]
+        alpha, scale, beta = emission.copy(), np.empty(end - base), np.ones((end - base, STATES))
+        _forward_through(model, inside, a, alpha, scale)
+        likelihood += float(np.log10(scale).sum())
+        emission /= scale[:, None]
+        begin, n = inside[-1]
+        last = alpha[begin - base :]
+        moves += last[: len(after)].T @ after
+        for begin, n in reversed(inside):
+            here = slice(begin - base, begin - base + n)
+            if len(after):
+                np.matmul(after, back, out=beta[here][: len(after)])
+            after = emission[here]
+            after *= beta[here]  # what a step before it needs, kept where its emissions were
+        after = after.copy()
+        lengths = np.fromiter((n for _, n in inside), np.int64, len(inside))
+        # the place of each state before one of this window: as far into the step before as it is into its own
+        follows = np.arange(lengths[0], end - base) - np.repeat(lengths[:-1], lengths[1:])
+        moves += alpha[follows].T @ emission[lengths[0] :]
+        alpha *= beta
+        seen = tm.obs[base:end]
+        for s in range(STATES):
+            emitted[:, s] += np.bincount(seen, weights=alpha[:, s], minlength=len(model.emit))
+        if not first:
+            first_state = alpha[: lengths[0]].sum(axis=0)
+    return first_state, moves * model.move, emitted, likelihood
 
 
 def refit(first: np.ndarray, moves: np.ndarray, emitted: np.ndarray, base: np.ndarray) -> Markov:
@@ -214,20 +252,23 @@ def refit(first: np.ndarray, moves: np.ndarray, emitted: np.ndarray, base: np.nd
     return Markov((first + 1) / (first + 1).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _blocks(sequences: list, most: int = 500_000) -> Iterator[list]:
-    part, total = [], 0
-    for s in sequences:
-        part.append(s)
-        total += len(s)
-        if total >= most:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
+def _blocks(batches: Iterator[list], most: int = 500_000) -> Iterator[list]:
+    """The sequences of all batches in blocks of about ``most`` symbols; long ones are pooled, as they take many short steps of time."""
+    pools: list[list] = [[], []]
+    sizes = [0, 0]
+    for batch in batches:
+        for s in batch:
+            k = len(s) > LONG
+            pools[k].append(s)
+            sizes[k] += len(s)
+            if sizes[k] >= most << k:
+                yield pools[k]
+                pools[k], sizes[k] = [], 0
+    yield from filter(None, pools)
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> Markov:
-    """A model of ``texts`` (id, text): a start from about SAMPLE_DOCS of them, then ROUNDS rounds over all."""
+    """A model of ``texts`` (id, text): a start from about SAMPLE_DOCS of them, whole, then rounds over all until they settle."""
     spark = texts.sparkSession
     size = len(vocabulary.base)
     sent = spark.sparkContext.broadcast(vocabulary)  # at most HELD words of HELD_BYTES
@@ -239,34 +280,37 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Markov:
     sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(4 * SAMPLE_DOCS).select("text")
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # of each document the same number of segments at most
-            kept = [s[:: max(1, len(s) // 8)][:8] for s in (segments_of(symbols(t)) for t in pdf["text"])]
-            yield pd.DataFrame({"segment": [x.astype(np.int64).tobytes() for s in kept for x in s]})
+        for pdf in batches:
+            yield pd.DataFrame({"symbols": [symbols(t).astype("<i4").tobytes() for t in pdf["text"]]})
 
-    first_segments = sorted(bytes(r["segment"]) for r in sample.mapInPandas(drawn, "segment binary").collect())
+    whole = sorted(bytes(r["symbols"]) for r in sample.mapInPandas(drawn, "symbols binary").collect())
     rng = np.random.default_rng(11)
     emitted = vocabulary.base[:, None] * np.exp(rng.normal(0, 0.5, (size, STATES)))
     model = refit(np.zeros(STATES), np.zeros((STATES, STATES)), emitted * 1e4, vocabulary.base)
-    if first_segments:
-        local = [np.frombuffer(s, np.int64) for s in first_segments]
-        for _ in range(SAMPLE_ROUNDS):
-            model = refit(*expected_counts(model, local), vocabulary.base)
+    local = [np.frombuffer(s, "<i4") for s in whole]
+    for _ in range(SAMPLE_ROUNDS if local else 0):
+        model = refit(*expected_counts(model, local)[:3], vocabulary.base)
+
+    counts = STATES + STATES * STATES + size * STATES
 
     def gather(now) -> DataFrame:  # noqa: ANN001
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(STATES + STATES * STATES + size * STATES)
-            for pdf in batches:
-                found = [s for t in pdf["text"] for s in segments_of(symbols(t))]
-                for part in _blocks(found):
-                    total += np.concatenate([x.ravel() for x in expected_counts(now.value, part)])
+            total = np.zeros(counts + 1)
+            for part in _blocks([symbols(t) for t in pdf["text"]] for pdf in batches):
+                first, moves, emitted, likelihood = expected_counts(now.value, part)
+                total += np.concatenate([first, moves.ravel(), emitted.ravel(), [likelihood]])
             yield slices(total)
 
         return texts.select("text").mapInPandas(run, "slice long, sums binary")
 
-    for _ in range(ROUNDS):
-        total = summed(gather(spark.sparkContext.broadcast(model)), STATES + STATES * STATES + size * STATES)
-        first, moves, emitted = np.split(total, [STATES, STATES + STATES * STATES])
+    before = -np.inf
+    for _ in range(MOST_ROUNDS):
+        total = summed(gather(spark.sparkContext.broadcast(model)), counts + 1)
+        first, moves, emitted, likelihood = np.split(total, [STATES, STATES + STATES * STATES, counts])
         model = refit(first, moves.reshape(STATES, STATES), emitted.reshape(size, STATES), vocabulary.base)
+        if likelihood[0] - before < SETTLED * abs(likelihood[0]):
+            break
+        before = likelihood[0]
     return model
 
 
@@ -290,23 +334,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = sent.value, learnt.value
         log_class = np.log10(v.class_total)
-        for pdf in batches:
-            ids, texts = pdf["id"].tolist(), pdf["text"].tolist()
-            start = 0
-            for part in _blocks([_Whole(v, t, log_class) for t in texts]):
-                likelihood = forward(m, [d.symbols for d in part])
-                yield pd.DataFrame(
-                    {
-                        "id": ids[start : start + len(part)],
-                        "n_tokens": [len(d) for d in part],
-                        "held": [d.held for d in part],
-                        "base": [d.base for d in part],
-                        "score": likelihood + np.array([d.share for d in part]),
-                        "words": [list(d.others) for d in part],
-                        "times": [list(d.others.values()) for d in part],
-                    }
-                )
-                start += len(part)
+        texts = ([_Whole(v, i, t, log_class) for i, t in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True)] for pdf in batches)
+        for part in _blocks(texts):
+            likelihood = forward(m, [d.symbols for d in part])
+            yield pd.DataFrame(
+                {
+                    "id": [d.id for d in part],
+                    "n_tokens": [len(d) for d in part],
+                    "held": [d.held for d in part],
+                    "base": [d.base for d in part],
+                    "score": likelihood + np.array([d.share for d in part]),
+                    "words": [list(d.others) for d in part],
+                    "times": [list(d.others.values()) for d in part],
+                }
+            )
 
     schema = f"id {kind}, n_tokens long, held long, base double, score double, words array<binary>, times array<long>"
     scored = written(rows.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()))
@@ -330,7 +371,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 class _Whole:
     """A whole text as symbols, and what its held words add; its other words are joined with their counts later."""
 
-    def __init__(self, v: Vocabulary, text: str, log_class: np.ndarray):
+    def __init__(self, v: Vocabulary, id_, text: str, log_class: np.ndarray):  # noqa: ANN001
+        self.id = id_
         words = tokens(text)
         at, others = v.of(words)
         self.symbols = v.symbols(at, others)

@@ -401,6 +401,33 @@ def random_model(rng, symbols):
     return hm.Markov(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def test_counts_of_windows_are_those_of_whole_texts():
+    rng = np.random.default_rng(7)
+    model = random_model(rng, 9)
+    sequences = [rng.integers(0, 9, n) for n in (1, 40, 3, 17, 40, 5)]
+    whole = hm.expected_counts(model, sequences, window=1000)
+    assert whole[0].sum() == pytest.approx(6) and whole[1].sum() == pytest.approx(sum(map(len, sequences)) - 6) and whole[2].sum() == pytest.approx(sum(map(len, sequences)))
+    for window in (1, 2, 7, 40):
+        for a, b in zip(whole, hm.expected_counts(model, sequences, window=window), strict=True):
+            assert a == pytest.approx(b)
+    for k, s in enumerate(sequences[:4:3]):  # moves and states of one sequence, by its own forward and backward pass
+        alone = hm.expected_counts(model, [s], window=4)
+        alpha, beta = [model.start * model.emit[s[0]]], [np.ones(hm.STATES)]
+        for o in s[1:]:
+            alpha.append(alpha[-1] @ model.move * model.emit[o])
+        for o in s[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[o] * beta[0]))
+        total = alpha[-1].sum()
+        moves = sum((np.outer(alpha[t], model.emit[s[t + 1]] * beta[t + 1]) * model.move / total for t in range(len(s) - 1)), np.zeros((hm.STATES, hm.STATES)))
+        assert alone[1] == pytest.approx(moves) and alone[0] == pytest.approx(alpha[0] * beta[0] / total)
+
+
+def test_blocks_hold_every_sequence():
+    items = [np.zeros(n) for n in (5, 3000, 10, 2500, 7, 9000)]
+    got = [len(s) for part in hm._blocks(iter([items[:3], items[3:]]), most=12) for s in part]
+    assert sorted(got) == sorted(map(len, items))
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(2)
     model = random_model(rng, 5)
@@ -413,7 +440,8 @@ def test_baum_welch_raises_the_likelihood():
     sequences = [np.tile(rng.integers(0, 3, 2) + 3 * (k % 2), 10) for k in range(20)]
     model, last = random_model(rng, 6), -np.inf
     for _ in range(6):
-        first, moves, emitted = hm.expected_counts(model, sequences)
+        first, moves, emitted, told = hm.expected_counts(model, sequences)
+        assert told == pytest.approx(hm.forward(model, sequences).sum())
         assert first.sum() == pytest.approx(20) and emitted.sum() == pytest.approx(400) and moves.sum() == pytest.approx(380)
         model = hm.Markov(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
         now = hm.forward(model, sequences).sum()
