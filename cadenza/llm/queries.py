@@ -62,7 +62,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_as_media(table(spark, sf_dir, "documents"))
     named = stored.select(F.struct("doc_id", "n_bytes").alias("doc"), "media")
-    return read_media(named, id_col="doc", with_tensors=False).select("doc.doc_id", "doc.n_bytes", *["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    read = read_media(named, id_col="doc")
+    return read.select("doc.doc_id", "doc.n_bytes", *["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

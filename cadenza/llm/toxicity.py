@@ -7,14 +7,16 @@ of bytes whether it is short or long, and parts of other words save nothing. The
 one's content too, so the two differ only in what toxic text adds: its words that are over-represented against ordinary
 text by a likelihood ratio, near copies in the sample counting once. Hits and saved bytes give a score by a logistic fit.
 
-Fitting takes at most TOXIC + ORDINARY labelled rows, drawn by the hash of their id, and at most MOST_WORDS distinct words
-of each; scoring compresses all windows of all texts.
+Fitting takes at most TOXIC + ORDINARY labelled rows, drawn by the hash of their id, and of these all words; the ordinary
+dictionary is trained on at most about SAMPLED_WINDOWS windows, drawn evenly from all of them, and the toxic one holds at
+most as many words as fit in TOXIC_BYTES. Scoring compresses all windows of all texts.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.lineage import bounded_batches
+from cadenza.llm.lineage import bounded_batches, written
 from cadenza.llm.shingles import shingles, word_hashes
+from cadenza.llm.totals import slices, summed
 
-TOXIC, ORDINARY, MOST_WORDS, SAMPLED_WINDOWS = 3000, 6000, 2000, 16
+TOXIC, ORDINARY, SAMPLED_WINDOWS = 3000, 6000, 100_000
 WINDOW = 8
-DICTIONARY_BYTES = 16_384
+DICTIONARY_BYTES, TOXIC_BYTES = 16_384, 65_536
 LEVEL = 3
-#: Histogram of saved bytes: from -REACH to REACH.
-REACH = 64
+#: Histogram of saved bytes, from -REACH to REACH: a window in word code has so many, and a few of frame.
+REACH = 16 * WINDOW + 16
 #: Of ordinary windows at most this fraction may count as hits.
 FALSE_HITS = 1e-4
 #: How many times as common among toxic documents a telling word is, at least.
@@ -91,7 +94,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 def _first_copies(bands: np.ndarray) -> np.ndarray:
@@ -106,17 +109,14 @@ def _first_copies(bands: np.ndarray) -> np.ndarray:
     return np.array(keep, bool)
 
 
-def over_represented(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Words of toxic documents whose likelihood ratio against ordinary ones stands out among all words of the sample."""
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    row = np.repeat(toxic, [len(s) for s in sets])
-    words, at = np.unique(every, return_inverse=True)
-    in_toxic = np.bincount(at, weights=row, minlength=len(words))
-    in_ordinary = np.bincount(at, weights=~row, minlength=len(words))
-    rate = (in_toxic / max(toxic.sum(), 1)) / ((in_ordinary + 0.5) / ((~toxic).sum() + 1))
-    with np.errstate(divide="ignore"):
-        ratio = np.where(in_toxic > 1, in_toxic * np.log(np.maximum(rate, 1e-9)), 0)
-    return words[(ratio >= math.log(max(len(words), 2)) + 10) & (rate >= LEAST_RATE)]
+def over_represented(counts: DataFrame, toxic: int, ordinary: int) -> list[int]:
+    """Words of ``counts`` (word, in_toxic, in_ordinary: documents with it) that stand out in toxic documents by their
+    likelihood ratio among all words of the sample, the most telling first; as many as fit in the dictionary."""
+    n_words = counts.count()
+    rate = (F.col("in_toxic") / max(toxic, 1)) / ((F.col("in_ordinary") + 0.5) / (ordinary + 1))
+    told = counts.filter("in_toxic > 1").withColumn("rate", rate).withColumn("ratio", F.col("in_toxic") * F.log(F.col("rate")))
+    telling = told.filter((F.col("ratio") >= math.log(max(n_words, 2)) + 10) & (F.col("rate") >= LEAST_RATE))
+    return [r["word"] for r in telling.orderBy(F.desc("ratio"), "word").limit(TOXIC_BYTES // 16).collect()]
 
 
 def is_held_out(id_: Column) -> Column:
@@ -145,54 +145,93 @@ def _drawn(told: DataFrame, n: int, size: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from the labelled rows that are not held out; None where either label is missing among them."""
-    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("id is not null and toxic is not null").filter(~is_held_out(F.col("id")))
-    sizes = told.groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()
-    sizes = {r["toxic"]: r["count"] for r in sizes}
-    drawn = [_drawn(told.filter((F.col("toxic") != 0) == toxic), n, sizes.get(toxic, 0)) for toxic, n in ((True, TOXIC), (False, ORDINARY))]
+    told = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).alias("toxic")).filter("id is not null and toxic is not null").filter(~is_held_out(F.col("id")))
+    told = told.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
+    drawn = [_drawn(told.filter(F.col("toxic") == toxic), n, sizes.get(toxic, 0)) for toxic, n in ((True, TOXIC), (False, ORDINARY))]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("toxic", "text")  # at most TOXIC + ORDINARY rows
+    labelled = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id")  # at most TOXIC + ORDINARY rows
+    chosen = labelled.groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("least")).select("id", "least.*")  # one text for an id
+    kind = texts.schema["id"].dataType.simpleString()
 
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for toxic, text in zip(pdf["toxic"].tolist(), pdf["text"].tolist(), strict=True):
-                words = word_hashes(text)
-                distinct = np.unique(words)[:MOST_WORDS]
+            for text in pdf["text"].tolist():
                 h = shingles(text)[0]
                 least = [int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) if len(h) else k for k in range(_BANDS * _ROWS)]
                 bands = np.array([hash(tuple(least[k : k + _ROWS])) for k in range(0, len(least), _ROWS)], np.int64)
-                starts = np.linspace(0, max(0, len(words) - WINDOW), SAMPLED_WINDOWS).astype(int)
-                sampled = b"".join(coded(words[s : s + WINDOW]) for s in np.unique(starts).tolist())
-                out.append((toxic != 0, distinct.tobytes(), bands.tobytes(), sampled))
-            yield pd.DataFrame(out, columns=["toxic", "words", "bands", "sampled"])
+                out.append((bands.tobytes(), word_hashes(text).tobytes()))
+            yield pd.concat([pdf[["id", "toxic", "text"]], pd.DataFrame(out, columns=["bands", "words"], index=pdf.index)], axis=1)
 
-    got = sample.mapInPandas(outline, "toxic boolean, words binary, bands binary, sampled binary").toPandas()
+    outlined = chosen.mapInPandas(outline, f"id {kind}, toxic boolean, text string, bands binary, words binary")
+    sample = written(outlined)
+    got = sample.select("id", "toxic", "bands").toPandas().sort_values("id", ignore_index=True)
     if got["toxic"].nunique() < 2:
         return None
-    got = got.sort_values(["words", "sampled"], ignore_index=True)
-    got = got[_first_copies(np.stack([np.frombuffer(b, np.int64) for b in got["bands"]]))].reset_index(drop=True)
+    got = got[_first_copies(np.stack([np.frombuffer(b, np.int64) for b in got["bands"]]))]
     toxic = got["toxic"].to_numpy(bool)
     if toxic.all() or not toxic.any():
         return None
-    sets = [np.frombuffer(w, np.uint64) for w in got["words"]]
-    telling = over_represented(sets, toxic)
-    ordinary = _trained([w for w, t in zip(got["sampled"], toxic, strict=True) if w and not t], DICTIONARY_BYTES)
-    passages = [coded(x) for s, t in zip(sets, toxic, strict=True) if t and len(x := s[np.isin(s, telling)])]
-    model = Model(ordinary, ordinary + _trained(passages, DICTIONARY_BYTES // 2), 1, (0.0, 0.0, 0.0))
+    first = docs.sparkSession.sparkContext.broadcast(set(got["id"]))  # at most TOXIC + ORDINARY ids
+    coded_rows = sample.select("id", "toxic", "words")
+
+    def occurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for id_, is_toxic, words in zip(pdf["id"].tolist(), pdf["toxic"].tolist(), pdf["words"], strict=True):
+                if id_ in first.value:
+                    yield pd.DataFrame({"word": np.unique(np.frombuffer(words, np.int64)), "toxic": is_toxic})
+
+    seen = coded_rows.mapInPandas(occurring, "word long, toxic boolean")
+    sums = [F.sum(F.col("toxic").cast("long")).alias("in_toxic"), F.sum((~F.col("toxic")).cast("long")).alias("in_ordinary")]
+    telling = np.array(over_represented(written(seen.groupBy("word").agg(*sums)), int(toxic.sum()), int((~toxic).sum())), np.int64)
+    n_windows = coded_rows.filter("not toxic").agg(F.sum(F.ceil(F.octet_length("words") / (8 * WINDOW)))).first()[0]
+    share = min(1.0, SAMPLED_WINDOWS / max(int(n_windows or 0), 1))
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for id_, is_toxic, words in zip(pdf["id"].tolist(), pdf["toxic"].tolist(), pdf["words"], strict=True):
+                x = np.frombuffer(words, np.uint64)
+                if id_ not in first.value or not len(x):
+                    continue
+                if is_toxic:  # the telling words, in the order of the text
+                    out = [coded(x[np.isin(x.view(np.int64), telling)])]
+                else:
+                    starts = np.arange(0, len(x), WINDOW)
+                    drawn = starts[np.random.default_rng(zlib.crc32(words)).random(len(starts)) < share]
+                    out = [coded(x[k : k + WINDOW]) for k in drawn.tolist()]
+                yield pd.DataFrame({"toxic": is_toxic, "sample": out})
+
+    material = coded_rows.mapInPandas(samples, "toxic boolean, sample binary").toPandas()
+    parts = {t: sorted(bytes(x) for x in material.loc[material["toxic"] == t, "sample"] if x) for t in (True, False)}
+    ordinary = _trained(parts[False], DICTIONARY_BYTES)
+    model = Model(ordinary, ordinary + _trained(parts[True], min(TOXIC_BYTES, max(DICTIONARY_BYTES // 2, 16 * len(telling)))), 1, (0.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [saved_bytes(t, model.ordinary, model.toxic).astype("<i8").tobytes() for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"toxic": pdf["toxic"] != 0, "saved": found})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "saved": found})
+
+    measured = written(sample.select("toxic", "text").mapInPandas(measure, "toxic boolean, saved binary"))
 
-    seen = sample.mapInPandas(measure, "toxic boolean, saved binary").toPandas()
-    histograms = np.stack([np.frombuffer(s, "<i8") for s in seen["saved"]])
-    y = seen["toxic"].to_numpy(bool)
-    windows = histograms[~y].sum(axis=0)
-    tail = windows[::-1].cumsum()[::-1] / max(windows.sum(), 1)  # ordinary windows that save at least so much
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * REACH + 1)
+        for pdf in batches:
+            for saved in pdf["saved"]:
+                total += np.frombuffer(saved, "<i8")
+        yield slices(total)
+
+    ordinary_windows = summed(measured.filter("not toxic").mapInPandas(windows, "slice long, sums binary"), 2 * REACH + 1)
+    tail = ordinary_windows[::-1].cumsum()[::-1] / max(ordinary_windows.sum(), 1)  # ordinary windows that save at least so much
     threshold = next((t for t in range(1, REACH) if tail[REACH + t] <= FALSE_HITS), REACH)
-    x = np.stack([features(h, threshold) for h in histograms])
-    return Model(model.ordinary, model.toxic, threshold, _logistic(x, y.astype(float)))
+
+    def told_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(np.frombuffer(s, "<i8"), threshold).tolist() for s in pdf["saved"]]})
+
+    fitted = measured.mapInPandas(told_features, "toxic boolean, x array<double>").toPandas()
+    fitted = fitted.sort_values("x", key=lambda c: c.map(tuple), ignore_index=True)
+    return Model(model.ordinary, model.toxic, threshold, _logistic(np.stack(fitted["x"].map(np.asarray)), fitted["toxic"].to_numpy(float)))
 
 
 def toxicity(
