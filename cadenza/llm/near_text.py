@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = written(rows.mapInPandas(sample, f"id {kind}, node binary, keys array<long>"))
     nodes = written(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("keys", ignorenulls=True).alias("keys")))
     members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    total = 2 * BANDS * n_docs
+    total = 2 * BANDS * nodes.count()
     shared = written(shared_buckets(members.select("band", "key", "node"), total))
     wanted = shared.select("node").distinct()
     # copies are dropped before texts are dealt out, so a text with very many of them meets nowhere

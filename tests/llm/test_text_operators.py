@@ -319,6 +319,24 @@ def test_line_dedup(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "extra", "id", "n_lines", "n_dropped"}
 
 
+def test_fields_at_any_two_places_are_generalised(spark):
+    words = [f"w{chr(97 + k)}" for k in range(14)]
+    texts = [" ".join(words)]
+    for a, b in ((4, 7), (5, 8), (3, 13), (9, 10)):
+        texts.append(" ".join("field" + chr(97 + a) if k in (a, b) else w for k, w in enumerate(words)))
+    texts.append(" ".join(f"other{chr(97 + k)}" if k > 2 else w for k, w in enumerate(words)))
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_short_lines_need_more_documents(spark):
+    texts = ["read all of it"] * 25 + ["read it"] * 60 + ["\r\n \n"] * 30 + ["in two documents only\n" + "alone " * 50_000] * 1 + ["in two documents only"]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert got[0] == ("read all of it", 0) and all(got[k] == ("", 1) for k in range(1, 25))  # four tokens: twenty documents
+    assert all(got[k] == ("read it", 0) for k in range(25, 85)) and all(got[k] == ("\r\n \n", 0) for k in range(85, 115))
+    assert got[115][1] == got[116][1] == 0
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert drop_recurring_lines(spark.createDataFrame([], DOCS)).count() == 0
     line = "a line of enough words to count"
