@@ -363,3 +363,100 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         return np.repeat(pixels.reshape(8, 8)[:, :, None], 3, axis=2) if len(pixels) == 64 else None
 
     return signals.frame_features(v, decode)
+
+
+def _spoken_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.sentences(spark, sf_dir).groupBy("video_id").agg(F.max("end").alias("duration_sec"))
+
+
+@query
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nested documents hold, segment by segment."""
+    f = fusion(spark, sf_dir)
+    info = f.durations.select("video_id", F.concat("video_id", F.lit(".mp4")).alias("filename"), "duration_sec", F.lit(30.0).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    each = f.documents(info).select("video_id", F.explode("metadata.segments").alias("s"))
+    rules_ = F.when(F.size("s.evidence.triggered_rules") > 0, F.array_join("s.evidence.triggered_rules", "|"))
+    return each.select("video_id", "s.segment_id", "s.start_sec", "s.end_sec", "s.label", "s.confidence", "s.summary", "s.user_corrected", rules_.alias("rules"))
+
+
+@query
+def outro_of_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outro phrases of recordings that end with their last sentence."""
+    found = rules.outro_keyword(align.spine(_spoken_durations(spark, sf_dir)), adapters.text_features(spark, sf_dir))
+    return found.select("video_id", "start_sec", "end_sec", "rule_name")
+
+
+@query
+def speech_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second sentence counts as speech."""
+    spoken = adapters.sentences(spark, sf_dir).filter("pos % 2 = 0").select("video_id", "start", "end")
+    return signals.speech_seconds(spoken, align.spine(_spoken_durations(spark, sf_dir)).select("video_id", "t"))
+
+
+@query
+def broken_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as segments, some of them with labels or confidences that a document may not hold."""
+    label = F.when(F.col("event_type") == "view", "core_content").when(F.col("event_type") == "click", "intro").when(F.col("event_type") == "purchase", "sponsorship").otherwise(F.col("event_type"))
+    half = F.lit(0.5)
+    segment = adapters.events(spark, sf_dir).select(
+        "video_id", F.col("pos").alias("segment_id"), F.col("t").alias("start_sec"), (F.col("t") + 1).alias("end_sec"), label.alias("label"), (F.col("value") / 100).alias("confidence"), half.alias("visual_score"), half.alias("audio_score"), half.alias("text_score")
+    )
+    return export.broken(segment).select("video_id", "segment_id", "label")
+
+
+@query
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.found(adapters.text_features(spark, sf_dir), "1").select("video_id", "pos", "text")
+
+
+@query
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings with sentences are edited: their duration becomes that of their sentences."""
+
+    def document(durations: DataFrame) -> DataFrame:
+        info = F.struct(F.concat("video_id", F.lit(".mp4")).alias("filename"), "duration_sec", F.lit(False).alias("verified_by_human"))
+        return durations.select("video_id", F.struct(info.alias("video_info")).alias("metadata"))
+
+    out = review.replaced(document(adapters.durations(spark, sf_dir)), document(_spoken_durations(spark, sf_dir)))
+    return _rounded(out.select("video_id", "metadata.video_info.*"), "duration_sec")
+
+
+@query
+def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = adapters.durations(spark, sf_dir).join(adapters.sentences(spark, sf_dir).select("video_id").distinct().withColumn("verified", F.lit(True)), "video_id", "left")
+    return listed.select("video_id", review.list_label(F.concat("video_id", F.lit(".mp4")), F.col("duration_sec"), F.coalesce("verified", F.lit(False))).alias("label"))
+
+
+@query
+def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five components of a vector stand for the scores of the scenes."""
+    labels = F.array(*[F.lit(s) for s, _ in adapters.SCENES])
+    told = adapters.table(spark, sf_dir, "embeddings").select("vec_id", fx.scene_map(labels, F.slice(F.col("embedding").cast("array<double>"), 1, len(adapters.SCENES))).alias("scenes"))
+    return _rounded(told.select("vec_id", F.explode("scenes").alias("scene", "prob")), "prob")
+
+
+@query
+def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of events stand for frames, and a purchase among them for commercial text."""
+    stats = adapters.events(spark, sf_dir).groupBy("video_id", "t").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.max((F.col("event_type") == "purchase").cast("int")).alias("commercial"))
+    gated = planned.ocr_gate(stats.withColumn("is_black", (F.col("mean") < 10) & (F.col("variance") < 50)), "commercial", least_variance=0.0)
+    return gated.select("video_id", "t", "commercial")
+
+
+@query
+def ad_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds without speech stand for drifting ones, those with music for commercial ones."""
+    spine = align.spine(adapters.durations(spark, sf_dir))
+    audio = align.audio_grid(spine, adapters.audio(spark, sf_dir))
+    both = audio.join(align.visual_grid(spine, adapters.frames(spark, sf_dir)).select("video_id", "t", "is_hard_cut"), ["video_id", "t"])
+    grid = both.select("video_id", "t", F.when(F.col("is_speech") == 0, 0.5).otherwise(0.1).alias("drift"), F.col("is_music").alias("commercial"), "is_hard_cut")
+    return planned.ad_block(grid)
+
+
+@query
+def stale_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording is finished at its last event that isn't an error, and modified at its last event."""
+    each = adapters.events(spark, sf_dir)
+    requested = each.groupBy("video_id").agg(F.max("pos").alias("modified"))
+    finished = each.filter("event_type <> 'error'").groupBy("video_id").agg(F.max("pos").alias("finished"))
+    return planned.stale(requested, finished).select("video_id", "modified")

@@ -55,6 +55,11 @@ def softmax(logits: Column) -> Column:
     return F.transform(exps, lambda x: x / total(exps))
 
 
+def scene_map(labels: Column, scores: Column) -> Column:
+    """Each scene label with its probability, by softmax over the scores of all labels."""
+    return F.map_from_arrays(labels, softmax(scores))
+
+
 def audio_class(rms_energy: Column, zero_crossing_rate: Column, config: Config = DEFAULT) -> Column:
     """silence, speech, music or noise: the first rule that holds."""
     return (

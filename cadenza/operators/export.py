@@ -64,19 +64,22 @@ def skip_list(segment: DataFrame) -> DataFrame:
     return segment.groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("label") != "core_content", F.col("segment_id")))).alias("skip_suggestions"))
 
 
+def _within_bounds() -> Column:
+    scores = ("confidence", "visual_score", "audio_score", "text_score")
+    fine = F.col("label").isin(*LABELS) & (F.col("start_sec") >= 0) & (F.col("end_sec") > 0)
+    for c in scores:
+        fine = fine & F.col(c).between(0, 1)
+    return F.coalesce(fine, F.lit(False))
+
+
 def broken(segment: DataFrame) -> DataFrame:
     """Segments outside the bounds of the document: times, scores, labels."""
-    unit = [~F.col(c).between(0, 1) for c in ("confidence", "visual_score", "audio_score", "text_score")]
-    wrong = (F.col("start_sec") < 0) | (F.col("end_sec") <= 0) | ~F.col("label").isin(*LABELS)
-    for u in unit:
-        wrong = wrong | u
-    return segment.filter(F.coalesce(wrong, F.lit(True)))
+    return segment.filter(~_within_bounds())
 
 
 def checked(segment: DataFrame) -> DataFrame:
     """``segment``, failing at run time on a row outside the bounds."""
-    fine = F.col("label").isin(*LABELS) & (F.col("start_sec") >= 0) & (F.col("end_sec") > 0) & F.col("confidence").between(0, 1)
-    return segment.filter(F.coalesce(F.assert_true(fine, F.concat(F.lit("invalid segment of "), F.col("video_id"))).isNull(), F.lit(True)))
+    return segment.filter(F.assert_true(_within_bounds(), F.concat(F.lit("invalid segment of "), F.col("video_id"))).isNull())
 
 
 def unknown_keys(document: Column, expected: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cadenza.functions.expressions import cosine
+from cadenza.operators.runs import runs
 
 
 def _by_time() -> WindowSpec:
@@ -33,6 +34,31 @@ def carried_forward(grid: DataFrame, column: str) -> DataFrame:
     return grid.withColumn(column, F.last(column, ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def ocr_gate(frames: DataFrame, column: str, stride: int = 3, least_variance: float = 100.0) -> DataFrame:
+    """``column`` of (video_id, t, is_black, variance, ``column``) where text is read: in every third second whose frame isn't
+    black and isn't flat; other seconds get the last value read before them, null where there is none."""
+    read = (F.col("t") % stride == 0) & ~F.col("is_black") & (F.col("variance") >= least_variance)
+    return carried_forward(frames.withColumn(column, F.when(read, F.col(column))), column)
+
+
+def ad_block(grid: DataFrame, least_drift: float = 0.30, least_run: int = 10, near_cut: int = 3) -> DataFrame:
+    """(video_id, start_sec, end_sec, confidence) of drifting runs with commercial text, out of (video_id, t, drift, commercial, is_hard_cut).
+
+    A run is surer if a hard cut lies within ``near_cut`` seconds of both of its ends. Seconds find their runs by the run's
+    own and the neighbouring hours, so no recording is paired with itself.
+    """
+    width = 3600
+    found = runs(grid, F.col("drift") >= least_drift, least_run)
+    reach = F.sequence(F.floor((F.col("start_sec") - near_cut) / width), F.floor((F.col("end_sec") + near_cut) / width))
+    wide = found.select("*", F.explode(reach).alias("hour"))
+    told = grid.filter("commercial = 1 or is_hard_cut = 1").select("video_id", "t", "commercial", "is_hard_cut", F.floor(F.col("t") / width).alias("hour"))
+    both = wide.join(told, ["video_id", "hour"])
+    inside = (F.col("commercial") == 1) & (F.col("t") >= F.col("start_sec")) & (F.col("t") < F.col("end_sec"))
+    cut = lambda end: F.max((F.col("is_hard_cut") == 1) & (F.abs(F.col("t") - F.col(end)) <= near_cut))
+    of_run = both.groupBy("video_id", "start_sec", "end_sec").agg(F.max(inside).alias("commercial"), (cut("start_sec") & cut("end_sec")).alias("cuts"))
+    return of_run.filter("commercial").select("video_id", "start_sec", "end_sec", F.when(F.col("cuts"), 0.9).otherwise(0.7).alias("confidence"))
+
+
 def rolling_mean(grid: DataFrame, column: str, reach: int = 2) -> DataFrame:
     return grid.withColumn(column, F.avg(column).over(_by_time().rowsBetween(-reach, reach)))
 

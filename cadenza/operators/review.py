@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,11 @@ def listed(files: DataFrame, documents: DataFrame, key: str = "video_id") -> Dat
     return files.join(documents, key)
 
 
+def found(documents: DataFrame, name: str, key: str = "video_id") -> DataFrame:
+    """The document of one recording; no row where it has none. The filter reaches the scan of a table partitioned by ``key``."""
+    return documents.filter(F.col(key) == name)
+
+
 def replaced(documents: DataFrame, edited: DataFrame, key: str = "video_id") -> DataFrame:
     """Documents with the edited ones in place of the old, marked as verified; edits of unknown recordings are left out."""
     info = F.col("metadata.video_info").withField("verified_by_human", F.lit(True))
@@ -28,17 +33,26 @@ def relabelled(segments: Column, segment_id: Column, label: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s["segment_id"] == segment_id, s.withField("label", label).withField("user_corrected", F.lit(True))).otherwise(s))
 
 
+def _on_timeline(now: DataFrame, segment: DataFrame, tolerance: float) -> DataFrame:
+    """Moments and segments of each recording in one order of time; a moment stands after all that starts up to ``tolerance`` later."""
+    moment = now.select("video_id", "now", (F.col("now") + tolerance).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(segment.select("seg").schema["seg"].dataType).alias("seg"))
+    return moment.unionByName(segment.select("video_id", F.lit(None).cast("double").alias("now"), F.col("seg.start_sec").cast("double").alias("at"), F.lit(0).alias("kind"), "seg"))
+
+
 def next_segment(now: DataFrame, segment: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """For each (video_id, now) the first segment that starts later than ``now`` + tolerance."""
-    later = now.join(segment, "video_id").filter(F.col("start_sec") > F.col("now") + tolerance)
-    first = later.groupBy("video_id", "now").agg(F.min(F.struct("start_sec", "segment_id")).alias("m"))
-    return first.select("video_id", "now", F.col("m.start_sec").alias("start_sec"), F.col("m.segment_id").alias("segment_id"))
+    """For each (video_id, now) the first segment that starts later than ``now`` + tolerance; one sort of each recording."""
+    line = _on_timeline(now.distinct(), segment.select("video_id", F.struct("start_sec", "segment_id").alias("seg")), tolerance)
+    after = Window.partitionBy("video_id").orderBy("at", "kind", "seg").rowsBetween(1, Window.unboundedFollowing)
+    told = line.withColumn("next", F.first("seg", ignorenulls=True).over(after)).filter("kind = 1 and next is not null")
+    return told.select("video_id", "now", F.col("next.start_sec").alias("start_sec"), F.col("next.segment_id").alias("segment_id"))
 
 
 def skip_target(now: DataFrame, segment: DataFrame, step: float = 0.05) -> DataFrame:
-    """For each (video_id, now) inside a segment that isn't core content, the place just after it."""
-    inside = now.join(segment, "video_id").filter((F.col("now") >= F.col("start_sec")) & (F.col("now") < F.col("end_sec")) & (F.col("label") != "core_content"))
-    return inside.select("video_id", "now", (F.col("end_sec") + step).alias("target"))
+    """For each (video_id, now) inside a segment that isn't core content, the place just after it; segments don't overlap."""
+    line = _on_timeline(now.distinct(), segment.select("video_id", F.struct("start_sec", "end_sec", "label").alias("seg")), 0.0)
+    before = Window.partitionBy("video_id").orderBy("at", "kind", "seg").rowsBetween(Window.unboundedPreceding, 0)
+    told = line.withColumn("in", F.last("seg", ignorenulls=True).over(before)).filter("kind = 1 and now < in.end_sec and in.label <> 'core_content'")
+    return told.select("video_id", "now", (F.col("in.end_sec") + step).alias("target"))
 
 
 def free_name(stem: Column, taken: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -68,4 +82,4 @@ def timeline_width(start: Column, end: Column, total: Column) -> Column:
 
 def list_label(name: Column, duration: Column, verified: Column) -> Column:
     """A line of the recordings' list: name, seconds, and a check mark if verified."""
-    return F.concat(name, F.lit(" ("), F.format_number(duration, "0.0"), F.lit("s)"), F.when(verified, " ✓").otherwise(""))
+    return F.format_string("%s (%.1fs)%s", name, duration, F.when(verified, " ✓").otherwise(""))

@@ -276,6 +276,27 @@ SELECTS |= {
   SELECT video_id, id, list(x ORDER BY d) AS mean FROM (
     SELECT v.video_id, v.id, d, avg(o.embedding[d]) AS x FROM vec v JOIN vec o ON o.video_id = v.video_id AND abs(o.id - v.id) BETWEEN 3 AND 15, range(1, 65) r(d) GROUP BY ALL) GROUP BY ALL) m USING (video_id, id) GROUP BY ALL""",
 }
+_SCENE_LIST = f"[{_LABELS}]"
+SELECTS |= {
+    "document_segments": """SELECT video_id, segment_id, start_sec, end_sec, label, confidence, coalesce(r.text, '') AS summary, false AS user_corrected,
+    CASE WHEN len(triggered_rules) > 0 THEN list_aggregate(triggered_rules, 'string_agg', '|') END AS rules FROM smoothed LEFT JOIN rep r USING (video_id, segment_id)""",
+    "outro_of_spoken": f"""SELECT video_id, CAST(greatest(0, floor(arg_min("start", pos) - 5)) AS INTEGER) AS start_sec, CAST(any_value(n) AS INTEGER) AS end_sec, arg_min({_group('outro')}, pos) AS rule_name
+  FROM txt JOIN (SELECT video_id, ceil(max("end")) AS n FROM sent GROUP BY video_id) d USING (video_id) WHERE "end" >= greatest(0, n - 90) AND {_group('outro')} IS NOT NULL GROUP BY video_id""",
+    "speech_seconds": """SELECT DISTINCT video_id, CAST(unnest(range(CAST(floor("start") AS INTEGER), CAST(ceil("end") AS INTEGER))) AS INTEGER) AS t FROM sent WHERE pos % 2 = 0""",
+    "broken_segments": """SELECT video_id, pos AS segment_id, CASE event_type WHEN 'view' THEN 'core_content' WHEN 'click' THEN 'intro' WHEN 'purchase' THEN 'sponsorship' ELSE event_type END AS label
+  FROM ev WHERE event_type NOT IN ('view', 'click', 'purchase') OR value / 100 NOT BETWEEN 0 AND 1""",
+    "point_get": "SELECT video_id, pos, text FROM sent WHERE video_id = '1'",
+    "replaced_documents": """SELECT video_id, concat(video_id, '.mp4') AS filename, round(coalesce(n, 720), 6) AS duration_sec, n IS NOT NULL AS verified_by_human
+  FROM users LEFT JOIN (SELECT video_id, max("end") AS n FROM sent GROUP BY video_id) USING (video_id)""",
+    "list_labels": """SELECT video_id, concat(video_id, '.mp4 (720.0s)', CASE WHEN video_id IN (SELECT video_id FROM sent) THEN ' ✓' ELSE '' END) AS label FROM users""",
+    "scene_map": f"""SELECT vec_id, {_SCENE_LIST}[CAST(d AS INTEGER)] AS scene, round(exp(embedding[d]::DOUBLE) / list_sum(list_transform(embedding[1:5], lambda x: exp(x::DOUBLE))), 6) AS prob FROM embeddings, range(1, 6) r(d)""",
+    "ocr_gate": """SELECT video_id, t, last_value(CASE WHEN t % 3 = 0 AND NOT (mean < 10 AND variance < 50) THEN commercial END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t) AS commercial FROM (
+  SELECT video_id, t, avg(value) AS mean, var_pop(value) AS variance, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS commercial FROM ev GROUP BY video_id, t)""",
+    "ad_block": """SELECT * FROM (SELECT r.video_id, r.start_sec, r.end_sec, CASE WHEN bool_or(g.is_hard_cut = 1 AND abs(g.t - r.start_sec) <= 3) AND bool_or(g.is_hard_cut = 1 AND abs(g.t - r.end_sec) <= 3) THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence
+  FROM run_drift r JOIN grid g USING (video_id) GROUP BY ALL HAVING bool_or(g.is_music = 1 AND g.t >= r.start_sec AND g.t < r.end_sec))""",
+    "stale_results": """SELECT video_id, max(pos) AS modified FROM ev GROUP BY video_id HAVING max(pos) > coalesce(max(pos) FILTER (WHERE event_type <> 'error'), -1)""",
+}
+CTES.append(_runs("run_drift", "is_speech = 0", 10))
 CTES.append("taken AS (SELECT concat(event_type, '_', user_id % 20) AS name FROM events UNION SELECT event_type FROM events)")
 
 ORACLES = {name: oracle(select) for name, select in SELECTS.items()}

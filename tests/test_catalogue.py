@@ -1,5 +1,6 @@
 """Queries against their SQL at the smallest scale, and the sixty-second recording end to end."""
 
+import decimal
 import glob
 import math
 import os
@@ -17,6 +18,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(value):
+    if isinstance(value, decimal.Decimal):
+        value = float(value)
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 6)
     return value
@@ -27,7 +30,7 @@ def as_rows(names, rows):
     return sorted(str([plain(r[k]) for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift"])
+@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift", "outro_of_spoken", "speech_seconds", "broken_segments", "replaced_documents", "list_labels", "scene_map", "ocr_gate", "ad_block", "stale_results", "next_segment", "skip_target"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
