@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,14 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("video_id"), "*")
 
 
+def workspace_documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """The JSON files called ``name`` anywhere below ``root``, one row each: video_id (the folder right below root) and the
+    schema's columns. Recordings without such a file have no row, and there may be none at all."""
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
+    below = re.escape(root.rstrip("/").rpartition("/")[2])
+    return read.select(F.regexp_extract(F.col("_metadata.file_path"), f"/{below}/([^/]+)/", 1).alias("video_id"), "*")
+
+
 def _listed(documents: DataFrame, column: str) -> DataFrame:
     return documents.select("video_id", F.posexplode(column).alias("pos", "r")).select("video_id", "pos", "r.*")
 

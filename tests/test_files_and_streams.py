@@ -5,6 +5,7 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
+from cadenza.__main__ import segmented
 from cadenza.sources import files
 from cadenza.streaming import live
 
@@ -88,3 +89,29 @@ def test_thinned_stream(spark, tmp_path):
     q = live.thinned(stream).writeStream.outputMode("append").format("memory").queryName("thin").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("thin").collect()) == [("v", 0), ("v", 3), ("v", 9), ("w", 2)]
+
+
+def test_segmenting_files(spark, tmp_path):
+    root = tmp_path / "workspaces"
+    for name, spoken in (("talk", True), ("mute", False), ("unfinished", False)):
+        features = root / name / "features"
+        features.mkdir(parents=True)
+        (root / name / "meta_raw.json").write_text(json.dumps({"filename": f"{name}.mp4", "duration_sec": 29.5, "fps": 30.0, "width": 640, "height": 360}))
+        second = {"is_speech": True, "rms_energy": 0.5, "spectral_centroid": 0.0, "spectral_bandwidth": 0.0, "zero_crossing_rate": 0.2, "spectral_entropy": 0.0, "audio_class": "speech"}
+        (features / "audio_features.json").write_text(json.dumps({"model_used": "m", "segments": [second | {"start": float(t), "end": t + 1.0} for t in range(30)]}))
+        if name != "unfinished":
+            frame = {"hist_diff_to_previous": 0.1, "is_hard_cut": False, "clip_labels": {"person talking": 0.8, "title card": 0.2}}
+            (features / "visual_features.json").write_text(json.dumps({"model_used": "m", "frames": [frame | {"frame_index": t, "timestamp_sec": float(t)} for t in range(30)]}))
+        if spoken:
+            sentence = {"id": 0, "start": 1.0, "end": 4.0, "text": " A sentence. ", "similarity_to_next": None, "is_potential_boundary": False, "matched_keywords": []}
+            (features / "text_features.json").write_text(json.dumps({"model_used": "m", "segments": [sentence]}))
+    assert segmented(spark, str(root), str(tmp_path / "out"))
+    got = {}
+    for name in ("talk", "mute"):
+        (found,) = (tmp_path / "out" / f"video_id={name}").glob("*.txt")
+        got[name] = json.loads(found.read_text())
+    assert not (tmp_path / "out" / "video_id=unfinished").exists()
+    assert got["talk"]["segments"][0]["summary"] == "A sentence." and got["mute"]["segments"][0]["summary"] == ""
+    assert all(d["segments"][-1]["end_sec"] == 30 and d["segments"][0]["label"] == "core_content" for d in got.values())
+    (tmp_path / "none").mkdir()
+    assert not segmented(spark, str(tmp_path / "none"), str(tmp_path / "out"))
