@@ -92,6 +92,26 @@ def test_plan_sharpens_with_size():
 # Pages
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='with-sidebar'>{}</body>",
+        "<html class='header-fixed'><body>{}",
+        "<div class='post author-jane'>{}</div>",
+        "<article class='post category-x tag-y tags'>{}</article>",
+        "<article id='social-policy'>{}</article>",
+        "<article><div id='notice-board'>{}</div></article>",
+        "<body><form id='aspnetForm'><main>{}</main></form>",
+        "<html><head><title>t</title><body><article>{}",
+    ],
+)
+def test_names_and_open_heads_lose_no_article(page):
+    text = "A sentence of the article that goes on for a while. " * 6
+    menu = "<nav><a href=/>Home</a> <a href=/x>More</a></nav>"
+    assert main_text(page.format(f"<p>{text}</p>")) == text.strip()
+    assert main_text(page.format(f"{menu}<p>{text}</p><p>{text}</p>")) == f"{text.strip()}\n{text.strip()}"
+
+
 def test_main_text():
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav>"
