@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.config import DEFAULT
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
 from cadenza.operators import align, boundaries, classify, export, planned, review, rules, runs, smooth
@@ -66,37 +67,38 @@ def grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def runs_dead_air(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.dead_air(fusion(spark, sf_dir).grid).select("video_id", "start_sec", "end_sec")
+    return rules.dead_air(align.build_grid(adapters.durations(spark, sf_dir), adapters.audio(spark, sf_dir))).select("video_id", "start_sec", "end_sec")
 
 
 @query
 def runs_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.holding_screen(fusion(spark, sf_dir).grid).select("video_id", "start_sec", "end_sec")
+    grid = align.build_grid(adapters.durations(spark, sf_dir), adapters.audio(spark, sf_dir), adapters.frames(spark, sf_dir))
+    return rules.holding_screen(grid).select("video_id", "start_sec", "end_sec")
 
 
 @query
 def runs_ad_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fusion(spark, sf_dir)
-    return runs.runs(f.grid, F.col("is_speech") == 0, f.config.ad_run, f.config.ad_gap)
+    grid = align.build_grid(adapters.durations(spark, sf_dir), adapters.audio(spark, sf_dir))
+    return runs.runs(grid, F.col("is_speech") == 0, DEFAULT.ad_run, DEFAULT.ad_gap)
 
 
 @query
 def rule_keyword_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion(spark, sf_dir)
-    every = rules.sponsor_keywords(f.grid, f.text).unionByName(rules.self_promo_keywords(f.grid, f.text)).unionByName(rules.recap_keywords(f.grid, f.text))
+    every = rules.sponsor_keywords(f.ends, f.text).unionByName(rules.self_promo_keywords(f.ends, f.text)).unionByName(rules.recap_keywords(f.ends, f.text))
     return every.drop("ord")
 
 
 @query
 def rule_intro_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion(spark, sf_dir)
-    return rules.intro_keyword(f.grid, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
+    return rules.intro_keyword(f.ends, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
 
 
 @query
 def rule_outro_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion(spark, sf_dir)
-    return rules.outro_keyword(f.grid, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
+    return rules.outro_keyword(f.ends, f.text).select("video_id", "start_sec", "end_sec", "rule_name")
 
 
 @query
@@ -106,19 +108,19 @@ def rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kl_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(boundaries.scene_shifts(fusion(spark, sf_dir).grid), "divergence")
+    return _rounded(boundaries.scene_shifts(align.build_grid(adapters.durations(spark, sf_dir), visual=adapters.frames(spark, sf_dir))), "divergence")
 
 
 @query
 def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = fusion(spark, sf_dir).grid
+    grid = align.build_grid(adapters.durations(spark, sf_dir), adapters.audio(spark, sf_dir))
     kinds = [boundaries.flips(grid, f"is_{k}").withColumn("kind", F.lit(k)) for k in ("speech", "music")]
     return kinds[0].unionByName(kinds[1])
 
 
 @query
 def low_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundaries.low_similarity(fusion(spark, sf_dir).grid)
+    return boundaries.low_similarity(align.build_grid(adapters.durations(spark, sf_dir), text=adapters.text_features(spark, sf_dir)))
 
 
 @query

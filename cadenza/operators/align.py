@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+AUDIO = ["is_speech", "rms_energy", "spectral_centroid", "spectral_bandwidth", "zero_crossing_rate", "spectral_entropy", "is_music"]
+
+
+def ends(durations: DataFrame) -> DataFrame:
+    """(video_id, seconds): how many seconds the grid has for each recording; none for a duration of 0."""
+    return durations.select("video_id", F.ceil("duration_sec").cast("int").alias("seconds")).filter("seconds > 0")
+
 
 def spine(durations: DataFrame) -> DataFrame:
     """(video_id, t) for each second of ``durations`` (video_id, duration_sec); nothing for a duration of 0."""
-    seconds = F.ceil("duration_sec").cast("int")
-    return durations.filter(seconds > 0).select("video_id", F.explode(F.sequence(F.lit(0), seconds - 1)).alias("t"))
+    return _seconds(ends(durations)).drop("seconds")
+
+
+def _seconds(recordings: DataFrame) -> DataFrame:
+    return recordings.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("seconds") - 1)))
+
+
+def _met(grid: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Each second of ``grid`` with the greatest of every column that the sources have for it.
+
+    Sources are rows (video_id, t, structs that begin with the place in the list). All are dealt out by recording and meet
+    in one sorted aggregate, so seconds are shuffled once however many sources there are.
+    """
+    every = grid.withColumn("on", F.lit(True))
+    for s in sources:
+        every = every.unionByName(s, allowMissingColumns=True)
+    partitions = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = [F.max(c).alias(c) for c in every.columns if c not in ("video_id", "t")]
+    return every.repartition(partitions, "video_id").groupBy("video_id", "t").agg(*values).filter("on").drop("on")
+
+
+def _audio_rows(audio: DataFrame) -> DataFrame:
+    values = [F.col("is_speech").cast("int").alias("is_speech"), *AUDIO[1:-1], (F.col("audio_class") == "music").cast("int").alias("is_music")]
+    return audio.select("video_id", F.floor("start").cast("int").alias("t"), F.struct("pos", *values).alias("sound"))
+
+
+def _audio_columns() -> list[Column]:
+    zeros = {"is_speech": F.lit(0), "is_music": F.lit(0)}
+    return [F.coalesce(f"sound.{n}", zeros.get(n, F.lit(0.0))).alias(n) for n in AUDIO]
 
 
 def audio_grid(grid: DataFrame, audio: DataFrame) -> DataFrame:
     """Audio rows on the grid: of several in a second the last in list order; seconds without one are zero."""
-    names = ["is_speech", "rms_energy", "spectral_centroid", "spectral_bandwidth", "zero_crossing_rate", "spectral_entropy", "is_music"]
-    values = [F.col("is_speech").cast("int").alias("is_speech"), *names[1:-1], (F.col("audio_class") == "music").cast("int").alias("is_music")]
-    keyed = audio.select("video_id", F.floor("start").cast("int").alias("t"), "pos", *values)
-    last = keyed.groupBy("video_id", "t").agg(F.max(F.struct("pos", *names)).alias("last"))
-    joined = grid.join(last, ["video_id", "t"], "left")
-    zeros = {"is_speech": F.lit(0), "is_music": F.lit(0)}
-    return joined.select("video_id", "t", *[F.coalesce(f"last.{n}", zeros.get(n, F.lit(0.0))).alias(n) for n in names])
+    return _met(grid, _audio_rows(audio)).select("video_id", "t", *_audio_columns())
 
 
 def scene_labels(visual: DataFrame) -> DataFrame:
@@ -29,40 +57,67 @@ def scene_labels(visual: DataFrame) -> DataFrame:
     return first.select("video_id", F.coalesce("first.labels", F.array().cast("array<string>")).alias("labels"))
 
 
+def _visual_rows(visual: DataFrame, labels: DataFrame) -> DataFrame:
+    """Frames with their scenes as vectors in label order, which are shorter to shuffle than maps."""
+    scene = F.transform("labels", lambda label: F.coalesce(F.try_element_at("clip_labels", label), F.lit(0.0)))
+    frame = F.struct("pos", "hist_diff_to_previous", "is_hard_cut", scene.alias("scene"))
+    return visual.join(labels, "video_id").select("video_id", F.col("timestamp_sec").cast("int").alias("t"), frame.alias("frame"))
+
+
+def _label_counts(labels: DataFrame) -> DataFrame:
+    return labels.select("video_id", F.size("labels").alias("n_labels"))
+
+
+def _visual_columns() -> list[Column]:
+    unseen = F.array_repeat(F.lit(0.0), F.coalesce("n_labels", F.lit(0)))
+    cut = F.coalesce(F.col("frame.is_hard_cut").cast("int"), F.lit(0))
+    return [F.coalesce("frame.hist_diff_to_previous", F.lit(0.0)).alias("hist_diff"), cut.alias("is_hard_cut"), F.coalesce("frame.scene", unseen).alias("scene")]
+
+
 def visual_grid(grid: DataFrame, visual: DataFrame) -> DataFrame:
     """(video_id, t, hist_diff, is_hard_cut, scene): the last frame of each second; scene is a vector in label order.
 
     Seconds without a frame are zero, their scene vectors too. A label that the first frame lacks is left out.
     """
-    keyed = visual.select("video_id", F.col("timestamp_sec").cast("int").alias("t"), "pos", "hist_diff_to_previous", "is_hard_cut", "clip_labels")
-    newest = F.max(F.struct("pos", "hist_diff_to_previous", "is_hard_cut"))
-    last = keyed.groupBy("video_id", "t").agg(newest.alias("last"), F.max_by("clip_labels", "pos").alias("scenes"))
-    joined = grid.join(last, ["video_id", "t"], "left").join(scene_labels(visual), "video_id", "left")
-    labels = F.coalesce("labels", F.array().cast("array<string>"))
-    scene = F.transform(labels, lambda label: F.coalesce(F.try_element_at("scenes", label), F.lit(0.0)))
-    hist, cut = F.coalesce("last.hist_diff_to_previous", F.lit(0.0)), F.coalesce(F.col("last.is_hard_cut").cast("int"), F.lit(0))
-    return joined.select("video_id", "t", hist.alias("hist_diff"), cut.alias("is_hard_cut"), scene.alias("scene"))
+    labels = scene_labels(visual)
+    counted = grid.join(_label_counts(labels), "video_id", "left")
+    return _met(counted, _visual_rows(visual, labels)).select("video_id", "t", *_visual_columns())
 
 
-def text_grid(grid: DataFrame, text: DataFrame) -> DataFrame:
-    """Sentences on the seconds they touch: the last one's id, and the last similarity that is known."""
-    ends = grid.groupBy("video_id").agg((F.max("t") + 1).alias("seconds"))
+def _text_rows(text: DataFrame, recordings: DataFrame) -> DataFrame:
+    """A row for each second that a sentence touches; ``recordings`` is (video_id, seconds)."""
     s, e = F.greatest(F.lit(0), F.floor("start")).cast("int"), F.least(F.col("seconds"), F.ceil("end")).cast("int")
-    spans = text.join(ends, "video_id").withColumns({"s": s, "e": e}).filter("e > s")
-    touched = spans.select("video_id", F.explode(F.sequence("s", F.col("e") - 1)).alias("t"), "pos", "id", "similarity_to_next")
+    spans = text.join(recordings, "video_id").withColumns({"s": s, "e": e}).filter("e > s")
     known = F.when(F.col("similarity_to_next").isNotNull(), F.struct("pos", "similarity_to_next"))
-    last = touched.groupBy("video_id", "t").agg(F.max(F.struct("pos", "id")).alias("last"), F.max(known).alias("known"))
-    joined = grid.join(last, ["video_id", "t"], "left")
-    return joined.select(
-        "video_id",
-        "t",
+    return spans.select("video_id", F.explode(F.sequence("s", F.col("e") - 1)).alias("t"), F.struct("pos", "id").alias("sentence"), known.alias("known"))
+
+
+def _text_columns() -> list[Column]:
+    return [
         F.col("known.similarity_to_next").alias("text_sim_to_next"),
-        F.when(F.col("last").isNull(), 0).otherwise(1).alias("has_text"),
-        F.coalesce("last.id", F.lit(-1)).cast("int").alias("text_sentence_id"),
-    )
+        F.when(F.col("sentence").isNull(), 0).otherwise(1).alias("has_text"),
+        F.coalesce("sentence.id", F.lit(-1)).cast("int").alias("text_sentence_id"),
+    ]
+
+
+def text_grid(grid: DataFrame, text: DataFrame) -> DataFrame:
+    """Sentences on the seconds they touch: the last one's id, and the last similarity that is known."""
+    recordings = grid.groupBy("video_id").agg((F.max("t") + 1).alias("seconds"))
+    return _met(grid, _text_rows(text, recordings)).select("video_id", "t", *_text_columns())
 
 
-def build_grid(durations: DataFrame, audio: DataFrame, visual: DataFrame, text: DataFrame) -> DataFrame:
-    """The whole grid: audio, visual and text columns of every second."""
-    grid = spine(durations)
-    return audio_grid(grid, audio).join(visual_grid(grid, visual), ["video_id", "t"]).join(text_grid(grid, text), ["video_id", "t"])
+def build_grid(durations: DataFrame, audio: DataFrame | None = None, visual: DataFrame | None = None, text: DataFrame | None = None) -> DataFrame:
+    """Every second with the columns of the sources that are given, dealt out by recording and sorted by time."""
+    recordings, sources, columns = ends(durations), [], []
+    if audio is not None:
+        sources.append(_audio_rows(audio))
+        columns += _audio_columns()
+    if text is not None:
+        sources.append(_text_rows(text, recordings))
+        columns += _text_columns()
+    if visual is not None:
+        labels = scene_labels(visual)
+        recordings = recordings.join(_label_counts(labels), "video_id", "left")
+        sources.append(_visual_rows(visual, labels))
+        columns += _visual_columns()
+    return _met(_seconds(recordings).drop("seconds"), *sources).select("video_id", "t", *columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Config
 from cadenza.functions.expressions import overlap_seconds, scene_label, strip
+from cadenza.operators.overlap import meeting
 
 KEY = ["video_id", "segment_id"]
 MEANS = ["is_speech", "rms_energy", "is_music", "hist_diff", "is_hard_cut", "has_text"]
@@ -20,35 +21,57 @@ def segments(bounds: DataFrame) -> DataFrame:
     return rows.select("video_id", "segment_id", F.col("p.s").alias("start_sec"), F.col("p.e").alias("end_sec")).filter("end_sec > start_sec")
 
 
-def seconds_of(segment: DataFrame) -> DataFrame:
-    return segment.select(*KEY, F.explode(F.sequence("start_sec", F.col("end_sec") - 1)).alias("t"))
+def inside(grid: DataFrame, segment: DataFrame) -> DataFrame:
+    """Seconds of ``grid`` with the segment that holds them; segments of a recording don't overlap.
+
+    Starts of segments stand among the seconds in the order of time, and the last start before a second is its segment's.
+    """
+    starts = segment.select("video_id", F.col("start_sec").alias("t"), F.struct("segment_id", "end_sec").alias("seg"))
+    line = grid.withColumn("second", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    up_to = Window.partitionBy("video_id").orderBy("t", "second").rowsBetween(Window.unboundedPreceding, 0)
+    held = line.withColumn("seg", F.last("seg", ignorenulls=True).over(up_to)).filter("second and t < seg.end_sec")
+    return held.select("video_id", F.col("seg.segment_id").alias("segment_id"), *[c for c in grid.columns if c != "video_id"])
+
+
+def _means(grid: DataFrame) -> list[Column]:
+    means = [F.avg(F.col(c).cast("double")).alias(c) for c in MEANS if c in grid.columns]
+    return [*means, F.coalesce(F.avg("text_sim_to_next"), F.lit(0.0)).alias("text_sim_to_next")]
 
 
 def segment_means(grid: DataFrame, segment: DataFrame) -> DataFrame:
     """Means of all grid columns by segment; of the similarity only where it is known, 0 where it never is."""
-    inside = grid.join(seconds_of(segment), ["video_id", "t"])
-    present = [c for c in MEANS if c in grid.columns]
-    means = [F.avg(F.col(c).cast("double")).alias(c) for c in present]
-    return inside.groupBy(*KEY).agg(*means, F.coalesce(F.avg("text_sim_to_next"), F.lit(0.0)).alias("text_sim_to_next"))
+    return inside(grid, segment).groupBy(*KEY).agg(*_means(grid))
 
 
 def scene_means(grid: DataFrame, segment: DataFrame) -> DataFrame:
     """(video_id, segment_id, label_ord, prob): mean probability of each scene label by segment."""
-    inside = grid.select("video_id", "t", "scene").join(seconds_of(segment), ["video_id", "t"])
-    each = inside.select(*KEY, F.posexplode("scene").alias("label_ord", "p"))
+    each = inside(grid.select("video_id", "t", "scene"), segment).select(*KEY, F.posexplode("scene").alias("label_ord", "p"))
     return each.groupBy(*KEY, "label_ord").agg(F.avg("p").alias("prob"))
 
 
+def _likeliest() -> Column:
+    return F.max(F.when(F.col("prob").isNotNull(), F.struct(F.round("prob", 9).alias("prob"), (-F.col("label_ord")).alias("back"))))
+
+
 def best_scene(means: DataFrame, labels: DataFrame) -> DataFrame:
     """(video_id, segment_id, prob, scene): the likeliest scene label, of equals the first."""
-    top = means.groupBy(*KEY).agg(F.max(F.struct(F.round("prob", 9).alias("prob"), (-F.col("label_ord")).alias("back"))).alias("m"))
+    top = means.groupBy(*KEY).agg(_likeliest().alias("m"))
     return top.join(labels, "video_id").select(*KEY, F.col("m.prob").alias("prob"), F.get("labels", -F.col("m.back")).alias("scene"))
 
 
+def profile(grid: DataFrame, segment: DataFrame, labels: DataFrame) -> DataFrame:
+    """``segment_means`` and ``best_scene`` in one pass over the seconds; prob and scene are null where nothing is seen."""
+    each = inside(grid, segment).select("*", F.posexplode_outer("scene").alias("label_ord", "p"))
+    means = each.groupBy(*KEY, "label_ord").agg(F.avg("p").alias("prob"), *_means(grid))
+    same = [F.max(c).alias(c) for c in means.columns if c not in (*KEY, "label_ord", "prob")]
+    top = means.groupBy(*KEY).agg(_likeliest().alias("m"), *same).join(labels, "video_id", "left")
+    return top.withColumns({"prob": F.col("m.prob"), "scene": F.get("labels", -F.col("m.back"))}).drop("m", "labels")
+
+
 def rule_coverage(segment: DataFrame, hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The rules that cover enough of each segment: the most confident one's label (of equals the first), and all names in order."""
     other = hits.select("video_id", F.col("start_sec").alias("hs"), F.col("end_sec").alias("he"), "hit_ord", "label", "rule_name", "confidence")
-    pairs = segment.join(other, "video_id")
+    pairs = meeting(segment, ("start_sec", "end_sec"), other, ("hs", "he"))
     share = overlap_seconds(F.col("start_sec"), F.col("end_sec"), F.col("hs"), F.col("he")) / F.greatest(F.lit(1), F.col("end_sec") - F.col("start_sec"))
     covering = pairs.filter((F.col("hs") < F.col("end_sec")) & (F.col("he") > F.col("start_sec"))).filter(share >= config.coverage)
     best = F.max(F.struct("confidence", (-F.col("hit_ord")).alias("back"), "label"))
@@ -61,7 +84,8 @@ def longest_sentence(segment: DataFrame, sentences: DataFrame, config: Config =
     """(video_id, segment_id, summary): the longest sentence within the segment, else the longest that overlaps it."""
     inside = (F.col("start") >= F.col("start_sec")) & (F.col("end") <= F.col("end_sec"))
     touching = (F.col("end") > F.col("start_sec")) & (F.col("start") < F.col("end_sec"))
-    pairs = segment.join(sentences, "video_id").filter(inside | touching)
+    told = sentences.select("video_id", "pos", "start", "end", "text")
+    pairs = meeting(segment, ("start_sec", "end_sec"), told, ("start", "end")).filter(inside | touching)
     best = pairs.groupBy(*KEY).agg(F.max(F.struct(inside.alias("inside"), F.char_length("text").alias("n"), (-F.col("pos")).alias("back"), "text")).alias("m"))
     return best.select(*KEY, F.left(strip(F.col("m.text")), F.lit(config.summary_chars)).alias("summary"))
 
@@ -70,8 +94,7 @@ def classify(grid: DataFrame, bounds: DataFrame, hits: DataFrame, sentences: Dat
     """Labelled segments with evidence: a covering rule decides, else the likeliest scene and the speech."""
     seg = segments(bounds)
     joined = (
-        seg.join(segment_means(grid, seg), KEY)
-        .join(best_scene(scene_means(grid, seg), labels), KEY, "left")
+        seg.join(profile(grid, seg, labels), KEY)
         .join(rule_coverage(seg, hits, config).withColumnsRenamed({"label": "rule_label", "confidence": "rule_confidence"}), KEY, "left")
         .join(longest_sentence(seg, sentences, config), KEY, "left")
     )

@@ -8,6 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from cadenza.config import DEFAULT, LABELS, Config
 from cadenza.functions.expressions import chapter_title, dot, strip
+from cadenza.operators.overlap import meeting
 
 
 def _by_start() -> WindowSpec:
@@ -22,7 +23,8 @@ def representative_sentence(spans: DataFrame, sentences: DataFrame, vectors: Dat
     """
     by = ["video_id", key]
     meets = (F.col("end") > F.col("start_sec")) & (F.col("start") < F.col("end_sec"))
-    pairs = spans.select(*by, "start_sec", "end_sec").join(sentences.select("video_id", "pos", "id", "start", "end", "text"), "video_id").filter(meets)
+    told = sentences.select("video_id", "pos", "id", "start", "end", "text")
+    pairs = meeting(spans.select(*by, "start_sec", "end_sec"), ("start_sec", "end_sec"), told, ("start", "end")).filter(meets)
     if vectors is None:
         vectors = sentences.sparkSession.createDataFrame([], "video_id string, id int, embedding array<double>")
     length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))

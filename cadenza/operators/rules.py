@@ -31,6 +31,9 @@ def holding_screen(grid: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _with_seconds(grid: DataFrame, text: DataFrame) -> DataFrame:
+    """Sentences with the length of their recording's grid; ``grid`` may be (video_id, seconds) at once."""
+    if "seconds" in grid.columns:
+        return text.join(grid.select("video_id", "seconds"), "video_id")
     return text.join(grid.groupBy("video_id").agg((F.max("t") + 1).alias("seconds")), "video_id")
 
 
@@ -72,16 +75,20 @@ def outro_keyword(grid: DataFrame, text: DataFrame, config: Config = DEFAULT) ->
     return _hits(found, "outro", F.col("match"), 0.8, F.col("pos"))
 
 
-def all_rules(grid: DataFrame, text: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """All hits, overlaps kept, with hit_ord: the order of the rules, and within a rule the order of time or sentences."""
+def all_rules(grid: DataFrame, text: DataFrame, config: Config = DEFAULT, ends: DataFrame | None = None) -> DataFrame:
+    """All hits, overlaps kept, with hit_ord: the order of the rules, and within a rule the order of time or sentences.
+
+    ``ends`` (video_id, seconds) spares the keyword rules a pass each over the grid.
+    """
+    length = grid if ends is None else ends
     parts = [
         dead_air(grid, config),
         holding_screen(grid, config),
-        sponsor_keywords(grid, text),
-        self_promo_keywords(grid, text),
-        recap_keywords(grid, text),
-        intro_keyword(grid, text, config),
-        outro_keyword(grid, text, config),
+        sponsor_keywords(length, text),
+        self_promo_keywords(length, text),
+        recap_keywords(length, text),
+        intro_keyword(length, text, config),
+        outro_keyword(length, text, config),
         ad_break(grid, config),
     ]
     ranked = [p.withColumn("rule_rank", F.lit(k)) for k, p in enumerate(parts)]

@@ -33,7 +33,16 @@ class Fusion:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return kept(align.build_grid(self.durations, self.audio, self.visual, self.text), "video_id", "t")
+        return kept(self.seconds)
+
+    @property
+    def seconds(self) -> DataFrame:
+        """The grid as a plan, for a step that is asked for alone."""
+        return align.build_grid(self.durations, self.audio, self.visual, self.text)
+
+    @property
+    def ends(self) -> DataFrame:
+        return align.ends(self.durations)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -41,7 +50,7 @@ class Fusion:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return rules.all_rules(self.grid, self.text, self.config)
+        return rules.all_rules(self.grid, self.text, self.config, self.ends)
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -11,12 +11,15 @@ def kept(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder, dealt out by its first column of ``by`` and sorted by all of them.
 
     Later plans start from the table instead of repeating what made it, and keep its partitioning, so windows, joins and
-    aggregates by that column need no further shuffle. The folder is spark.checkpoint.dir; where none is set (as in tests)
-    a temporary one is.
+    aggregates by that column need no further shuffle. The folder is spark.checkpoint.dir; where none is set, a session on
+    one machine (as in tests) gets a temporary one and any other an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     if by:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(partitions, by[0]).sortWithinPartitions(*by)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cadenza.config import LABELS
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
-from cadenza.operators import align, boundaries, classify, export, planned, review, rules, runs, smooth
+from cadenza.operators import align, boundaries, classify, export, overlap, planned, review, rules, runs, smooth
 
 GRID = "video_id string, t int, is_speech int, rms_energy double, is_music int, hist_diff double, is_hard_cut int, scene array<double>, text_sim_to_next double, has_text int, text_sentence_id int"
 SEG = "video_id string, segment_id int, start_sec double, end_sec double, label string, confidence double, visual_score double, audio_score double, text_score double, triggered_rules array<string>, summary string, user_corrected boolean"
@@ -369,3 +369,28 @@ def test_planned(spark):
     a = spark.createDataFrame([("v", 1), ("w", 5), ("x", 1)], "video_id string, modified int")
     b = spark.createDataFrame([("v", 2), ("w", 3)], "video_id string, finished int")
     assert {r["video_id"] for r in planned.stale(a, b).collect()} == {"w", "x"}
+
+
+def test_spans_that_meet_are_paired_once(spark):
+    rng = random.Random(5)
+    spans = lambda n: [(v, k, a, a + rng.choice([0, 1, 40, 700])) for k in range(n) for v in "vw" for a in [float(rng.randrange(-50, 2000))]]
+    left, right = spans(40), spans(60)
+    a = spark.createDataFrame(left, "video_id string, l long, a double, b double")
+    b = spark.createDataFrame(right, "video_id string, r long, c double, d double")
+    got = sorted((r["video_id"], r["l"], r["r"]) for r in overlap.meeting(a, ("a", "b"), b, ("c", "d")).filter("c <= b and a <= d").collect())
+    assert got == sorted((v, k, j) for v, k, s, e in left for w, j, c, d in right if v == w and c <= e and s <= d)
+
+
+def test_seconds_inside_segments(spark):
+    g = spark.createDataFrame([("v", t) for t in range(10)] + [("w", 0)], "video_id string, t int")
+    seg = spark.createDataFrame([("v", 0, 2, 4), ("v", 3, 6, 9)], "video_id string, segment_id int, start_sec int, end_sec int")
+    got = sorted((r["t"], r["segment_id"]) for r in classify.inside(g, seg).collect())
+    assert got == [(2, 0), (3, 0), (6, 3), (7, 3), (8, 3)]
+
+
+def test_grid_of_some_sources(spark):
+    durations = spark.createDataFrame([("v", 2.5), ("none", 0.0)], "video_id string, duration_sec double")
+    t = text(spark, [(1, 9, "late", [])])
+    got = align.build_grid(durations, text=t).orderBy("t").collect()
+    assert [(r["video_id"], r["t"], r["has_text"]) for r in got] == [("v", 0, 0), ("v", 1, 1), ("v", 2, 1)]
+    assert align.build_grid(durations).columns == ["video_id", "t"]
