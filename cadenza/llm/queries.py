@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.collocations import COLLOCATIONS_SQL, collocations
+from cadenza.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from cadenza.llm.hidden_markov import score
 from cadenza.llm.line_dedup import LINE_DEDUP_SQL, drop_recurring_lines
 from cadenza.llm.media import read_media, store_as_media
@@ -15,6 +17,7 @@ from cadenza.llm.near_text import near_duplicates
 from cadenza.llm.near_vectors import near_duplicate_vectors
 from cadenza.llm.packing import pack
 from cadenza.llm.pages import extract_main_text
+from cadenza.llm.repetition import QUALITY_SQL, quality_rules
 from cadenza.llm.token_counts import count_tokens
 from cadenza.llm.toxicity import toxicity
 
@@ -66,6 +69,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc.doc_id", "doc.n_bytes", *["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    mixed = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(mixed, anchor=F.col("vec_id") % 100 == 0)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -77,7 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op12_quality_rules": QUALITY_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
 }
