@@ -36,6 +36,8 @@ SHARES = 4096
 #: Bits of the set of frequent phrases.
 BITS = 1 << 26
 NO_LANGUAGE = "und"
+#: Cells of 64 bits that the driver gets in one row.
+_SLICE = 1 << 13
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -195,9 +197,19 @@ def _frequent(phrases: DataFrame, total: int, n_bits: int, shares: int) -> Frequ
             bits = np.bitwise_or.reduceat(np.uint64(1) << (cell & np.uint64(63)), first) if len(at) else cell
             yield pd.DataFrame({"at": at.astype(np.int64), "bits": bits.view(np.int64)})
 
-    found = phrases.select("lang", "phrase").mapInPandas(marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(n_bits >> 6, np.int64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slices: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, rows in pdf.groupby("slice"):
+                slices.setdefault(k, np.zeros(_SLICE, np.int64))[rows["at"].to_numpy() % _SLICE] = rows["bits"].to_numpy()
+        yield pd.DataFrame({"slice": list(slices), "bits": [x.tobytes() for x in slices.values()]})
+
+    cells = phrases.select("lang", "phrase").mapInPandas(marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    sliced = cells.withColumn("slice", F.floor(F.col("at") / _SLICE)).repartition("slice").mapInPandas(packed, "slice long, bits binary")
+    bits = np.zeros(-(-n_bits // (64 * _SLICE)) * _SLICE, np.int64)
+    for row in sliced.collect():
+        bits[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["bits"], np.int64)
+    bits = bits[: n_bits >> 6]
     most = phrases.filter(F.col("n") * shares > total).select("lang", "phrase", "n").toPandas()
     parts = -(-most["n"].to_numpy(np.int64) * shares // max(total, 1))
     return Frequent(bits.view(np.uint64), _phrase_hashes(most["lang"].tolist(), most["phrase"].tolist()), parts)
