@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza import oracles, oracles_planned
 from cadenza.config import DEFAULT
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
-from cadenza.operators import align, boundaries, classify, export, planned, review, rules, runs, smooth
-from cadenza.oracles import ORACLES as ORACLES
+from cadenza.operators import align, boundaries, classify, episodes, export, planned, review, rules, runs, smooth
 from cadenza.plans.fusion import Fusion
 from cadenza.sources import adapters
 from cadenza.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.ORACLES | oracles_planned.ORACLES
 
 
 def query(f: Query) -> Query:
@@ -462,3 +463,10 @@ def stale_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     requested = each.groupBy("video_id").agg(F.max("pos").alias("modified"))
     finished = each.filter("event_type <> 'error'").groupBy("video_id").agg(F.max("pos").alias("finished"))
     return planned.stale(requested, finished).select("video_id", "modified")
+
+
+@query
+def repeated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of lines that documents share; a pair at the threshold is missed once in a million."""
+    found = episodes.matches(adapters.line_vectors(spark, sf_dir), threshold=0.95, best=20, missed=1e-6)
+    return _rounded(episodes.repeated_segments(found, 3), "cosine")

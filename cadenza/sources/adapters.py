@@ -91,3 +91,17 @@ def similarity_to_next(sentence: DataFrame, vector: DataFrame) -> DataFrame:
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = similarity_to_next(sentences(spark, sf_dir), vectors(spark, sf_dir))
     return told.withColumn("matched_keywords", matched_keywords(F.col("text"), PROSE))
+
+
+#: Components of a line's vector.
+LINE_SIZE = 32
+
+
+def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, t, vector): documents stand for recordings and their lines for seconds; a line of three words or more has a
+    vector, in which every word adds or takes one at a place given by its hash."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.posexplode(F.split("text", "\n", -1)).alias("t", "line"))
+    word = F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[^ \\t\\r]+"), F.lit(0)))
+    placed = lines.select("video_id", "t", word.alias("word")).withColumn("place", F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % (2 * LINE_SIZE))
+    components = [F.sum(F.when(F.col("place") == d, 1.0).when(F.col("place") == d + LINE_SIZE, -1.0).otherwise(0.0)) for d in range(LINE_SIZE)]
+    return placed.groupBy("video_id", "t").agg(F.count("*").alias("n"), F.array(*components).alias("vector")).filter("n >= 3").select("video_id", "t", "vector")
