@@ -302,12 +302,26 @@ def safe_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "pages").select("page_id", fx.safe_stem(F.regexp_replace("url", "^.*/", "")).alias("stem"))
 
 
+def _taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = adapters.table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 20).cast("string")).alias("name"))
+    return names.unionByName(names.select(F.regexp_replace("name", "_.*", "").alias("name"))).distinct()
+
+
 @query
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = adapters.table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 20).cast("string")).alias("name")).distinct()
-    every = taken.unionByName(taken.select(F.regexp_replace("name", "_.*", "").alias("name"))).distinct()
-    wanted = adapters.table(spark, sf_dir, "events").select("event_type").distinct()
-    return review.free_name(F.col("event_type"), every, wanted)
+    wanted = adapters.table(spark, sf_dir, "events").select(F.col("event_type").alias("stem")).distinct().withColumn("upload", F.col("stem"))
+    return review.free_names(wanted, _taken_names(spark, sf_dir)).select("stem", "name")
+
+
+@query
+def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is an upload: of its type, of its type and a number, or of its type and a number with a zero before it; among
+    the names taken are some that are no numbers of a stem."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    stem = F.when(user % 3 == 0, kind).when(user % 3 == 1, F.concat_ws("_", kind, (user % 40).cast("string"))).otherwise(F.concat_ws("_0", kind, (user % 5).cast("string")))
+    wanted = adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("upload"), stem.alias("stem"))
+    odd = adapters.table(spark, sf_dir, "events").select(F.concat(kind, F.lit("_"), (user % 7).cast("string"), F.lit("_2")).alias("name")).distinct()
+    return review.free_names(wanted, _taken_names(spark, sf_dir).union(odd)).select("stem", "name")
 
 
 @query
@@ -396,6 +410,23 @@ def speech_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.speech_seconds(spoken, align.spine(_spoken_durations(spark, sf_dir)).select("video_id", "t"))
 
 
+@query
+def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as documents with their events as segments and chapters, many of them with values that a document may not hold."""
+    label = F.when(F.col("event_type") == "view", "core_content").when(F.col("event_type") == "click", "intro").when(F.col("event_type") == "purchase", "sponsorship").otherwise(F.col("event_type"))
+    score = F.struct(F.lit(2.0).alias("visual_score"), F.lit(-1.0).alias("audio_score"), F.lit(0.5).alias("text_score"), F.array().cast("array<string>").alias("triggered_rules"))
+    evidence = F.when(F.col("pos") % 11 != 0, score)
+    times = [(F.col("t") - 100.0).alias("start_sec"), F.floor(F.col("t") / 2).cast("double").alias("end_sec")]
+    segment = F.struct(F.col("pos").cast("int").alias("segment_id"), *times, label.alias("label"), (F.col("value") / 100).alias("confidence"), evidence.alias("evidence"), F.lit("").alias("summary"), F.lit(False).alias("user_corrected"))
+    chapter = F.struct((F.col("pos") % 5 - 1).cast("int").alias("chapter_id"), *times, F.when(F.col("pos") % 2 == 0, "title").alias("title"))
+    each = adapters.events(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", segment.alias("segment"), chapter.alias("chapter")))).alias("e"))
+    odd = F.col("video_id").cast("int") % 4
+    size = [(odd - 1).cast("double").alias("fps"), (odd * 640).alias("width"), (480 - odd * 480).alias("height")]
+    info = F.struct(F.when(odd != 3, F.col("video_id")).alias("filename"), F.when(odd != 2, 720.0).otherwise(float("nan")).alias("duration_sec"), *size)
+    document = each.select("video_id", F.struct(info.alias("video_info"), F.transform("e", lambda x: x["segment"]).alias("segments"), F.transform("e", lambda x: x["chapter"]).alias("chapters")).alias("metadata"))
+    return export.broken(document).select("video_id", F.explode("violations").alias("path"))
+
+
 @query
 def broken_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as segments, some of them with labels or confidences that a document may not hold."""
@@ -404,7 +435,7 @@ def broken_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = adapters.events(spark, sf_dir).select(
         "video_id", F.col("pos").alias("segment_id"), F.col("t").alias("start_sec"), (F.col("t") + 1).alias("end_sec"), label.alias("label"), (F.col("value") / 100).alias("confidence"), half.alias("visual_score"), half.alias("audio_score"), half.alias("text_score")
     )
-    return export.broken(segment).select("video_id", "segment_id", "label")
+    return export.broken_segments(segment).select("video_id", "segment_id", "label")
 
 
 @query

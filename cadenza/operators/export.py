@@ -66,22 +66,57 @@ def skip_list(segment: DataFrame) -> DataFrame:
     return segment.groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("label") != "core_content", F.col("segment_id")))).alias("skip_suggestions"))
 
 
-def _within_bounds() -> Column:
-    scores = ("confidence", "visual_score", "audio_score", "text_score")
-    fine = F.col("label").isin(*LABELS) & (F.col("start_sec") >= 0) & (F.col("end_sec") > 0)
-    for c in scores:
-        fine = fine & F.col(c).between(0, 1)
-    return F.coalesce(fine, F.lit(False))
+#: What the fields of each level of a document must hold; fields that aren't named may hold anything or be missing.
+BOUNDS = {
+    "video_info": {"filename": "any", "duration_sec": ">= 0", "fps": "> 0", "width": "> 0", "height": "> 0"},
+    "segments": {"segment_id": ">= 0", "start_sec": ">= 0", "end_sec": ">= 0", "label": "label", "confidence": "share", "evidence": "any"},
+    "chapters": {"chapter_id": ">= 0", "start_sec": ">= 0", "end_sec": ">= 0", "title": "any"},
+}
 
 
-def broken(segment: DataFrame) -> DataFrame:
-    """Segments outside the bounds of the document: times, scores, labels."""
-    return segment.filter(~_within_bounds())
+def _holds(value: Column, bound: str) -> Column:
+    """Whether a field is there and within its bound; NaN is within none."""
+    number = value.cast("double")
+    fine = {">= 0": lambda: number >= 0, "> 0": lambda: number > 0, "share": lambda: number.between(0, 1), "label": lambda: value.isin(*LABELS), "any": lambda: value.isNotNull()}[bound]()
+    return F.coalesce(fine & ~F.isnan(number), F.lit(False)) if bound in (">= 0", "> 0", "share") else F.coalesce(fine, F.lit(False))
 
 
-def checked(segment: DataFrame) -> DataFrame:
-    """``segment``, failing at run time on a row outside the bounds."""
-    return segment.filter(F.assert_true(_within_bounds(), F.concat(F.lit("invalid segment of "), F.col("video_id"))).isNull())
+def _wrong(item: Column, level: str, place: Column) -> Column:
+    """The paths of an item's fields that don't hold what they must."""
+    paths = [F.when(~_holds(item[f], bound), F.concat(place, F.lit(f".{f}"))) for f, bound in BOUNDS[level].items()]
+    return F.filter(F.array(*paths), lambda x: x.isNotNull())
+
+
+def violations(metadata: Column) -> Column:
+    """The paths of all fields of a document that are missing or out of bounds, such as ``segments[3].confidence``, in order."""
+
+    def each(level: str) -> Column:
+        items = F.transform(metadata[level], lambda x, k: F.when(x.isNull(), F.array(F.concat(F.lit(f"{level}["), k, F.lit("]")))).otherwise(_wrong(x, level, F.concat(F.lit(f"{level}["), k, F.lit("]")))))
+        return F.coalesce(F.flatten(items), F.array(F.lit(level)))
+
+    info = F.when(metadata["video_info"].isNull(), F.array(F.lit("video_info"))).otherwise(_wrong(metadata["video_info"], "video_info", F.lit("video_info")))
+    return F.when(metadata.isNull(), F.array(F.lit("metadata"))).otherwise(F.concat(info, each("segments"), each("chapters")))
+
+
+def broken(document: DataFrame) -> DataFrame:
+    """(video_id, violations) of the documents (video_id, metadata) that are out of bounds."""
+    return document.select("video_id", violations(F.col("metadata")).alias("violations")).filter(F.size("violations") > 0)
+
+
+def broken_segments(segment: DataFrame) -> DataFrame:
+    """Rows of a table of segments that are out of bounds, before they are nested."""
+    fine = F.lit(True)
+    for f, bound in BOUNDS["segments"].items():
+        if f in segment.columns:
+            fine = fine & _holds(F.col(f), bound)
+    return segment.filter(~fine)
+
+
+def checked(document: DataFrame) -> DataFrame:
+    """``document`` (video_id, metadata), failing at run time on one that is out of bounds, with the paths that are."""
+    wrong = violations(F.col("metadata"))
+    fine = F.assert_true(F.size(wrong) == 0, F.concat(F.lit("invalid document of "), F.coalesce("video_id", F.lit("null")), F.lit(": "), F.array_join(wrong, ", ")))
+    return document.filter(fine.isNull())
 
 
 def unknown_keys(document: Column, expected: list[str]) -> Column:
@@ -90,12 +125,16 @@ def unknown_keys(document: Column, expected: list[str]) -> Column:
 
 
 def documents(info: DataFrame, segment: DataFrame, chapter: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(video_id, metadata): the nested document of each recording of ``info`` (video_id, filename, duration_sec, fps, width, height)."""
+    """(video_id, metadata): the nested document of each recording of ``info`` (video_id, filename, duration_sec, fps, width, height).
+
+    A document out of bounds fails the job when it is written.
+    """
     evidence = F.struct("visual_score", "audio_score", "text_score", "triggered_rules").alias("evidence")
     seg = F.struct("segment_id", "start_sec", "end_sec", "label", "confidence", evidence, "summary", "user_corrected")
-    segs = checked(segment).groupBy("video_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+    segs = segment.groupBy("video_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
     chap = chapter.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("chapter_id", "start_sec", "end_sec", "title"))).alias("chapters"))
     joined = info.join(segs, "video_id", "left").join(chap, "video_id", "left").join(skip_list(segment), "video_id", "left")
     video = F.struct("filename", "duration_sec", "fps", "width", "height", F.lit(config.version).alias("analysis_version"), F.lit(False).alias("verified_by_human"))
     empty = lambda c: F.coalesce(c, F.from_json(F.lit("[]"), joined.schema[c].dataType))
-    return joined.select("video_id", F.struct(video.alias("video_info"), empty("segments").alias("segments"), empty("chapters").alias("chapters"), empty("skip_suggestions").alias("skip_suggestions")).alias("metadata"))
+    metadata = F.struct(video.alias("video_info"), empty("segments").alias("segments"), empty("chapters").alias("chapters"), empty("skip_suggestions").alias("skip_suggestions"))
+    return checked(joined.select("video_id", metadata.alias("metadata")))

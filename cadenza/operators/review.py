@@ -55,17 +55,45 @@ def skip_target(now: DataFrame, segment: DataFrame, step: float = 0.05) -> DataF
     return told.select("video_id", "now", (F.col("in.end_sec") + step).alias("target"))
 
 
-def free_name(stem: Column, taken: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(stem, name) for each wanted stem: itself, or stem_2, stem_3, ... whichever is free first."""
-    stems = wanted.select(stem.alias("stem"))
-    number = F.regexp_extract("name", r"_(\d+)$", 1)
-    numbered = taken.select("name", F.regexp_replace("name", r"_\d+$", "").alias("root"), F.expr("try_cast(regexp_extract(name, '_([0-9]+)$', 1) as int)").alias("k"))
-    own = stems.join(taken.select(F.col("name").alias("stem"), F.lit(True).alias("own")), "stem", "left")
-    used = numbered.filter((number != "") & (F.col("k") >= 2)).groupBy("root").agg(F.collect_set("k").alias("used"))
-    joined = own.join(used.withColumnRenamed("root", "stem"), "stem", "left")
-    options = F.sequence(F.lit(2), F.coalesce(F.size("used"), F.lit(0)) + 2)
-    first = F.array_min(F.array_except(options, F.coalesce("used", F.array().cast("array<int>"))))
-    return joined.select("stem", F.when(F.col("own"), F.concat_ws("_", "stem", first)).otherwise(F.col("stem")).alias("name"))
+def _ranked(rows: DataFrame, key: str, part: Column, order: Column, weight: Column | None = None) -> DataFrame:
+    """``rows`` with ``rank``: the sum of ``weight`` (1 where none is given) up to and with each row of its key, by part and then order.
+
+    A key of very many rows is summed part by part; only its parts' totals meet in one place.
+    """
+    given = rows.withColumns({"_part": part, "_order": order, "_weight": F.lit(1) if weight is None else weight})
+    totals = given.groupBy(key, "_part").agg(F.sum("_weight").alias("_total"))
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(key, "_part", before.alias("_before"))
+    within = F.sum("_weight").over(Window.partitionBy(key, "_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
+    summed = given.withColumn("_within", within).join(offsets, [key, "_part"])
+    return summed.withColumn("rank", F.col("_before") + F.col("_within")).drop("_part", "_order", "_weight", "_within", "_before")
+
+
+def free_names(wanted: DataFrame, taken: DataFrame, parts: int = 256, width: int = 1 << 16) -> DataFrame:
+    """(upload, stem, name) for each row of ``wanted`` (upload, stem): names that neither ``taken`` (name) nor another upload has.
+
+    The first copy of a stem gets the stem itself if it is free, the k-th of the others the k-th of stem_2, stem_3, ... that is
+    neither taken nor wanted as a stem. Copies are numbered by the hash of their upload in ``parts`` parts and then by upload, so a
+    stem that most uploads share is spread out. A number n with i taken ones up to it leaves n - 1 - i free ones below, so
+    the k-th free number is 1 + k and the count of taken ones with fewer than k free ones below them; nothing is enumerated. Names are
+    compared whole: stem_02 is no number of stem. Null stems get null.
+    """
+    copies = _ranked(wanted.select("upload", "stem").filter("stem is not null"), "stem", F.pmod(F.xxhash64("upload"), F.lit(parts)), F.struct(F.col("upload").isNull(), "upload"))
+    stems = wanted.select("stem").filter("stem is not null").distinct()
+    names = taken.select("name").filter("name is not null").distinct()
+    own = stems.join(names.withColumnRenamed("name", "stem"), "stem", "left_semi").withColumn("own", F.lit(1))
+    number = F.expr("try_cast(regexp_extract(name, '_([1-9][0-9]{0,17})$', 1) as bigint)")
+    blocked = names.union(stems.select(F.col("stem").alias("name"))).distinct()
+    numbered = blocked.select(F.regexp_replace("name", "_[1-9][0-9]{0,17}$", "").alias("stem"), number.alias("n")).filter("n >= 2").join(stems, "stem", "left_semi")
+    below = _ranked(numbered, "stem", F.floor(F.col("n") / width), F.col("n")).select("stem", (F.col("n") - 1 - F.col("rank")).alias("x"))
+    gaps = below.groupBy("stem", "x").agg(F.count("*").alias("taken"))
+    of_stem = copies.join(own, "stem", "left").withColumn("k", F.col("rank") - 1 + F.coalesce("own", F.lit(0)))
+    both = of_stem.filter("k > 0").select("upload", "stem", (F.col("k") - 1).alias("x"), F.lit(0).cast("long").alias("taken"), F.lit(1).alias("kind"))
+    both = both.union(gaps.select(F.lit(None).cast(wanted.schema["upload"].dataType), "stem", "x", "taken", F.lit(0)))
+    counted = _ranked(both, "stem", F.floor(F.col("x") / width), F.struct("x", "kind", "upload"), F.col("taken")).filter("kind = 1")
+    later = counted.select("upload", "stem", F.concat_ws("_", "stem", F.col("x") + 2 + F.col("rank")).alias("name"))
+    first = of_stem.filter("k = 0").select("upload", "stem", F.col("stem").alias("name"))
+    return first.union(later).union(wanted.filter("stem is null").select("upload", "stem", F.col("stem").alias("name")))
 
 
 def job_status(events: DataFrame, now: Column) -> DataFrame:

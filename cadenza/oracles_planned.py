@@ -21,4 +21,20 @@ one_way AS (SELECT DISTINCT least(video_id, other_id) AS video_id, greatest(vide
 islands AS (SELECT *, t - row_number() OVER (PARTITION BY video_id, other_id, shift ORDER BY t) AS island FROM one_way)
 SELECT video_id, other_id, CAST(shift AS INTEGER) AS shift, CAST(min(t) AS INTEGER) AS start_sec, CAST(max(t) + 1 AS INTEGER) AS end_sec, count(*) AS n, round(avg(cosine), 6) AS cosine
 FROM islands GROUP BY video_id, other_id, shift, island HAVING count(*) >= 3""",
+    "upload_names": """WITH base AS (SELECT concat(event_type, '_', user_id % 20) AS name FROM events UNION SELECT event_type FROM events UNION SELECT concat(event_type, '_', user_id % 7, '_2') FROM events),
+wanted AS (SELECT CASE user_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, '_', user_id % 40) ELSE concat(event_type, '_0', user_id % 5) END AS stem FROM events),
+stems AS (SELECT stem, count(*) - CASE WHEN stem IN (SELECT name FROM base) THEN 0 ELSE 1 END AS later FROM wanted GROUP BY stem),
+options AS (SELECT stem, later, concat(stem, '_', k) AS name, k FROM stems, (SELECT unnest(range(2, 30 + (SELECT max(later) + 40 FROM stems))) AS k)),
+free AS (SELECT stem, later, name, row_number() OVER (PARTITION BY stem ORDER BY k) AS nth FROM options WHERE name NOT IN (SELECT name FROM base) AND name NOT IN (SELECT stem FROM stems))
+SELECT stem, name FROM free WHERE nth <= later UNION ALL SELECT stem, stem FROM stems WHERE stem NOT IN (SELECT name FROM base)""",
+    "broken_documents": """WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS pos, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS t, event_type, value, user_id % 4 AS odd FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS k FROM ev),
+info AS (SELECT DISTINCT video_id, odd FROM ev)
+SELECT video_id, 'video_info.filename' AS path FROM info WHERE odd = 3 UNION ALL SELECT video_id, 'video_info.duration_sec' FROM info WHERE odd = 2
+UNION ALL SELECT video_id, 'video_info.fps' FROM info WHERE odd <= 1 UNION ALL SELECT video_id, 'video_info.width' FROM info WHERE odd = 0 UNION ALL SELECT video_id, 'video_info.height' FROM info WHERE odd >= 1
+UNION ALL SELECT video_id, concat('segments[', k, '].start_sec') FROM placed WHERE t < 100 UNION ALL SELECT video_id, concat('chapters[', k, '].start_sec') FROM placed WHERE t < 100
+UNION ALL SELECT video_id, concat('segments[', k, '].label') FROM placed WHERE event_type NOT IN ('view', 'click', 'purchase')
+UNION ALL SELECT video_id, concat('segments[', k, '].confidence') FROM placed WHERE value / 100 NOT BETWEEN 0 AND 1
+UNION ALL SELECT video_id, concat('segments[', k, '].evidence') FROM placed WHERE pos % 11 = 0
+UNION ALL SELECT video_id, concat('chapters[', k, '].chapter_id') FROM placed WHERE pos % 5 = 0 UNION ALL SELECT video_id, concat('chapters[', k, '].title') FROM placed WHERE pos % 2 = 1""",
 }

@@ -30,7 +30,7 @@ def as_rows(names, rows):
     return sorted(str([plain(r[k]) for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift", "outro_of_spoken", "speech_seconds", "broken_segments", "replaced_documents", "list_labels", "scene_map", "ocr_gate", "ad_block", "stale_results", "next_segment", "skip_target"])
+@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift", "outro_of_spoken", "speech_seconds", "broken_segments", "broken_documents", "upload_names", "repeated_segments", "replaced_documents", "list_labels", "scene_map", "ocr_gate", "ad_block", "stale_results", "next_segment", "skip_target"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -79,4 +79,4 @@ def test_sixty_seconds(spark):
     assert any(s["label"] == "sponsorship" and s["start_sec"] <= 30 < s["end_sec"] for s in segs)
     core = [(s["start_sec"], s["end_sec"]) for s in segs if s["label"] == "core_content"]
     assert all(any(a <= c["start_sec"] and c["end_sec"] <= b for a, b in core) for c in doc["chapters"])
-    assert export.broken(f.smoothed).count() == 0
+    assert export.broken(f.documents(info)).count() == 0 and export.broken_segments(f.smoothed).count() == 0

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza import schemas
 from cadenza.config import LABELS
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
@@ -282,9 +283,61 @@ def test_document_and_validation(spark):
     docs = {r["video_id"]: r["metadata"] for r in export.documents(info, s, export.chapters(s, text(spark, [(1, 2, "x", [])]), None)).collect()}
     assert len(docs["v"]["segments"]) == 1 and docs["v"]["chapters"][0]["title"] == "x" and docs["w"]["segments"] == []
     bad = s.withColumn("label", F.lit("nonsense"))
-    assert export.broken(bad).count() == 1 and export.broken(s).count() == 0
-    with pytest.raises(Exception, match="invalid segment"):
-        export.checked(bad).collect()
+    assert export.broken_segments(bad).count() == 1 and export.broken_segments(s).count() == 0
+    with pytest.raises(Exception, match=r"invalid document of v: segments\[0\].label"):
+        export.documents(info, bad, export.chapters(s, text(spark, [(1, 2, "x", [])]), None)).collect()
+
+
+def test_violations_of_documents(spark):
+    info = '{"filename": "v", "duration_sec": 0.0, "fps": 0.1, "width": 1, "height": 1}'
+    segment = '{"segment_id": 0, "start_sec": 0, "end_sec": 0, "label": "intro", "confidence": 1, "evidence": {"visual_score": 7}}'
+    cases = {
+        f'{{"video_info": {info}, "segments": [], "chapters": []}}': [],
+        f'{{"video_info": {info}, "segments": [{segment}], "chapters": [{{"chapter_id": 0, "start_sec": 0, "end_sec": 0, "title": ""}}]}}': [],
+        f'{{"video_info": {info.replace("0.1", "0.0").replace("1}", "-1}")}, "segments": [{segment}, null], "chapters": []}}': ["video_info.fps", "video_info.height", "segments[1]"],
+        f'{{"video_info": {info}, "segments": [{segment.replace("1, ", "1.01, ")}, {segment.replace("intro", "ad").replace("end_sec", "e")}]}}': ["segments[0].confidence", "segments[1].end_sec", "segments[1].label", "chapters"],
+        f'{{"segments": [{segment.replace("0,", "-1,")}], "chapters": [{{"chapter_id": -1, "start_sec": 0}}]}}': ["video_info", "segments[0].segment_id", "segments[0].start_sec", "segments[0].end_sec", "chapters[0].chapter_id", "chapters[0].end_sec", "chapters[0].title"],
+    }
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, j string").select("k", F.from_json("j", schemas.METADATA).alias("metadata"))
+    assert [r["v"] for r in docs.orderBy("k").select(export.violations(F.col("metadata")).alias("v")).collect()] == list(cases.values())
+    none = docs.limit(1).select(F.lit(None).cast(schemas.METADATA).alias("metadata"))
+    assert none.select(export.violations(F.col("metadata"))).first()[0] == ["metadata"]
+
+
+def named(spark, taken, wanted, **how):
+    names = spark.createDataFrame([(n,) for n in taken], "name string")
+    rows = review.free_names(spark.createDataFrame(list(enumerate(wanted)), "upload int, stem string"), names, **how).collect()
+    assert sorted(r["upload"] for r in rows) == list(range(len(wanted))) and all(r["stem"] == wanted[r["upload"]] for r in rows)
+    return sorted((r["stem"] or "", r["name"] or "") for r in rows)
+
+
+def plain_names(taken, wanted):
+    """One after another: stems that are free first, then numbers from two on."""
+    used, out, rest = set(taken), [], []
+    for stem in wanted:
+        if stem is None:
+            out.append(("", ""))
+        elif stem in used:
+            rest.append(stem)
+        else:
+            used.add(stem)
+            out.append((stem, stem))
+    for stem in rest:
+        k = next(k for k in range(2, 10_000) if f"{stem}_{k}" not in used)
+        used.add(f"{stem}_{k}")
+        out.append((stem, f"{stem}_{k}"))
+    return sorted(out)
+
+
+def test_free_names(spark):
+    assert named(spark, ["a", "a_2"], ["a", "a"]) == [("a", "a_3"), ("a", "a_4")]
+    assert named(spark, ["a", "a_02", "a_2_2"], ["a"]) == [("a", "a_2")]
+    rng = random.Random(3)
+    taken = [f"{rng.choice('ab')}_{rng.randint(0, 30)}" for _ in range(20)] + ["a", "a_5_3", "b_007", "a_99999999999999999999", None]
+    wanted = [rng.choice(["a", "b", "c", "a_5", "a_6", "b_2_2", "a_", None]) for _ in range(120)]
+    expected = plain_names([n for n in taken if n], wanted)
+    assert named(spark, taken, wanted) == expected and named(spark, taken, wanted, parts=3, width=4) == expected
+    assert named(spark, [], []) == [] and named(spark, [], ["a"]) == [("a", "a")]
 
 
 def test_review(spark):
@@ -293,8 +346,8 @@ def test_review(spark):
     assert sorted((r["now"], r["segment_id"]) for r in review.next_segment(now, seg).collect()) == [(1.0, 1)]
     assert [(r["now"], r["target"]) for r in review.skip_target(now, seg).collect()] == [(6.0, 9.05)]
     names = spark.createDataFrame([("a",), ("a_2",), ("a_4",), ("b_2",)], "name string")
-    wanted = spark.createDataFrame([("a",), ("b",), ("b_2",)], "stem string")
-    assert {tuple(r) for r in review.free_name(F.col("stem"), names, wanted).collect()} == {("a", "a_3"), ("b", "b"), ("b_2", "b_2_2")}
+    wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b_2")], "upload int, stem string")
+    assert {tuple(r) for r in review.free_names(wanted, names).collect()} == {(1, "a", "a_3"), (2, "b", "b"), (3, "b_2", "b_2_2")}
     log = spark.createDataFrame([("j", 1.0, "queued"), ("j", 2.0, "running"), ("j", 5.5, "done"), ("k", 1.0, "queued")], "job_id string, ts double, status string")
     assert {tuple(r) for r in review.job_status(log, F.lit(9.0)).collect()} == {("j", "done", 3.5), ("k", "queued", 0.0)}
 
