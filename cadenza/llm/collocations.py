@@ -30,7 +30,7 @@ from cadenza.llm.joins import digest, looked_up
 from cadenza.llm.lineage import bounded_batches, written
 
 #: Bytes of text whose stripes a task gathers before it sends them.
-WINDOW = 24_000_000
+WINDOW = 16_000_000
 #: A prefix with more than one in this many of all occurrences has its stripe split; there are fewer such prefixes.
 SHARES = 4096
 #: Bits of the set of frequent phrases.
@@ -98,7 +98,7 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     offsets = np.r_[0, np.cumsum(stops - starts)].astype(np.int32)
     buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[inside].tobytes())]
     words = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
-    piece = np.searchsorted(np.flatnonzero(ends), starts)
+    piece = np.searchsorted(np.flatnonzero(ends), starts).astype(np.int32)
     return starts, piece, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
 
 
