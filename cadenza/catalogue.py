@@ -379,7 +379,7 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         pixels = np.array(bytes(raw).split(), np.uint8)
         return np.repeat(pixels.reshape(8, 8)[:, :, None], 3, axis=2) if len(pixels) == 64 else None
 
-    return signals.frame_features(v, decode)
+    return _rounded(signals.frame_features(v, decode), "chroma_diff", "dct_hf_energy")
 
 
 def _spoken_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,3 +501,34 @@ def repeated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of lines that documents share; a pair at the threshold is missed once in a million."""
     found = episodes.matches(adapters.line_vectors(spark, sf_dir), threshold=0.95, best=20, missed=1e-6)
     return _rounded(episodes.repeated_segments(found, 3), "cosine")
+
+
+@query
+def sound_cepstra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for chunks of sound, as in sound_features."""
+    v = adapters.vectors(spark, sf_dir).select("video_id", F.col("id").alias("t"), F.col("embedding").cast("array<float>").alias("samples"))
+    return signals.sound_cepstra(v, rate=64).select("video_id", "t", F.posexplode("mfcc").alias("k", "value"))
+
+
+def _drifts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Drifts of the scenes and of the sound of each second."""
+    spine = align.spine(adapters.durations(spark, sf_dir))
+    audio = align.audio_grid(spine, adapters.audio(spark, sf_dir))
+    sound = F.array((F.col("rms_energy") + 0.0625).cast("double"), F.col("spectral_centroid") / 1000, F.col("zero_crossing_rate") * 4, F.col("is_music").cast("double"))
+    scenes = align.visual_grid(spine, adapters.frames(spark, sf_dir)).select("video_id", "t", F.col("scene").alias("vector"))
+    return planned.style_drift(scenes), planned.style_drift(audio.select("video_id", "t", sound.alias("vector")))
+
+
+@query
+def sound_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_drifts(spark, sf_dir)[1], "drift")
+
+
+@query
+def ad_block_of_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks where scenes or sound drift, with seconds of music as commercial ones."""
+    spine = align.spine(adapters.durations(spark, sf_dir))
+    audio = align.audio_grid(spine, adapters.audio(spark, sf_dir)).select("video_id", "t", F.col("is_music").alias("commercial"))
+    cuts = align.visual_grid(spine, adapters.frames(spark, sf_dir)).select("video_id", "t", "is_hard_cut")
+    drift = planned.either_drift(*_drifts(spark, sf_dir)).withColumn("drift", F.round(F.coalesce("drift", F.lit(0.0)), 6))
+    return planned.ad_block(drift.join(audio, ["video_id", "t"]).join(cuts, ["video_id", "t"]), least_drift=0.5, least_run=2)

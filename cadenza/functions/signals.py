@@ -45,6 +45,63 @@ def chunk_features(chunk: np.ndarray, rate: int = RATE) -> tuple[float, float, f
     return rms, centroid, bandwidth, zcr, float(-(p @ np.log2(p + 1e-12)))
 
 
+COEFFICIENTS = 20
+_BANDS, _FRAME, _HOP = 128, 2048, 512
+
+
+def mel(hertz: np.ndarray) -> np.ndarray:
+    """The mel scale that is linear up to 1000 Hz and logarithmic above."""
+    hertz = np.asarray(hertz, np.float64)
+    return np.where(hertz < 1000, hertz * 3 / 200, 15 + np.log(np.maximum(hertz, 1000) / 1000) * 27 / np.log(6.4))
+
+
+def hertz(mels: np.ndarray) -> np.ndarray:
+    return np.where(mels < 15, mels * 200 / 3, 1000 * np.exp((np.maximum(mels, 15) - 15) * np.log(6.4) / 27))
+
+
+@functools.lru_cache(4)
+def mel_bands(rate: int) -> np.ndarray:
+    """Weights of the frequencies (columns) in each band (rows): triangles evenly spaced in mel, each of area one."""
+    edges = hertz(np.linspace(0, mel(rate / 2), _BANDS + 2))
+    f = np.fft.rfftfreq(_FRAME, 1 / rate)
+    rising = (f - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+    falling = (edges[2:, None] - f) / (edges[2:] - edges[1:-1])[:, None]
+    return np.maximum(0, np.minimum(rising, falling)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+@functools.cache
+def _cepstral() -> np.ndarray:
+    """The first rows of the orthonormal cosine transform."""
+    k, n = np.arange(COEFFICIENTS)[:, None], np.arange(_BANDS)[None, :]
+    return np.cos(np.pi * k * (2 * n + 1) / (2 * _BANDS)) * np.sqrt(np.where(k == 0, 1, 2) / _BANDS)
+
+
+def cepstrum(chunk: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """Mel-frequency cepstral coefficients, their mean over the frames of one second; zeros of an empty one.
+
+    Frames of 2048 samples every 512, centred, in a Hann window; powers in mel bands, in decibels down to 80 below the
+    loudest; the cosine transform of these.
+    """
+    if not len(chunk):
+        return np.zeros(COEFFICIENTS)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(_FRAME) / _FRAME)
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(chunk.astype(np.float64), _FRAME // 2), _FRAME)[::_HOP]
+    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
+    loud = 10 * np.log10(np.maximum(power @ mel_bands(rate).T, 1e-10))
+    return (np.maximum(loud, loud.max() - 80) @ _cepstral().T).mean(axis=0)
+
+
+def sound_cepstra(chunks: DataFrame, rate: int = RATE) -> DataFrame:
+    """(video_id, t, mfcc): the cepstral coefficients of each second of ``chunks`` (video_id, t, samples), rounded to four digits; a null chunk is empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.round(cepstrum(np.asarray([] if s is None else s, np.float32), rate), 4) for s in pdf["samples"]]
+            yield pdf[["video_id", "t"]].assign(mfcc=found)
+
+    return chunks.select("video_id", "t", "samples").mapInPandas(run, "video_id string, t int, mfcc array<double>")
+
+
 FEATURES = ["rms_energy", "spectral_centroid", "spectral_bandwidth", "zero_crossing_rate", "spectral_entropy"]
 DIGITS = (6, 2, 2, 6, 4)
 

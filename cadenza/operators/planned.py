@@ -64,16 +64,25 @@ def rolling_mean(grid: DataFrame, column: str, reach: int = 2) -> DataFrame:
 
 
 def style_drift(vectors: DataFrame, near: int = 3, far: int = 15) -> DataFrame:
-    """(video_id, t, drift): cosine distance of a second's vector (video_id, t, vector) to the mean of those around it, from ``near`` to ``far`` seconds away."""
-    each = vectors.select("video_id", "t", F.posexplode("vector").alias("d", "x"))
-    by = Window.partitionBy("video_id", "d").orderBy("t")
-    sides = [by.rangeBetween(-far, -near), by.rangeBetween(near, far)]
-    total = sum((F.coalesce(F.sum("x").over(w), F.lit(0.0)) for w in sides), F.lit(0.0))
-    count = sum((F.count("x").over(w) for w in sides), F.lit(0))
-    around = each.withColumn("mean", F.when(count > 0, total / count))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("d", c))), lambda p: p[c])
-    both = around.groupBy("video_id", "t").agg(ordered("x").alias("own"), ordered("mean").alias("other"))
-    return both.select("video_id", "t", (1 - cosine(F.col("own"), F.col("other"))).alias("drift"))
+    """(video_id, t, drift): cosine distance of a second's vector (video_id, t, vector) to the mean of those around it, from ``near`` to ``far`` seconds away.
+
+    The vectors around are gathered by the window itself, at most 2 (far - near + 1) of them, and summed as arrays. Without
+    any, and for a vector or a mean without direction, the drift is null. It serves vectors of pictures and of sounds alike.
+    """
+    by = Window.partitionBy("video_id").orderBy("t")
+    sides = [F.collect_list("vector").over(by.rangeBetween(-far, -near)), F.collect_list("vector").over(by.rangeBetween(near, far))]
+    around = vectors.select("video_id", "t", "vector", F.concat(*sides).alias("around"))
+    add = lambda a, x: F.zip_with(a, x, lambda p, q: p + q.cast("double"))
+    summed = F.aggregate("around", F.transform("vector", lambda x: F.lit(0.0)), add)
+    return around.select("video_id", "t", F.when(F.size("around") > 0, 1 - cosine(F.col("vector"), summed)).alias("drift"))
+
+
+def either_drift(*drifts: DataFrame) -> DataFrame:
+    """(video_id, t, drift): the largest of several drifts of a second, so that runs of any of them, or of one after the other, count."""
+    every = drifts[0]
+    for d in drifts[1:]:
+        every = every.unionByName(d)
+    return every.groupBy("video_id", "t").agg(F.max("drift").alias("drift"))
 
 
 def stale(requested: DataFrame, finished: DataFrame) -> DataFrame:

@@ -6,6 +6,26 @@ from cadenza.sources import adapters
 
 _N = adapters.LINE_SIZE
 
+_VEC = "vec AS (SELECT CAST(vec_id // 50 AS VARCHAR) AS video_id, CAST(vec_id % 50 AS INTEGER) AS t, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s, len(embedding) AS n FROM embeddings)"
+_AROUND = "SELECT a.video_id, a.t, d, avg(b.v[d]) AS x FROM {src} AS a JOIN {src} AS b ON b.video_id = a.video_id AND abs(b.t - a.t) BETWEEN 3 AND 15, range(1, {size} + 1) AS r(d) GROUP BY ALL"
+_LABELS = "['" + "', '".join(k for _, k in adapters.SCENES) + "']"
+
+
+def _drift(src: str, size: int, dst: str) -> str:
+    mean = f"SELECT video_id, t, list(x ORDER BY d) AS m FROM ({_AROUND.format(src=src, size=size)}) GROUP BY ALL"
+    fine = "list_dot_product(v, v) > 0 AND list_dot_product(m, m) > 0"
+    return f"{dst} AS (SELECT video_id, t, CASE WHEN {fine} THEN 1 - list_dot_product(v, m) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(m, m))) END AS drift FROM {src} LEFT JOIN ({mean}) USING (video_id, t))"
+
+
+_SECONDS = f"""ev AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS pos, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS INTEGER) AS t, event_type, value FROM events),
+spine AS (SELECT video_id, CAST(r.t AS INTEGER) AS t FROM (SELECT video_id, max(t) AS last FROM ev GROUP BY video_id), range(0, 720) AS r(t)),
+newest AS (SELECT video_id, t, arg_max(event_type, pos) AS event_type, arg_max(value, pos) AS value FROM ev GROUP BY video_id, t),
+av AS (SELECT s.video_id, s.t, CASE WHEN n.event_type = 'purchase' THEN 1 ELSE 0 END AS is_music, coalesce(n.value > 150, false) AS cut,
+  [coalesce(floor(n.value) / 1024, 0) + 0.0625::DOUBLE, coalesce(n.value * 10, 0) / 1000, coalesce(n.value / 2000, 0) * 4, CASE WHEN n.event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END] AS sound,
+  list_transform({_LABELS}, lambda k: CASE WHEN n.event_type IS NULL THEN 0.0::DOUBLE WHEN n.event_type = k THEN 0.625::DOUBLE ELSE 0.09375::DOUBLE END) AS scene FROM spine AS s LEFT JOIN newest AS n USING (video_id, t)),
+sounds AS (SELECT video_id, t, sound AS v FROM av), scenes AS (SELECT video_id, t, scene AS v FROM av),
+{_drift('sounds', 4, 'sound_drift')}, {_drift('scenes', len(adapters.SCENES), 'scene_drift')}"""
+
 ORACLES: dict[str, str] = {
     "repeated_segments": f"""WITH lines AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS t FROM documents),
 placed AS (SELECT video_id, t, list_transform(regexp_extract_all(lower(line), '[^ \\t\\r]+'), lambda w: CAST('0x' || md5(w)[1:2] AS INTEGER) % {2 * _N}) AS place FROM lines),
@@ -37,4 +57,44 @@ UNION ALL SELECT video_id, concat('segments[', k, '].label') FROM placed WHERE e
 UNION ALL SELECT video_id, concat('segments[', k, '].confidence') FROM placed WHERE value / 100 NOT BETWEEN 0 AND 1
 UNION ALL SELECT video_id, concat('segments[', k, '].evidence') FROM placed WHERE pos % 11 = 0
 UNION ALL SELECT video_id, concat('chapters[', k, '].chapter_id') FROM placed WHERE pos % 5 = 0 UNION ALL SELECT video_id, concat('chapters[', k, '].title') FROM placed WHERE pos % 2 = 1""",
+    "sound_drift": f"WITH {_SECONDS} SELECT video_id, t, round(drift, 6) AS drift FROM sound_drift",
+    "ad_block_of_drifts": f"""WITH {_SECONDS},
+either AS (SELECT video_id, t, round(coalesce(max(drift), 0), 6) AS drift FROM (SELECT * FROM sound_drift UNION ALL SELECT * FROM scene_drift) GROUP BY video_id, t),
+hot AS (SELECT video_id, t, t - row_number() OVER (PARTITION BY video_id ORDER BY t) AS island FROM either WHERE drift >= 0.5),
+found AS (SELECT video_id, min(t) AS start_sec, max(t) + 1 AS end_sec FROM hot GROUP BY video_id, island HAVING count(*) >= 2)
+SELECT f.video_id, f.start_sec, f.end_sec, CASE WHEN bool_or(cut AND abs(t - start_sec) <= 3) AND bool_or(cut AND abs(t - end_sec) <= 3) THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence
+FROM found AS f JOIN av USING (video_id) GROUP BY ALL HAVING bool_or(is_music = 1 AND t >= start_sec AND t < end_sec)""",
+    "sound_cepstra": f"""WITH {_VEC},
+edges AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) * ln(6.4) / 27) END AS f FROM (SELECT i, 32 * 3 / 200.0::DOUBLE * i / 129 AS m FROM range(0, 130) AS r(i))),
+weights AS (SELECT b, k, w * 2 / width AS w FROM (SELECT l.i AS b, k, greatest(0, least((k / 32.0::DOUBLE - l.f) / (c.f - l.f), (h.f - k / 32.0::DOUBLE) / (h.f - c.f))) AS w, h.f - l.f AS width
+  FROM edges AS l JOIN edges AS c ON c.i = l.i + 1 JOIN edges AS h ON h.i = l.i + 2, range(0, 1025) AS q(k)) WHERE w > 0),
+windowed AS (SELECT video_id, t, 1023 + j AS place, s[j] * (0.5 - 0.5 * cos(2 * pi() * (1023 + j) / 2048)) AS x FROM vec, range(1, n + 1) AS r(j)),
+power AS (SELECT video_id, t, k, pow(sum(x * cos(2 * pi() * (k * place % 2048) / 2048)), 2) + pow(sum(x * sin(2 * pi() * (k * place % 2048) / 2048)), 2) AS p FROM windowed, range(0, 1025) AS q(k) GROUP BY ALL),
+loud AS (SELECT video_id, t, b, 10 * log10(greatest(1e-10, sum(p * w))) AS db FROM power JOIN weights USING (k) GROUP BY ALL),
+bands AS (SELECT video_id, t, b, coalesce(db, -100) AS db FROM (SELECT video_id, t, b FROM vec, range(0, 128) AS r(b)) LEFT JOIN loud USING (video_id, t, b)),
+clipped AS (SELECT video_id, t, b, greatest(db, max(db) OVER (PARTITION BY video_id, t) - 80) AS db FROM bands)
+SELECT video_id, t, CAST(k AS INTEGER) AS k, round(v * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 128.0::DOUBLE), 4) AS value
+FROM (SELECT video_id, t, k, sum(db * cos(pi() * k * (2 * b + 1) / 256)) AS v FROM clipped, range(0, 20) AS q(k) GROUP BY video_id, t, k)""",
+    "sound_features": f"""WITH {_VEC},
+frames AS (SELECT video_id, t, f, j, CASE WHEN 32 * f + j BETWEEN 32 AND 95 THEN s[32 * f + j - 31] ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS x FROM vec, range(0, 3) AS q(f), range(0, 64) AS r(j)),
+bins AS (SELECT video_id, t, f, k, sqrt(pow(sum(x * cos(2 * pi() * (k * j % 64) / 64)), 2) + pow(sum(x * sin(2 * pi() * (k * j % 64) / 64)), 2)) AS m FROM frames, range(0, 33) AS q(k) GROUP BY ALL),
+mean AS (SELECT video_id, t, k, avg(m) + 1e-10 AS m FROM bins GROUP BY ALL),
+share AS (SELECT video_id, t, k, m / sum(m) OVER (PARTITION BY video_id, t) AS p FROM mean),
+centre AS (SELECT *, sum(k * p) OVER (PARTITION BY video_id, t) AS c FROM share),
+spectral AS (SELECT video_id, t, any_value(c) AS c, sqrt(sum(pow(k - c, 2) * p)) AS b, -sum(p * log2(p + 1e-12)) AS e FROM centre GROUP BY ALL),
+padded AS (SELECT video_id, t, list_concat(list_transform(range(1024), lambda i: s[1] < 0), list_transform(s, lambda x: x < 0), list_transform(range(1024), lambda i: s[n] < 0)) AS g FROM vec),
+crossing AS (SELECT video_id, t, avg(len(list_filter(range(32 * f + 2, 32 * f + 2049), lambda i: g[i] <> g[i - 1])) / 2048) AS z FROM padded, range(0, 3) AS q(f) GROUP BY ALL)
+SELECT video_id, t, round(sqrt(list_dot_product(s, s) / n), 6) AS rms_energy, round(c, 2) AS spectral_centroid, round(b, 2) AS spectral_bandwidth, round(z, 6) AS zero_crossing_rate, round(e, 4) AS spectral_entropy
+FROM vec JOIN spectral USING (video_id, t) JOIN crossing USING (video_id, t)""",
+    "frame_features": f"""WITH {_VEC},
+pixels AS (SELECT video_id, t, i - 1 AS i, CAST(least(255, greatest(0, round(s[i] * 100 + 128))) AS BIGINT) AS p FROM vec, range(1, 65) AS r(i)),
+counts AS (SELECT video_id, t, k, count(i) AS c FROM (SELECT video_id, t, k FROM vec, range(0, 8) AS r(k)) LEFT JOIN (SELECT video_id, t, i, p // 32 AS k FROM pixels) USING (video_id, t, k) GROUP BY ALL),
+frames AS (SELECT *, lag(h) OVER w AS before, lag(ps) OVER w AS earlier FROM (SELECT video_id, t, list(c ORDER BY k) AS h FROM counts GROUP BY ALL)
+  JOIN (SELECT video_id, t, list(p ORDER BY i) AS ps, sum(p) / 64 AS mean, sum(p * p) / 64 AS square FROM pixels GROUP BY ALL) USING (video_id, t) WINDOW w AS (PARTITION BY video_id ORDER BY t)),
+detail AS (SELECT video_id, t, sum(c * c) / 4096 AS e FROM (
+  SELECT video_id, t, u, v, sum(p * cos((2 * (i // 8) + 1) * u * pi() / 16) * cos((2 * (i % 8) + 1) * v * pi() / 16)) / 4 AS c FROM pixels, range(4, 8) AS q(u), range(4, 8) AS r(v) GROUP BY ALL) GROUP BY ALL),
+told AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE round(greatest(0, 1 - (list_dot_product(h, before) - 8) / sqrt((list_dot_product(h, h) - 8) * (list_dot_product(before, before) - 8))), 6) END AS d FROM frames JOIN detail USING (video_id, t))
+SELECT video_id, t AS frame_index, CAST(t AS DOUBLE) AS timestamp_sec, d AS hist_diff_to_previous, d > 0.6 AS is_hard_cut, mean AS mean_luminance, square - mean * mean AS luminance_variance,
+  mean < 10 AND square - mean * mean < 50 AS is_black_frame, CASE WHEN earlier IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: abs(ps[i] - earlier[i]))) / 64 END AS motion_intensity,
+  0.0::DOUBLE AS chroma_diff, round(e, 6) AS dct_hf_energy FROM told""",
 }

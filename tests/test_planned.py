@@ -1,8 +1,11 @@
-"""Planned signals: segments that recordings share, against brute force."""
+"""Planned signals: segments that recordings share, cepstra and drifts, against brute force."""
+
+import math
 
 import numpy as np
 
-from cadenza.operators import episodes
+from cadenza.functions import signals
+from cadenza.operators import episodes, planned
 
 VECTORS = "video_id string, t int, vector array<double>"
 
@@ -63,3 +66,60 @@ def test_repeated_segments(spark):
     assert len(found) == 15 + 2 and not any(r[5] < 5 for r in found)
     broken = spark.createDataFrame([("a", t, "b", t + 2, 1.0) for t in (0, 1, 2, 4, 5, 6, 7)] + [("b", 3, "a", 1, 1.0)], "video_id string, t int, other_id string, other_t int, cosine double")
     assert {tuple(r)[2:6] for r in episodes.repeated_segments(broken, 3).collect()} == {(2, 0, 3, 3), (2, 4, 8, 4)}
+
+
+def plain_cepstrum(chunk, rate):
+    """The definition, coefficient by coefficient."""
+    padded = np.concatenate([np.zeros(1024), np.asarray(chunk, np.float64), np.zeros(1024)])
+    to_mel = lambda f: 3 * f / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)
+    to_hertz = lambda m: 200 * m / 3 if m < 15 else 1000 * math.exp((m - 15) * math.log(6.4) / 27)
+    edges = [to_hertz(to_mel(rate / 2) * k / 129) for k in range(130)]
+    loud = []
+    for s in range(0, len(padded) - 2047, 512):
+        power = np.abs(np.fft.fft(padded[s : s + 2048] * np.sin(np.pi * np.arange(2048) / 2048) ** 2)[:1025]) ** 2
+        bands = []
+        for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+            f = np.arange(1025) * rate / 2048
+            weight = np.where(f <= b, (f - a) / (b - a), (c - f) / (c - b)).clip(0) * 2 / (c - a)
+            bands.append(10 * math.log10(max(1e-10, float(weight @ power))))
+        loud.append(bands)
+    loud = np.maximum(loud, np.max(loud) - 80)
+    return [float(np.mean([sum(x * math.cos(math.pi * k * (2 * n + 1) / 256) for n, x in enumerate(frame)) for frame in loud])) * math.sqrt((1 if k == 0 else 2) / 128) for k in range(20)]
+
+
+def test_cepstra(spark):
+    rng = np.random.default_rng(4)
+    tone = np.sin(2 * np.pi * 440 * np.arange(8000) / 8000)
+    chunks = [tone, 0.1 * rng.standard_normal(8000), np.zeros(8000), tone[:700], tone[:1], np.repeat(tone[:1000], 8)]
+    for c in chunks:
+        assert np.allclose(signals.cepstrum(np.asarray(c, np.float32), 8000), plain_cepstrum(np.asarray(c, np.float32), 8000), atol=1e-6)
+    assert np.allclose(signals.hertz(signals.mel(np.array([0.0, 440, 1000, 4000, 8000]))), [0, 440, 1000, 4000, 8000])
+    rows = [("v", t, np.asarray(c, np.float32).tolist()) for t, c in enumerate(chunks)] + [("v", 9, None), ("w", 0, [])]
+    got = {(r["video_id"], r["t"]): r["mfcc"] for r in signals.sound_cepstra(spark.createDataFrame(rows, "video_id string, t int, samples array<float>"), 8000).collect()}
+    assert got["v", 9] == got["w", 0] == [0.0] * 20 and np.allclose(got["v", 1], plain_cepstrum(np.asarray(chunks[1], np.float32), 8000), atol=1e-4)
+
+
+def plain_drift(vectors, near=3, far=15):
+    out = {}
+    for t, x in vectors.items():
+        around = [y for s, y in vectors.items() if near <= abs(s - t) <= far]
+        mean = np.sum(around, axis=0) if around else np.zeros(len(x))
+        length = np.linalg.norm(x) * np.linalg.norm(mean)
+        out[t] = None if length == 0 else 1 - float(np.dot(x, mean)) / length
+    return out
+
+
+def test_drifts(spark):
+    rng = np.random.default_rng(5)
+    vectors = {t: rng.standard_normal(5) for t in [*range(30), 33, 34, 60, 61]} | {20: np.zeros(5)}
+    df = spark.createDataFrame([("v", t, x.tolist()) for t, x in vectors.items()] + [("w", 0, [1.0])], "video_id string, t int, vector array<double>")
+    got = {(r["video_id"], r["t"]): r["drift"] for r in planned.style_drift(df).collect()}
+    expected = plain_drift(vectors)
+    assert got["w", 0] is None and got["v", 60] is None and got["v", 20] is None
+    assert all((got["v", t] is None) == (x is None) and (x is None or abs(got["v", t] - x) < 1e-9) for t, x in expected.items())
+    flat = spark.createDataFrame([("v", t, 0.6 if 2 <= t < 8 else 0.0) for t in range(20)], "video_id string, t int, drift double")
+    late = spark.createDataFrame([("v", t, 0.5 if 7 <= t < 13 else None) for t in range(20)], "video_id string, t int, drift double")
+    marks = spark.createDataFrame([("v", t, int(t == 12), int(t in (2, 14))) for t in range(20)], "video_id string, t int, commercial int, is_hard_cut int")
+    either = planned.either_drift(flat, late)
+    assert [tuple(r) for r in planned.ad_block(either.join(marks, ["video_id", "t"])).collect()] == [("v", 2, 13, 0.9)]
+    assert not planned.ad_block(flat.join(marks, ["video_id", "t"])).collect()
