@@ -30,12 +30,14 @@ from cadenza.llm.joins import digest, looked_up
 from cadenza.llm.lineage import bounded_batches, written
 
 #: Bytes of text whose stripes a task gathers before it sends them.
-WINDOW = 16_000_000
+WINDOW = 12_000_000
 #: A prefix with more than one in this many of all occurrences has its stripe split; there are fewer such prefixes.
 SHARES = 4096
 #: Bits of the set of frequent phrases.
 BITS = 1 << 26
 NO_LANGUAGE = "und"
+#: Bytes or words that are looked at together.
+_BLOCK = 1 << 20
 #: Cells of 64 bits that the driver gets in one row.
 _SLICE = 1 << 13
 
@@ -64,42 +66,59 @@ def _phrase_hashes(lang: list, phrase: list) -> np.ndarray:
     return h
 
 
-def _pieces(texts: Iterable[tuple[str, bytes]], window: int) -> Iterator[tuple[str, bytes]]:
-    """Plain texts; those longer than a window are cut between pieces."""
-    for lang, text in texts:
-        text = text.translate(_PLAIN)
-        while len(text) > window and (cut := text.find(b"\n", window)) >= 0:
-            yield lang, text[:cut]
-            text = text[cut:]
-        yield lang, text
+def _pieces(lang: str, text: bytes, window: int) -> Iterator[tuple[str, bytes]]:
+    """The plain text; a text longer than a window is cut between pieces."""
+    text = text.translate(_PLAIN)
+    at = 0
+    while len(text) - at > window and (cut := text.find(b"\n", at + window)) >= 0:
+        yield lang, text[at:cut]
+        at = cut
+    yield lang, text[at:]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list, bytes, list]]:
-    """Languages, joined plain texts and the places where they begin, for about ``window`` bytes at a time."""
-    held, size = [], 0
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list, list]]:
+    """Languages and plain texts, about ``window`` bytes at a time."""
+    langs, texts, size = [], [], 0
     for batch in batches:
-        for lang, text in _pieces(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), window):
-            held.append((lang, text))
-            size += len(text) + 1
-            if size >= window:
-                yield [x for x, _ in held], b"\n".join(x for _, x in held), np.cumsum([0, *[len(x) + 1 for _, x in held[:-1]]])
-                held, size = [], 0
-    if held:
-        yield [x for x, _ in held], b"\n".join(x for _, x in held), np.cumsum([0, *[len(x) + 1 for _, x in held[:-1]]])
-
-
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Of each word its place, the number of its piece and its number in the array of distinct words, which comes last."""
-    raw = np.frombuffer(text, np.uint8)
-    ends = raw == _NEWLINE
-    inside = ~(ends | (raw == 32) | (raw == 9))
-    edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    offsets = np.r_[0, np.cumsum(stops - starts)].astype(np.int32)
-    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[inside].tobytes())]
-    words = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
-    piece = np.searchsorted(np.flatnonzero(ends), starts).astype(np.int32)
-    return starts, piece, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+        for k in range(len(batch)):  # one by one, so that no batch is held twice
+            for lang, text in _pieces(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), window):
+                langs.append(lang)
+                texts.append(text)
+                size += len(text) + 1
+                if size >= window:
+                    yield langs, texts
+                    langs, texts, size = [], [], 0
+    if texts:
+        yield langs, texts
+
+
+def _words(codes: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of each word the language's code, the number of its piece and its number in the array of distinct words, which comes last.
+
+    Bytes are looked at in blocks; of the whole window only words are held. Emptied, ``texts`` gives its memory back.
+    """
+    lang, piece, found, pieces, k = [], [], [], 0, 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) < _BLOCK):
+            size += len(texts[k])
+            k += 1
+        begins = np.cumsum([0, *[len(x) + 1 for x in texts[first : k - 1]]])
+        raw = np.frombuffer(b"\n".join(texts[first:k]), np.uint8)
+        texts[first:k] = [b""] * (k - first)
+        ends = raw == _NEWLINE
+        inside = ~(ends | (raw == 32) | (raw == 9))
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, stops = edge[::2], edge[1::2]
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(stops - starts, out=offsets[1:])
+        found.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]))
+        lang.append(codes[first + np.searchsorted(begins, starts, side="right") - 1].astype(np.int32))
+        piece.append((np.searchsorted(np.flatnonzero(ends), starts) + pieces).astype(np.int32))
+        pieces += int(ends.sum()) + 1
+    encoded = pa.chunked_array(found, pa.binary()).dictionary_encode().unify_dictionaries()
+    word = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
+    return np.concatenate(lang), np.concatenate(piece), word, encoded.chunk(0).dictionary
 
 
 class Frequent:
@@ -130,13 +149,10 @@ def stripes(batches: Iterator[pa.RecordBatch], length: int, known: Frequent | No
     ``known`` are the frequent phrases of ``length - 1`` words; without them nothing is left out. Words are told apart
     exactly, by Arrow's dictionaries; hashes serve the bit set and the splitting alone.
     """
-    for langs, text, begins in _windows(batches, window):
-        starts, piece, word, distinct = _words(text)
+    for langs, texts in _windows(batches, window):
         codes, code = np.unique(np.array(langs, object), return_inverse=True)
-        lang = code[np.searchsorted(begins, starts, side="right") - 1].astype(np.int64)
+        lang, piece, word, distinct = _words(code, texts)
         h_word, h_lang = _hashes(distinct.to_pylist()), _hashes(codes)
-        at = np.arange(max(0, len(word) - length + 1))
-        at = at[piece[at] == piece[at + length - 1]]
 
         def phrase(first: np.ndarray, lang=lang, word=word, h_word=h_word, h_lang=h_lang) -> np.ndarray:
             """The hashes of the phrases of ``length - 1`` words from these places on."""
@@ -145,32 +161,45 @@ def stripes(batches: Iterator[pa.RecordBatch], length: int, known: Frequent | No
                 h = _then(h, h_word[word[first + k]])
             return h
 
-        h = phrase(at)
-        if known is not None:
-            wanted = known.marked(h) & known.marked(phrase(at + 1))
-            at, h = at[wanted], h[wanted]
+        places = []
+        for s in range(0, max(0, len(word) - length + 1), _BLOCK):
+            at = np.arange(s, min(s + _BLOCK, len(word) - length + 1))
+            at = at[piece[at] == piece[at + length - 1]]
+            if known is not None:
+                at = at[known.marked(phrase(at))]
+                at = at[known.marked(phrase(at + 1))]
+            places.append(at.astype(np.int32))
+        at = np.concatenate(places) if places else np.empty(0, np.int32)
+        del places, piece
         if not len(at):
             continue
-        split = known.parts(h) if known is not None else np.full(len(at), SHARES if length == 1 else 1)
-        prefix = lang[at]
+        prefix = lang[at].astype(np.int64)
         for k in range(length - 1):  # dense numbers of the prefixes
-            prefix = np.unique(prefix * len(distinct) + word[at + k], return_inverse=True)[1]
-        nxt = word[at + length - 1]
+            prefix *= len(distinct)
+            prefix += word[at + k]
+            prefix = np.unique(prefix, return_inverse=True)[1]
+        prefix *= len(distinct)
+        prefix += word[at + length - 1]
+        key, first, n = np.unique(prefix, return_index=True, return_counts=True)
+        at = at[first]
+        del prefix, first
+        prefix, nxt = key // len(distinct), key % len(distinct)
+        if known is None:
+            split = np.full(len(at), SHARES if length == 1 else 1)
+        else:
+            split = np.concatenate([known.parts(phrase(at[s : s + _BLOCK])) for s in range(0, len(at), _BLOCK)])
         part = (h_word[nxt] >> np.uint64(20)).astype(np.int64) % split
-        order = np.lexsort((nxt, part, prefix))
-        keys = np.stack([prefix, part, nxt])[:, order]
-        first = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
-        n = np.diff(np.r_[first, len(order)])
-        keys, at = keys[:, first], at[order[first]]
-        stripe = np.flatnonzero(np.r_[True, (np.diff(keys[:2]) != 0).any(axis=0)])
+        order = np.lexsort((part, prefix))
+        prefix, part, nxt, at, n = prefix[order], part[order], nxt[order], at[order], n[order]
+        stripe = np.flatnonzero(np.r_[True, (np.diff(prefix) != 0) | (np.diff(part) != 0)])
         offsets = pa.array(np.r_[stripe, len(n)].astype(np.int32))
         text_of, of = distinct.view(pa.string()), at[stripe]
         prefixes = [text_of.take(pa.array(word[of + k])) for k in range(length - 1)]
         columns = [
             pa.array(codes.tolist(), pa.string()).take(pa.array(lang[of])),
             pc.binary_join_element_wise(*prefixes, " ") if prefixes else pa.array([""] * len(of), pa.string()),
-            pa.array(keys[1][stripe].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, text_of.take(pa.array(keys[2]))),
+            pa.array(part[stripe].astype(np.int32)),
+            pa.ListArray.from_arrays(offsets, text_of.take(pa.array(nxt))),
             pa.ListArray.from_arrays(offsets, pa.array(n)),
         ]
         sent = pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "next", "n"])
