@@ -117,8 +117,8 @@ def _words(codes: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray, np.n
         piece.append((np.searchsorted(np.flatnonzero(ends), starts) + pieces).astype(np.int32))
         pieces += int(ends.sum()) + 1
     encoded = pa.chunked_array(found, pa.binary()).dictionary_encode().unify_dictionaries()
-    word = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
-    return np.concatenate(lang), np.concatenate(piece), word, encoded.chunk(0).dictionary
+    word = np.concatenate([np.empty(0, np.int32), *[c.indices.to_numpy() for c in encoded.chunks]])
+    return np.concatenate(lang), np.concatenate(piece), word, encoded.chunk(0).dictionary if encoded.num_chunks else pa.array([], pa.binary())
 
 
 class Frequent:
