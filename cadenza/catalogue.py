@@ -11,9 +11,10 @@ from cadenza import oracles, oracles_planned
 from cadenza.config import DEFAULT
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
-from cadenza.operators import align, boundaries, classify, episodes, export, planned, review, rules, runs, smooth
+from cadenza.operators import align, boundaries, classify, episodes, export, learn, planned, review, rules, runs, smooth
 from cadenza.plans.fusion import Fusion
 from cadenza.sources import adapters
+from cadenza.sources.tables import kept
 from cadenza.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,3 +533,25 @@ def ad_block_of_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = align.visual_grid(spine, adapters.frames(spark, sf_dir)).select("video_id", "t", "is_hard_cut")
     drift = planned.either_drift(*_drifts(spark, sf_dir)).withColumn("drift", F.round(F.coalesce("drift", F.lit(0.0)), 6))
     return planned.ad_block(drift.join(audio, ["video_id", "t"]).join(cuts, ["video_id", "t"]), least_drift=0.5, least_run=2)
+
+
+def _features(f: Fusion) -> tuple[DataFrame, learn.Features]:
+    features = learn.Features(len(adapters.SCENES))
+    return learn.segment_features(f.grid, classify.segments(f.boundaries), features), features
+
+
+@query
+def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, features = _features(fusion(spark, sf_dir))
+    return found.select("video_id", "segment_id", *[F.round(n, 9).alias(n) for n in features.names])
+
+
+@query
+def learned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rules as learned from four fifths of the recordings, for the segments of the others."""
+    f = fusion(spark, sf_dir)
+    found, features = _features(f)
+    labelled = kept(found.join(f.classified.select("video_id", "segment_id", "label"), ["video_id", "segment_id"]), "video_id")
+    model = learn.train(labelled, features)
+    told = learn.predict(model, labelled.filter(learn.held_out(F.col("video_id"))))
+    return told.select("video_id", "segment_id", "label", "predicted", F.round("probability", 6).alias("probability"))

@@ -30,7 +30,7 @@ def as_rows(names, rows):
     return sorted(str([plain(r[k]) for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift", "outro_of_spoken", "speech_seconds", "broken_segments", "broken_documents", "upload_names", "repeated_segments", "sound_cepstra", "sound_features", "frame_features", "sound_drift", "ad_block_of_drifts", "replaced_documents", "list_labels", "scene_map", "ocr_gate", "ad_block", "stale_results", "next_segment", "skip_target"])
+@pytest.mark.parametrize("name", ["grid_text", "runs_ad_break", "rules_all", "boundaries", "segment_means", "smoothed", "representative_sentence", "job_status", "style_drift", "outro_of_spoken", "speech_seconds", "broken_segments", "broken_documents", "upload_names", "segment_features", "repeated_segments", "sound_cepstra", "sound_features", "frame_features", "sound_drift", "ad_block_of_drifts", "replaced_documents", "list_labels", "scene_map", "ocr_gate", "ad_block", "stale_results", "next_segment", "skip_target"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
