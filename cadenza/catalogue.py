@@ -543,7 +543,7 @@ def _features(f: Fusion) -> tuple[DataFrame, learn.Features]:
 @query
 def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, features = _features(fusion(spark, sf_dir))
-    return found.select("video_id", "segment_id", *[F.round(n, 9).alias(n) for n in features.names])
+    return found.select("video_id", "segment_id", *features.names)  # sums of multiples of powers of two, so no rounding is needed
 
 
 @query

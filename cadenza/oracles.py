@@ -277,9 +277,9 @@ SELECTS |= {
     SELECT v.video_id, v.id, d, avg(o.embedding[d]) AS x FROM vec v JOIN vec o ON o.video_id = v.video_id AND abs(o.id - v.id) BETWEEN 3 AND 15, range(1, 65) r(d) GROUP BY ALL) GROUP BY ALL) m USING (video_id, id) GROUP BY ALL""",
 }
 _SCENE_LIST = f"[{_LABELS}]"
-_FEATURE_MEANS = ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("is_speech", "rms_energy", "is_music", "hist_diff", "is_hard_cut", "has_text", "text_sim_to_next"))
-_SCENE_MEANS = ", ".join(f"round(avg(scene[{k + 1}]), 9) AS scene_{k}" for k in range(len(adapters.SCENES)))
-SELECTS["segment_features"] = f"""SELECT s.video_id, s.segment_id, {_FEATURE_MEANS}, {_SCENE_MEANS}, CAST(s.end_sec - s.start_sec AS DOUBLE) AS seconds, round((s.start_sec + s.end_sec) / 2 / 720, 9) AS place
+_FEATURE_MEANS = ", ".join(f"avg({c}) AS {c}" for c in ("is_speech", "rms_energy", "is_music", "hist_diff", "is_hard_cut", "has_text", "text_sim_to_next"))
+_SCENE_MEANS = ", ".join(f"avg(scene[{k + 1}]) AS scene_{k}" for k in range(len(adapters.SCENES)))
+SELECTS["segment_features"] = f"""SELECT s.video_id, s.segment_id, {_FEATURE_MEANS}, {_SCENE_MEANS}, CAST(s.end_sec - s.start_sec AS DOUBLE) AS seconds, (s.start_sec + s.end_sec) / 2 / 720 AS place
   FROM seg s JOIN grid g ON g.video_id = s.video_id AND g.t >= s.start_sec AND g.t < s.end_sec GROUP BY s.video_id, s.segment_id, s.start_sec, s.end_sec"""
 SELECTS |= {
     "document_segments": """SELECT video_id, segment_id, start_sec, end_sec, label, confidence, coalesce(r.text, '') AS summary, false AS user_corrected,
