@@ -35,10 +35,12 @@ DICTIONARY_BYTES, TOXIC_BYTES = 16_384, 65_536
 LEVEL = 3
 #: Histogram of saved bytes, from -REACH to REACH: a window in word code has so many, and a few of frame.
 REACH = 16 * WINDOW + 16
-#: Of ordinary windows at most this fraction may count as hits.
-FALSE_HITS = 1e-4
+#: Of ordinary windows at most this fraction may count as hits. A window with one telling word saves about 13 bytes.
+FALSE_HITS = 1e-3
 #: How many times as common among toxic documents a telling word is, at least.
-LEAST_RATE = 20
+LEAST_RATE = 10
+#: By how much a telling word's likelihood ratio exceeds the logarithm of the number of words, so that exp(-SURE) words are told by chance.
+SURE = 3
 _BANDS, _ROWS = 6, 3
 
 
@@ -115,7 +117,7 @@ def over_represented(counts: DataFrame, toxic: int, ordinary: int) -> list[int]:
     n_words = counts.count()
     rate = (F.col("in_toxic") / max(toxic, 1)) / ((F.col("in_ordinary") + 0.5) / (ordinary + 1))
     told = counts.filter("in_toxic > 1").withColumn("rate", rate).withColumn("ratio", F.col("in_toxic") * F.log(F.col("rate")))
-    telling = told.filter((F.col("ratio") >= math.log(max(n_words, 2)) + 10) & (F.col("rate") >= LEAST_RATE))
+    telling = told.filter((F.col("ratio") >= math.log(max(n_words, 2)) + SURE) & (F.col("rate") >= LEAST_RATE))
     return [r["word"] for r in telling.orderBy(F.desc("ratio"), "word").limit(TOXIC_BYTES // 16).collect()]
 
 
