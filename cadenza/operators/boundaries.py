@@ -55,12 +55,19 @@ def candidates(grid: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def boundaries(candidate: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(video_id, boundaries): kept if far enough from the last kept one, the last candidate always.
 
-    Which one is kept depends on the one kept before, so this is a fold over each recording's sorted candidates.
+    A candidate that is far enough from the one before it is far enough from the last kept one too, so it is kept whatever
+    came before, and a recording falls apart into stretches that begin with such candidates and don't depend on each other.
+    Within one, seconds are written as a string, 1 for a candidate: matches of a candidate and the seconds that are too near
+    after it, taken from the left without overlap, begin at the candidates that are kept. So all steps are linear.
     """
-    by_video = candidate.groupBy("video_id").agg(F.array_sort(F.collect_set("t")).alias("c"))
-    keep = lambda kept, x: F.when(x - F.element_at(kept, -1) >= config.min_gap, F.concat(kept, F.array(x))).otherwise(kept)
-    thinned = F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", 1, 1), keep)
-    last = F.element_at("c", -1)
-    return by_video.select("video_id", thinned.alias("kept"), last.alias("last")).select(
-        "video_id", F.when(F.element_at("kept", -1) == F.col("last"), F.col("kept")).otherwise(F.concat("kept", F.array("last"))).alias("boundaries")
-    )
+    by_time = Window.partitionBy("video_id").orderBy("t")
+    new = F.coalesce((F.col("t") - F.lag("t").over(by_time) >= config.min_gap).cast("int"), F.lit(1))
+    stretches = candidate.select("video_id", "t").distinct().withColumn("new", new).withColumn("stretch", F.sum("new").over(by_time))
+    listed = stretches.groupBy("video_id", "stretch").agg(F.array_sort(F.collect_list("t")).alias("c"))
+    before = lambda i: F.coalesce(F.get("c", i - 1), F.element_at("c", 1) - 1)
+    marks = F.array_join(F.transform("c", lambda t, i: F.concat(F.repeat(F.lit("0"), t - before(i) - 1), F.lit("1"))), "")
+    chosen = F.split(F.regexp_replace(marks, f"1(.{{0,{max(config.min_gap - 1, 0)}}})", "K$1"), "")
+    kept = F.filter(F.transform(chosen, lambda x, i: F.when(x == "K", F.element_at("c", 1) + i)), lambda t: t.isNotNull())
+    thinned = listed.select("video_id", "stretch", kept.alias("kept"), F.element_at("c", -1).alias("last"))
+    whole = thinned.groupBy("video_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "kept"))), lambda x: x["kept"])).alias("kept"), F.max("last").alias("last"))
+    return whole.select("video_id", F.when(F.element_at("kept", -1) == F.col("last"), F.col("kept")).otherwise(F.concat("kept", F.array("last"))).alias("boundaries"))

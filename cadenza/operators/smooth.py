@@ -59,11 +59,16 @@ def merge_adjacent(segment: DataFrame) -> DataFrame:
 def absorb_short(segment: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Segments that are too short go to the more confident neighbour (of equals the left one), which keeps all but its span.
 
-    One fold from left to right over each recording: what a short segment gives to its right neighbour is carried on.
+    Nothing passes between two neighbours that are both long enough, so a recording falls apart into stretches at such places,
+    and only stretches around short segments are folded, from left to right: what a short segment gives to its right
+    neighbour is carried on. A stretch without short segments is a single segment and stays as it is.
     """
     item = F.struct(*FIELDS)
-    rows = segment.select("video_id", F.struct("start_sec", "segment_id", item.alias("s")).alias("r"))
-    listed = rows.groupBy("video_id").agg(F.array_sort(F.collect_list("r")).alias("r")).select("video_id", F.transform("r", lambda x: x["s"]).alias("s"))
+    enough = F.col("end_sec") - F.col("start_sec") >= config.min_segment
+    new = F.coalesce((F.col("enough") & F.lag("enough").over(_by_start())).cast("int"), F.lit(1))
+    apart = segment.withColumn("enough", enough).withColumn("new", new).withColumn("stretch", F.sum("new").over(_by_start()))
+    rows = apart.select("video_id", "stretch", F.struct("start_sec", "segment_id", item.alias("s")).alias("r"))
+    listed = rows.groupBy("video_id", "stretch").agg(F.array_sort(F.collect_list("r")).alias("r")).select("video_id", F.transform("r", lambda x: x["s"]).alias("s"))
     kind = item_type(segment)
     start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(None).cast("double").alias("carry"))
 

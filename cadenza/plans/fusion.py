@@ -26,11 +26,18 @@ class Fusion:
     text_features: DataFrame
     vectors: DataFrame | None = None
     config: Config = DEFAULT
+    #: What is said, if not as in the text features: (video_id, pos, id, start, end, text) of the transcripts.
+    transcript: DataFrame | None = None
 
     @cached_property
     def text(self) -> DataFrame:
         return kept(self.text_features, "video_id", "pos")
 
+    @cached_property
+    def sentences(self) -> DataFrame:
+        """What summaries and titles are chosen from."""
+        return self.text if self.transcript is None else kept(self.transcript, "video_id", "pos")
+
     @cached_property
     def grid(self) -> DataFrame:
         return kept(self.seconds)
@@ -62,7 +69,7 @@ class Fusion:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return kept(classify.classify(self.grid, self.boundaries, self.hits, self.text, self.labels, self.config), "video_id", "start_sec")
+        return kept(classify.classify(self.grid, self.boundaries, self.hits, self.sentences, self.labels, self.config), "video_id", "start_sec")
 
     @cached_property
     def smoothed(self) -> DataFrame:
@@ -70,5 +77,5 @@ class Fusion:
 
     def documents(self, info: DataFrame) -> DataFrame:
         """``info``: (video_id, filename, duration_sec, fps, width, height)."""
-        segments = export.attach_summaries(self.smoothed, self.text, self.vectors, self.config)
-        return export.documents(info, segments, export.chapters(self.smoothed, self.text, self.vectors, self.config), self.config)
+        segments = export.attach_summaries(self.smoothed, self.sentences, self.vectors, self.config)
+        return export.documents(info, segments, export.chapters(self.smoothed, self.sentences, self.vectors, self.config), self.config)

@@ -17,6 +17,7 @@ TEXT_SEGMENT = "struct<id int, start double, end double, text string, similarity
 AUDIO_FEATURES = f"model_used string, segments array<{AUDIO_SEGMENT}>"
 VISUAL_FEATURES = f"model_used string, frames array<{VISUAL_FRAME}>"
 TEXT_FEATURES = f"model_used string, segments array<{TEXT_SEGMENT}>"
+SPEECH = "segments array<struct<start double, end double>>"
 EVIDENCE = "struct<visual_score double, audio_score double, text_score double, triggered_rules array<string>>"
 SEGMENT = f"struct<segment_id int, start_sec double, end_sec double, label string, confidence double, evidence {EVIDENCE}, summary string, user_corrected boolean>"
 CHAPTER = "struct<chapter_id int, start_sec double, end_sec double, title string>"

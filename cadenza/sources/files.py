@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza import schemas
 
@@ -93,8 +94,15 @@ def frame_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]*/[^/]*$", 1).alias("video_id"), index.alias("frame_index"), index.cast("double").alias("timestamp_sec"), "content")
 
 
-def second_chunks(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
-    """(video_id, t, samples) of 16-bit mono sound files: one row for each second, the last may be short."""
+def _workspace_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(video_id, content) of the files called ``name`` anywhere below ``root``; the recording is the folder right below it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    below = re.escape(root.rstrip("/").rpartition("/")[2])
+    return found.select(F.regexp_extract("path", f"/{below}/([^/]+)/", 1).alias("video_id"), "content")
+
+
+def _seconds(files: DataFrame, rate: int) -> DataFrame:
+    """(video_id, t, samples) of (video_id, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,8 +116,60 @@ def second_chunks(spark: SparkSession, path: str, rate: int = 16_000) -> DataFra
                         yield pd.DataFrame({"video_id": [video], "t": [t], "samples": [samples]})
                         t += 1
 
+    return files.select("video_id", "content").mapInPandas(run, "video_id string, t int, samples array<float>")
+
+
+def second_chunks(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """(video_id, t, samples) of 16-bit mono sound files: one row for each second, the last may be short."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return files.select(stem(F.col("path")).alias("video_id"), "content").mapInPandas(run, "video_id string, t int, samples array<float>")
+    return _seconds(files.select(stem(F.col("path")).alias("video_id"), "content"), rate)
+
+
+def workspace_chunks(spark: SparkSession, root: str, name: str = "audio_processed.wav", rate: int = 16_000) -> DataFrame:
+    """The same of the sound file called ``name`` of each recording below ``root``."""
+    return _seconds(_workspace_files(spark, root, name), rate)
+
+
+#: Rows of a matrix that are given on at once.
+_ROWS = 4096
+
+
+def _matrix(content: bytes) -> np.ndarray:
+    """The matrix of a NumPy file: its header gives type, shape and order, and the numbers follow."""
+    raw = io.BytesIO(content)
+    version = np.lib.format.read_magic(raw)
+    shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(raw)
+    if len(shape) != 2:
+        raise ValueError(f"{len(shape)} dimensions")
+    if kind.kind not in "fiub":
+        raise ValueError(f"no numbers: {kind}")
+    size = shape[0] * shape[1] * kind.itemsize
+    if len(content) - raw.tell() < size:
+        raise ValueError(f"{len(content) - raw.tell()} bytes of {size}")
+    flat = np.frombuffer(content, kind, shape[0] * shape[1], raw.tell())
+    return flat.reshape(shape[::-1]).T if by_column else flat.reshape(shape)
+
+
+def matrices(spark: SparkSession, root: str, name: str = "text_embeddings.npy") -> DataFrame:
+    """(video_id, id, embedding, problem): the rows of each recording's matrix, by number.
+
+    A file that can't be read, isn't of two dimensions or holds no numbers gives one row with a ``problem`` and nothing else; a
+    recording without the file, or with an empty file or matrix, gives no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for video, content in zip(pdf["video_id"], pdf["content"], strict=True):
+                try:
+                    x = _matrix(bytes(content))
+                except (ValueError, EOFError, SyntaxError, TypeError) as e:
+                    yield pd.DataFrame({"video_id": [video], "id": [None], "embedding": [None], "problem": [str(e) or "unreadable"]})
+                    continue
+                for s in range(0, len(x), _ROWS):
+                    part = x[s : s + _ROWS].astype(np.float64)
+                    yield pd.DataFrame({"video_id": video, "id": range(s, s + len(part)), "embedding": list(part), "problem": None})
+
+    return _workspace_files(spark, root, name).mapInPandas(run, "video_id string, id int, embedding array<double>, problem string")
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -121,3 +181,12 @@ def write_documents(documents: DataFrame, path: str) -> None:
 def write_stage(table: DataFrame, path: str) -> None:
     """Writes a stage's table by recording; other recordings' rows stay."""
     table.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("video_id").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stage's table, with the columns of ``schema``; an empty one where nothing has been stored yet."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}/video_id=*/*")
+    if not parts.getFileSystem(conf).globStatus(parts):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)  # a declared schema keeps names like 007

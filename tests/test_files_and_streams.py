@@ -115,3 +115,89 @@ def test_segmenting_files(spark, tmp_path):
     assert all(d["segments"][-1]["end_sec"] == 30 and d["segments"][0]["label"] == "core_content" for d in got.values())
     (tmp_path / "none").mkdir()
     assert not segmented(spark, str(tmp_path / "none"), str(tmp_path / "out"))
+
+
+def matrix_file(folder, x, name="text_embeddings.npy"):
+    folder.mkdir(parents=True, exist_ok=True)
+    np.save(folder / name, x)
+    return folder / name
+
+
+def test_matrices(spark, tmp_path):
+    x = np.arange(12.0).reshape(4, 3)
+    root = tmp_path / "ws"
+    for name, of in (("f4", x.astype("<f4")), ("f8", x), ("big", x.astype(">f4")), ("columns", np.asfortranarray(x)), ("ints", x.astype(np.int16)), ("half", x.astype(np.float16)), ("wide", np.zeros((2, 5000), np.float32))):
+        matrix_file(root / name / "features", of)
+    for name, of in (("empty", np.empty((0, 384), np.float32)), ("flat", x[0]), ("cube", np.zeros((2, 2, 2))), ("words", np.array([["a", "b"]])), ("objects", np.array([[{}, 1]], object))):
+        matrix_file(root / name, of)
+    cut = matrix_file(root / "cut", x)
+    cut.write_bytes(cut.read_bytes()[:-8])
+    (root / "text").mkdir()
+    (root / "text" / "text_embeddings.npy").write_bytes(b"not a matrix")
+    (root / "nothing").mkdir()
+    (root / "nothing" / "text_embeddings.npy").write_bytes(b"")
+    rows = files.matrices(spark, str(root)).collect()
+    assert {r["video_id"] for r in rows if r["problem"]} == {"flat", "cube", "words", "objects", "cut", "text"}
+    got = {}
+    for r in rows:
+        if r["problem"] is None:
+            got.setdefault(r["video_id"], {})[r["id"]] = r["embedding"]
+    assert set(got) == {"f4", "f8", "big", "columns", "ints", "half", "wide"} and len(got["wide"][1]) == 5000
+    assert all([got[name][k] for k in range(4)] == x.tolist() for name in ("f4", "f8", "big", "columns", "ints", "half"))
+
+
+def workspace(root, name, seconds=60, **given):
+    """A recording on disk: pictures always, and of sound, sentences and vectors what is given."""
+    features = root / name / "features"
+    features.mkdir(parents=True, exist_ok=True)
+    (root / name / "meta_raw.json").write_text(json.dumps({"filename": f"{name}.mp4", "duration_sec": float(seconds), "fps": 30.0, "width": 640, "height": 360}))
+    frame = {"hist_diff_to_previous": 0.1, "is_hard_cut": False, "clip_labels": {"person talking": 0.8, "title card": 0.2}}
+    (features / "visual_features.json").write_text(json.dumps({"model_used": "m", "frames": [frame | {"frame_index": t, "timestamp_sec": float(t), "is_hard_cut": t == 30} for t in range(seconds)]}))
+    if "sound" in given:
+        with wave.open(str(root / name / "audio_processed.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
+            w.writeframes((given["sound"] * 32767).astype("<i2").tobytes())
+    if "speech" in given:
+        (root / name / "speech.json").write_text(json.dumps({"segments": [{"start": s, "end": e} for s, e in given["speech"]]}))
+    if "sentences" in given:
+        rows = [{"id": k, "start": s, "end": e, "text": t} for k, (s, e, t) in enumerate(given["sentences"])]
+        (root / name / "transcript.json").write_text(json.dumps({"language": "en", "duration_sec": float(seconds), "model": "m", "full_text": "", "segments": rows}))
+    if "vectors" in given:
+        matrix_file(features, np.asarray(given["vectors"], np.float32))
+
+
+def written_documents(folder):
+    return {f.parent.name.partition("=")[2]: json.loads(f.read_text()) for f in folder.glob("video_id=*/*.txt")}
+
+
+def test_files_to_documents(spark, tmp_path):
+    """Sound, sentences and vectors of a minute become features, and these a document; vectors decide its summaries."""
+    root, noise = tmp_path / "ws", np.random.default_rng(1).uniform(-0.5, 0.5, 16000 * 60)
+    noise[: 16000 * 8] = 0
+    sentences = [(1, 9, "welcome back to the show"), (10, 18, "the middle one"), (19, 28, "the longest sentence of them all by far"), (32, 40, "a word from nobody"), (41, 55, "another long sentence ends it")]
+    vectors = [[1, 0.1, 0], [1, 0.5, 0], [0.2, 1, 0], [0, 0, 1], [0, 0.1, 1]]
+    speech = [(8.5, 59.0)]
+    workspace(root, "007", sound=noise, speech=speech, sentences=sentences, vectors=vectors)
+    workspace(root, "plain", sound=noise, speech=speech, sentences=sentences)
+    workspace(root, "odd", sound=noise, speech=speech, sentences=sentences, vectors=[1.0, 2.0])
+    workspace(root, "mute", sound=noise)
+    workspace(root, "nothing")
+    assert segmented(spark, str(root), str(tmp_path / "out"), str(tmp_path / "features"))
+    got = written_documents(tmp_path / "out")
+    assert set(got) == {"007", "plain", "odd", "mute"}
+    for d in got.values():
+        assert d["segments"][-1]["end_sec"] == 60 and all(a["end_sec"] == b["start_sec"] for a, b in zip(d["segments"], d["segments"][1:], strict=False))
+    first = {name: next(s for s in d["segments"] if s["start_sec"] <= 12 < s["end_sec"]) for name, d in got.items()}
+    assert first["plain"]["summary"] == first["odd"]["summary"] == "the longest sentence of them all by far"
+    assert first["007"]["summary"] == "the middle one" and first["mute"]["summary"] == ""
+    assert {c["title"] for d in (got["007"], got["plain"]) for c in d["chapters"]} <= {t for _, _, t in sentences} and got["007"]["chapters"]
+    sounds = {(r["video_id"], r["pos"]): r for r in spark.read.parquet(str(tmp_path / "features" / "audio_features")).selectExpr("cast(video_id as string)", "pos", "is_speech", "audio_class", "rms_energy").collect()}
+    assert sounds["007", 3]["audio_class"] == "silence" and not sounds["007", 3]["is_speech"] and sounds["007", 8]["is_speech"] and sounds["mute", 20]["is_speech"]  # noise crosses zero like speech
+    texts = {r["id"]: r for r in files.stored(spark, str(tmp_path / "features" / "text_features"), spark.createDataFrame([], "video_id string, id int, similarity_to_next double, matched_keywords array<string>").schema).filter("video_id = '007'").collect()}
+    assert texts[0]["matched_keywords"] == ["intro:welcome back"] and abs(texts[0]["similarity_to_next"] - 1.05 / np.sqrt(1.01 * 1.25)) < 1e-6 and texts[4]["similarity_to_next"] is None
+    # what is there stays, until it is forced
+    workspace(root, "mute", sound=np.zeros(16000 * 60))
+    for force, speaks in ((False, True), (True, False)):
+        assert segmented(spark, str(root), str(tmp_path / "out"), str(tmp_path / "features"), force)
+        kept = files.stored(spark, str(tmp_path / "features" / "audio_features"), spark.createDataFrame([], "video_id string, pos int, is_speech boolean").schema)
+        assert kept.filter("video_id = 'mute' and is_speech").isEmpty() is not speaks and kept.filter("video_id = '007'").count() == 60

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza import schemas
-from cadenza.config import LABELS
+from cadenza.config import LABELS, Config
 from cadenza.functions import expressions as fx
 from cadenza.functions import signals
 from cadenza.operators import align, boundaries, classify, export, overlap, planned, review, rules, runs, smooth
@@ -145,6 +146,30 @@ def test_boundaries_against_loops(spark):
         assert r["boundaries"] == (kept if kept[-1] == 40 else [*kept, 40])
 
 
+def test_boundaries_of_very_long_recordings(spark):
+    """A million candidates of one recording, all in one stretch, and as many at random; both take time in proportion."""
+    dense = boundaries.boundaries(spark.range(1_000_000).selectExpr("'v' as video_id", "cast(id as int) as t")).first()["boundaries"]
+    assert dense == list(range(0, 1_000_000, 3))
+    times = np.unique(np.random.default_rng(2).integers(0, 2_000_000, 1_000_000))
+    df = spark.createDataFrame(pd.DataFrame({"video_id": "v", "t": times.astype(np.int32)}))
+    kept = [int(times[0])]
+    for t in times[1:].tolist():
+        if t - kept[-1] >= 3:
+            kept.append(t)
+    assert boundaries.boundaries(df).first()["boundaries"] == (kept if kept[-1] == times[-1] else [*kept, int(times[-1])])
+
+
+@pytest.mark.parametrize("gap", [1, 2, 5])
+def test_boundaries_with_other_gaps(spark, gap):
+    times = [4, 5, 6, 8, 9, 13, 14, 15, 16, 17, 30]
+    kept = [times[0]]
+    kept += [t for t in times[1:] if t - kept[-1] >= gap and not kept.append(t)] and []
+    if kept[-1] != times[-1]:
+        kept.append(times[-1])
+    df = spark.createDataFrame([("v", t) for t in times], "video_id string, t int")
+    assert boundaries.boundaries(df, Config(min_gap=gap)).first()["boundaries"] == kept
+
+
 def test_rule_coverage(spark):
     seg = spark.createDataFrame([("v", 0, 0, 10), ("v", 1, 10, 20)], "video_id string, segment_id int, start_sec int, end_sec int")
     hits = spark.createDataFrame(
