@@ -75,6 +75,8 @@ def segmented(spark: SparkSession, root: str, output: str, features: str | None
     vectors = read.filter("problem is null").select("video_id", "id", "embedding")
     fusion = Fusion(whole.select("video_id", "duration_sec"), audio, visual, text, vectors, transcript=sentences)
     files.write_documents(fusion.documents(whole.select("video_id", "filename", "duration_sec", "fps", "width", "height")), output)
+    for stage, told in fusion.measures.items():
+        print(f"{stage}: {', '.join(f'{k} {v}' for k, v in told.items())}", file=sys.stderr)
     return True
 
 

@@ -555,3 +555,15 @@ def learned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn.train(labelled, features)
     told = learn.predict(model, labelled.filter(learn.held_out(F.col("video_id"))))
     return told.select("video_id", "segment_id", "label", "predicted", F.round("probability", 6).alias("probability"))
+
+
+#: The stages of a recording, and what each reads.
+STAGES = {"sound": ["view"], "pictures": ["click"], "fusion": ["sound", "pictures"], "export": ["fusion", "view"]}
+
+
+@query
+def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events finish stages: views and clicks are what is given, and of other events some are sound, some pictures and so on."""
+    kind = F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).when(F.col("event_type") == "purchase", "sound").when(F.col("event_type") == "signup", "pictures").when(F.col("pos") % 3 > 0, "fusion").otherwise("export")
+    stamps = adapters.events(spark, sf_dir).filter((F.col("event_type").isin("error", "signup")) | (F.col("pos") % 7 == 0)).select("video_id", kind.alias("stage"), F.col("pos").alias("at"))
+    return planned.stale_stages(stamps, STAGES)

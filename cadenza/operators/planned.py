@@ -89,3 +89,41 @@ def stale(requested: DataFrame, finished: DataFrame) -> DataFrame:
     """Requested rows (video_id, modified) whose result is missing or older (video_id, finished)."""
     done = finished.select(F.col("video_id").alias("v"), "finished")
     return requested.join(done, (F.col("video_id") == F.col("v")) & (F.col("finished") >= F.col("modified")), "left_anti")
+
+
+def stale_stages(stamps: DataFrame, inputs: dict[str, list[str]], key: str = "video_id") -> DataFrame:
+    """(key, stage, reason) of what has to be computed again, out of (key, stage, at): when a stage of a recording was finished.
+
+    ``inputs`` names the stages that each stage reads; those without any are given from outside and never stale. A stage is
+    "missing" without a time, "older" if a stage that it reads is newer, and "of stale" if one that it reads, however
+    indirectly, has to be computed again. A stage reading one that is missing and given from outside isn't asked for. Of several
+    times of a stage the last counts. One aggregate by recording; the graph is followed in columns.
+    """
+    order: list[str] = []
+
+    def visit(stage: str, above: tuple[str, ...]) -> None:
+        if stage in above:
+            raise ValueError(f"{stage} reads itself")
+        if stage not in order:
+            for other in inputs.get(stage, []):
+                visit(other, (*above, stage))
+            order.append(stage)
+
+    for stage in inputs:
+        visit(stage, ())
+    rows = stamps.groupBy(key).agg(*[F.max(F.when(F.col("stage") == s, F.col("at"))).alias(f"at_{k}") for k, s in enumerate(order)])
+    at = {s: F.col(f"at_{k}") for k, s in enumerate(order)}
+    for k, stage in enumerate(order):
+        read = inputs.get(stage, [])
+        if not read:
+            rows = rows.withColumns({f"stale_{k}": F.lit(None).cast("string"), f"ready_{k}": at[stage].isNotNull()})
+            continue
+        of = [order.index(r) for r in read]
+        ready, stale, newer = F.lit(True), F.lit(False), F.lit(False)
+        for j in of:
+            ready, stale = ready & F.col(f"ready_{j}"), stale | F.col(f"stale_{j}").isNotNull()
+            newer = newer | F.coalesce(F.col(f"at_{j}") > at[stage], F.lit(False))
+        reason = F.when(at[stage].isNull(), "missing").when(newer, "older").when(stale, "of stale")
+        rows = rows.withColumns({f"stale_{k}": F.when(ready, reason), f"ready_{k}": ready})
+    each = F.filter(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"stale_{k}").alias("reason")) for k, s in enumerate(order)]), lambda x: x["reason"].isNotNull())
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.stage", "x.reason")

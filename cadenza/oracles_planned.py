@@ -97,4 +97,13 @@ told AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE round(greatest(0, 1 - (l
 SELECT video_id, t AS frame_index, CAST(t AS DOUBLE) AS timestamp_sec, d AS hist_diff_to_previous, d > 0.6 AS is_hard_cut, mean AS mean_luminance, square - mean * mean AS luminance_variance,
   mean < 10 AND square - mean * mean < 50 AS is_black_frame, CASE WHEN earlier IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: abs(ps[i] - earlier[i]))) / 64 END AS motion_intensity,
   0.0::DOUBLE AS chroma_diff, round(e, 6) AS dct_hf_energy FROM told""",
+    "stale_stages": """WITH stamps AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS done_at,
+  CASE WHEN event_type IN ('view', 'click') THEN event_type WHEN event_type = 'purchase' THEN 'sound' WHEN event_type = 'signup' THEN 'pictures' WHEN event_id % 3 > 0 THEN 'fusion' ELSE 'export' END AS stage
+  FROM events WHERE event_type IN ('error', 'signup') OR event_id % 7 = 0),
+times AS (SELECT video_id, max(done_at) FILTER (WHERE stage = 'view') AS v, max(done_at) FILTER (WHERE stage = 'click') AS c, max(done_at) FILTER (WHERE stage = 'sound') AS s, max(done_at) FILTER (WHERE stage = 'pictures') AS p,
+  max(done_at) FILTER (WHERE stage = 'fusion') AS f, max(done_at) FILTER (WHERE stage = 'export') AS e FROM stamps GROUP BY video_id),
+first AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN s IS NULL THEN 'missing' WHEN v > s THEN 'older' END AS sound, CASE WHEN c IS NULL THEN NULL WHEN p IS NULL THEN 'missing' WHEN c > p THEN 'older' END AS pictures FROM times),
+second AS (SELECT *, CASE WHEN v IS NULL OR c IS NULL THEN NULL WHEN f IS NULL THEN 'missing' WHEN s > f OR p > f THEN 'older' WHEN sound IS NOT NULL OR pictures IS NOT NULL THEN 'of stale' END AS fusion FROM first),
+third AS (SELECT *, CASE WHEN v IS NULL OR c IS NULL THEN NULL WHEN e IS NULL THEN 'missing' WHEN f > e OR v > e THEN 'older' WHEN fusion IS NOT NULL THEN 'of stale' END AS export FROM second)
+SELECT video_id, stage, reason FROM (SELECT video_id, unnest(['sound', 'pictures', 'fusion', 'export']) AS stage, unnest([sound, pictures, fusion, export]) AS reason FROM third) WHERE reason IS NOT NULL""",
 }

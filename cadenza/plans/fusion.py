@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from cadenza.config import DEFAULT, Config
 from cadenza.operators import align, boundaries, classify, export, rules, smooth
-from cadenza.sources.tables import kept
+from cadenza.sources.tables import Measures, kept
 
 
 @dataclass
@@ -28,19 +28,24 @@ class Fusion:
     config: Config = DEFAULT
     #: What is said, if not as in the text features: (video_id, pos, id, start, end, text) of the transcripts.
     transcript: DataFrame | None = None
+    #: Rows and ends of each stage that has run.
+    measures: Measures = field(default_factory=Measures)
+
+    def _kept(self, df: DataFrame, *by: str, stage: str, of: tuple[str, ...]) -> DataFrame:
+        return kept(df, *by, stage=stage, measures=self.measures, of=of)
 
     @cached_property
     def text(self) -> DataFrame:
-        return kept(self.text_features, "video_id", "pos")
+        return self._kept(self.text_features, "video_id", "pos", stage="text", of=("start", "end"))
 
     @cached_property
     def sentences(self) -> DataFrame:
         """What summaries and titles are chosen from."""
-        return self.text if self.transcript is None else kept(self.transcript, "video_id", "pos")
+        return self.text if self.transcript is None else self._kept(self.transcript, "video_id", "pos", stage="transcript", of=("start", "end"))
 
     @cached_property
     def grid(self) -> DataFrame:
-        return kept(self.seconds)
+        return self._kept(self.seconds, stage="grid", of=("t",))
 
     @property
     def seconds(self) -> DataFrame:
@@ -65,15 +70,15 @@ class Fusion:
 
     @cached_property
     def boundaries(self) -> DataFrame:
-        return kept(boundaries.boundaries(self.candidates, self.config), "video_id")
+        return self._kept(boundaries.boundaries(self.candidates, self.config), "video_id", stage="boundaries", of=())
 
     @cached_property
     def classified(self) -> DataFrame:
-        return kept(classify.classify(self.grid, self.boundaries, self.hits, self.sentences, self.labels, self.config), "video_id", "start_sec")
+        return self._kept(classify.classify(self.grid, self.boundaries, self.hits, self.sentences, self.labels, self.config), "video_id", "start_sec", stage="classified", of=("start_sec", "end_sec", "confidence"))
 
     @cached_property
     def smoothed(self) -> DataFrame:
-        return kept(smooth.smooth(self.classified, self.config), "video_id", "start_sec")
+        return self._kept(smooth.smooth(self.classified, self.config), "video_id", "start_sec", stage="smoothed", of=("start_sec", "end_sec", "confidence"))
 
     def documents(self, info: DataFrame) -> DataFrame:
         """``info``: (video_id, filename, duration_sec, fps, width, height)."""

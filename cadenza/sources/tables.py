@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame, *by: str) -> DataFrame:
+class Measures(dict):
+    """What stages told of themselves as they ran, by stage: the count of rows, and least and greatest values of their columns."""
+
+
+def kept(df: DataFrame, *by: str, stage: str | None = None, measures: Measures | None = None, of: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written to the shared checkpoint folder, dealt out by its first column of ``by`` and sorted by all of them.
 
     Later plans start from the table instead of repeating what made it, and keep its partitioning, so windows, joins and
     aggregates by that column need no further shuffle. The folder is spark.checkpoint.dir; where none is set, a session on
-    one machine (as in tests) gets a temporary one and any other an error.
+    one machine (as in tests) gets a temporary one and any other an error. With ``measures`` the rows are counted, and the least
+    and greatest of the columns ``of`` found, while they are written, and told under ``stage``; there is no further pass.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -23,4 +29,10 @@ def kept(df: DataFrame, *by: str) -> DataFrame:
     if by:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(partitions, by[0]).sortWithinPartitions(*by)
-    return df.checkpoint()
+    if measures is None or stage is None:
+        return df.checkpoint()
+    told = Observation(stage)
+    ends = [f(c).alias(f"{name}_{c}") for c in of for name, f in (("least", F.min), ("greatest", F.max))]
+    out = df.observe(told, F.count(F.lit(1)).alias("rows"), *ends).checkpoint()
+    measures[stage] = told.get
+    return out

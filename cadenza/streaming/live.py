@@ -32,13 +32,19 @@ def unique_events(events: DataFrame, late: str = "10 seconds") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
-def thinned(candidates: DataFrame, min_gap: int = 3) -> DataFrame:
+def thinned(candidates: DataFrame, min_gap: int = 3, idle: str = "1 day") -> DataFrame:
     """Streamed candidates (video_id, t), thinned as they come: kept if far enough from the last kept one of the recording.
 
-    State is one number for each recording; candidates of a batch are taken in order, earlier ones that come late are dropped.
+    State is one number for each recording; candidates of a batch are taken in order, earlier ones that come late are dropped. A
+    recording without candidates for ``idle`` is forgotten, so state ends; one that comes again begins anew.
     """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"video_id": [], "t": []})
+            return
         last = state.get[0] if state.exists else None
         kept = []
         for t in sorted({int(t) for pdf in batches for t in pdf["t"]}):
@@ -47,6 +53,7 @@ def thinned(candidates: DataFrame, min_gap: int = 3) -> DataFrame:
                 last = t
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"video_id": [key[0]] * len(kept), "t": kept})
 
-    return candidates.groupBy("video_id").applyInPandasWithState(step, "video_id string, t int", "last int", "append", GroupStateTimeout.NoTimeout)
+    return candidates.groupBy("video_id").applyInPandasWithState(step, "video_id string, t int", "last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
