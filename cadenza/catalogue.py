@@ -294,8 +294,9 @@ def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    width = review.timeline_width(F.col("start_sec"), F.col("end_sec"), F.lit(float(adapters.SECONDS)))
-    return _rounded(fusion(spark, sf_dir).smoothed.select("video_id", "segment_id", width.alias("width")), "width")
+    f = fusion(spark, sf_dir)
+    width = review.timeline_width(F.col("start_sec"), F.col("end_sec"), F.col("duration_sec"))
+    return _rounded(f.smoothed.join(f.durations, "video_id").select("video_id", "segment_id", width.alias("width")), "width")
 
 
 @query
@@ -464,9 +465,10 @@ def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five components of a vector stand for the scores of the scenes."""
-    labels = F.array(*[F.lit(s) for s, _ in adapters.SCENES])
-    told = adapters.table(spark, sf_dir, "embeddings").select("vec_id", fx.scene_map(labels, F.slice(F.col("embedding").cast("array<double>"), 1, len(adapters.SCENES))).alias("scenes"))
+    """A vector's components stand for the scores of as many scenes."""
+    scores = F.col("embedding").cast("array<double>")
+    labels = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda k: F.concat(F.lit("scene "), k))
+    told = adapters.table(spark, sf_dir, "embeddings").filter("size(embedding) > 0").select("vec_id", fx.scene_map(labels, scores).alias("scenes"))
     return _rounded(told.select("vec_id", F.explode("scenes").alias("scene", "prob")), "prob")
 
 

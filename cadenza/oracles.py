@@ -33,7 +33,7 @@ def _runs(name: str, where: str, least: int, gap: int = 0) -> str:
 
 def _window(name: str, group: str, label: str, before: int, after: int, conf: float, rank: int) -> str:
     return f"""{name} AS (
-  SELECT video_id, CAST(greatest(0, floor("start" - {before})) AS INTEGER) AS start_sec, CAST(least(720, ceil("end" + {after})) AS INTEGER) AS end_sec,
+  SELECT video_id, CAST(greatest(0, floor("start" - {before})) AS INTEGER) AS start_sec, CAST(least((SELECT n FROM span), ceil("end" + {after})) AS INTEGER) AS end_sec,
     '{label}' AS label, {_group(group)} AS rule_name, {conf}::DOUBLE AS confidence, {rank} AS rule_rank, CAST(pos AS BIGINT) AS ord
   FROM txt WHERE {_group(group)} IS NOT NULL AND video_id IN (SELECT video_id FROM users)
 )"""
@@ -108,7 +108,8 @@ def _represent(spans: str, key: str, dst: str, chars: int) -> str:
 CTES = [
     """ev AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS pos, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS INTEGER) AS t, event_type, value FROM events)""",
     "users AS (SELECT DISTINCT video_id FROM ev)",
-    "spine AS (SELECT video_id, CAST(r.t AS INTEGER) AS t FROM users, range(0, 720) r(t))",
+    "span AS (SELECT CAST(max(t) + 1 AS INTEGER) AS n FROM ev)",
+    "spine AS (SELECT video_id, CAST(unnest(range(n)) AS INTEGER) AS t FROM users, span)",
     """newest AS (SELECT video_id, t, arg_max(event_type, pos) AS event_type, arg_max(value, pos) AS value FROM ev GROUP BY video_id, t)""",
     f"""av AS (SELECT s.video_id, s.t,
     CASE WHEN n.event_type IN ('view', 'click', 'signup') THEN 1 ELSE 0 END AS is_speech, coalesce(floor(n.value) / 1024, 0) AS rms_energy,
@@ -123,7 +124,7 @@ CTES = [
     "units AS (SELECT video_id, id, list_transform(embedding, lambda x: x / n) AS unit FROM (SELECT *, CASE WHEN list_dot_product(embedding, embedding) = 0 THEN 1 ELSE sqrt(list_dot_product(embedding, embedding)) END AS n FROM vec))",
     f"""txt AS (SELECT s.*, round(list_cosine_similarity(v.embedding, lead(v.embedding) OVER (PARTITION BY s.video_id ORDER BY s.pos)) * 1048576) / 1048576 AS similarity_to_next,
     list_filter([{_KEYWORDS}], lambda m: m IS NOT NULL) AS matched_keywords FROM sent s LEFT JOIN vec v USING (video_id, id))""",
-    """touched AS (SELECT video_id, unnest(range(CAST(greatest(0, floor("start")) AS INTEGER), CAST(least(720, ceil("end")) AS INTEGER))) AS t, pos, id, similarity_to_next
+    """touched AS (SELECT video_id, unnest(range(CAST(greatest(0, floor("start")) AS INTEGER), CAST(least((SELECT n FROM span), ceil("end")) AS INTEGER))) AS t, pos, id, similarity_to_next
   FROM txt WHERE video_id IN (SELECT video_id FROM users))""",
     """spoken AS (SELECT video_id, t, arg_max(id, pos) AS id, arg_max(similarity_to_next, pos) FILTER (WHERE similarity_to_next IS NOT NULL) AS sim FROM touched GROUP BY video_id, t)""",
     """grid AS (SELECT a.*, s.sim AS text_sim_to_next, CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS has_text, CAST(coalesce(s.id, -1) AS INTEGER) AS text_sentence_id
@@ -135,13 +136,13 @@ CTES = [
     _window("kw_promo", "self_promo", "self_promotion", 5, 5, 0.75, 3),
     _window("kw_recap", "recap", "recap", 5, 30, 0.7, 4),
     f"""kw_intro AS (
-  SELECT video_id, 0 AS start_sec, CAST(least(720, ceil("end" + 10)) AS INTEGER) AS end_sec, 'intro' AS label, rule_name, 0.7::DOUBLE AS confidence, 5 AS rule_rank, CAST(pos AS BIGINT) AS ord FROM (
+  SELECT video_id, 0 AS start_sec, CAST(least((SELECT n FROM span), ceil("end" + 10)) AS INTEGER) AS end_sec, 'intro' AS label, rule_name, 0.7::DOUBLE AS confidence, 5 AS rule_rank, CAST(pos AS BIGINT) AS ord FROM (
     SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM (
       SELECT *, {_group("intro")} AS rule_name, max("start" > 90) OVER (PARTITION BY video_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS late FROM txt WHERE video_id IN (SELECT video_id FROM users)
     ) WHERE NOT late AND rule_name IS NOT NULL) WHERE k = 1
 )""",
     f"""kw_outro AS (
-  SELECT video_id, CAST(greatest(0, floor("start" - 5)) AS INTEGER) AS start_sec, 720 AS end_sec, 'outro' AS label, rule_name, 0.8::DOUBLE AS confidence, 6 AS rule_rank, CAST(pos AS BIGINT) AS ord FROM (
+  SELECT video_id, CAST(greatest(0, floor("start" - 5)) AS INTEGER) AS start_sec, (SELECT n FROM span) AS end_sec, 'outro' AS label, rule_name, 0.8::DOUBLE AS confidence, 6 AS rule_rank, CAST(pos AS BIGINT) AS ord FROM (
     SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM (
       SELECT *, {_group("outro")} AS rule_name FROM txt WHERE "end" >= 630 AND video_id IN (SELECT video_id FROM users)
     ) WHERE rule_name IS NOT NULL) WHERE k = 1
@@ -159,11 +160,11 @@ CTES = [
     """flips AS (SELECT video_id, t, 'speech' AS kind FROM lagged WHERE is_speech <> speech_before UNION ALL SELECT video_id, t, 'music' FROM lagged WHERE is_music <> music_before)""",
     "lows AS (SELECT video_id, t + 1 AS t FROM grid WHERE text_sim_to_next < 0.35)",
     """cand AS (SELECT DISTINCT video_id, CAST(t AS INTEGER) AS t FROM (SELECT video_id, t FROM grid WHERE is_hard_cut = 1 UNION ALL SELECT video_id, t FROM shifts UNION ALL SELECT video_id, t FROM flips
-  UNION ALL SELECT video_id, t FROM lows UNION ALL SELECT video_id, 0 FROM users UNION ALL SELECT video_id, 720 FROM users))""",
+  UNION ALL SELECT video_id, t FROM lows UNION ALL SELECT video_id, 0 FROM users UNION ALL SELECT video_id, (SELECT n FROM span) FROM users))""",
     """kept AS (
   SELECT video_id, cs, cs[1] AS b FROM (SELECT video_id, list(t ORDER BY t) AS cs FROM cand GROUP BY video_id)
   UNION ALL SELECT video_id, cs, list_filter(cs, lambda x: x >= b + 3)[1] FROM kept WHERE cs[-1] >= b + 3)""",
-    "bounds AS (SELECT DISTINCT video_id, b FROM (SELECT video_id, b FROM kept UNION ALL SELECT video_id, 720 FROM users))",
+    "bounds AS (SELECT DISTINCT video_id, b FROM (SELECT video_id, b FROM kept UNION ALL SELECT video_id, (SELECT n FROM span) FROM users))",
     """seg AS (SELECT * FROM (SELECT video_id, CAST(row_number() OVER w - 1 AS INTEGER) AS segment_id, b AS start_sec, lead(b) OVER w AS end_sec FROM bounds WINDOW w AS (PARTITION BY video_id ORDER BY b)) WHERE end_sec > start_sec)""",
     """means AS (SELECT s.video_id, s.segment_id, avg(is_speech) AS is_speech, avg(rms_energy) AS rms_energy, avg(is_music) AS is_music, avg(hist_diff) AS hist_diff, avg(is_hard_cut) AS is_hard_cut,
     avg(has_text) AS has_text, coalesce(avg(text_sim_to_next), 0) AS text_sim_to_next FROM seg s JOIN grid g ON g.video_id = s.video_id AND g.t >= s.start_sec AND g.t < s.end_sec GROUP BY ALL)""",
@@ -257,7 +258,7 @@ SELECTS |= {
     "documents": """SELECT video_id, concat(video_id, '.mp4') AS filename, '0.4.0' AS analysis_version, CAST(count(*) AS INTEGER) AS n_segments,
     CAST((SELECT count(*) FROM spans p WHERE p.video_id = s.video_id) AS INTEGER) AS n_chapters, CAST(count(*) FILTER (WHERE label <> 'core_content') AS INTEGER) AS n_skip FROM smoothed s GROUP BY video_id""",
     "unknown_keys": "SELECT event_id, coalesce(list_aggregate(list_filter(json_keys(props), lambda k: k NOT IN ('id', 'value')), 'string_agg', ','), '') AS unknown FROM events",
-    "timeline": "SELECT video_id, segment_id, round((end_sec - start_sec) / 720 * 100, 6) AS width FROM smoothed",
+    "timeline": "SELECT video_id, segment_id, round((end_sec - start_sec) / (SELECT n FROM span) * 100, 6) AS width FROM smoothed",
     "safe_stems": r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(CASE WHEN regexp_matches(n, '.\.[^.]*$') THEN regexp_replace(n, '\.[^.]*$', '') ELSE n END, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'video') AS stem
   FROM (SELECT page_id, regexp_replace(url, '^.*/', '') AS n FROM pages)""",
     "free_names": """SELECT stem, CASE WHEN EXISTS (SELECT 1 FROM taken WHERE name = stem) THEN concat(stem, '_', (SELECT min(k) FROM range(2, 30) r(k) WHERE concat(stem, '_', k) NOT IN (SELECT name FROM taken))) ELSE stem END AS name
@@ -276,10 +277,9 @@ SELECTS |= {
   SELECT video_id, id, list(x ORDER BY d) AS mean FROM (
     SELECT v.video_id, v.id, d, avg(o.embedding[d]) AS x FROM vec v JOIN vec o ON o.video_id = v.video_id AND abs(o.id - v.id) BETWEEN 3 AND 15, range(1, 65) r(d) GROUP BY ALL) GROUP BY ALL) m USING (video_id, id) GROUP BY ALL""",
 }
-_SCENE_LIST = f"[{_LABELS}]"
 _FEATURE_MEANS = ", ".join(f"avg({c}) AS {c}" for c in ("is_speech", "rms_energy", "is_music", "hist_diff", "is_hard_cut", "has_text", "text_sim_to_next"))
 _SCENE_MEANS = ", ".join(f"avg(scene[{k + 1}]) AS scene_{k}" for k in range(len(adapters.SCENES)))
-SELECTS["segment_features"] = f"""SELECT s.video_id, s.segment_id, {_FEATURE_MEANS}, {_SCENE_MEANS}, CAST(s.end_sec - s.start_sec AS DOUBLE) AS seconds, (s.start_sec + s.end_sec) / 2 / 720 AS place
+SELECTS["segment_features"] = f"""SELECT s.video_id, s.segment_id, {_FEATURE_MEANS}, {_SCENE_MEANS}, CAST(s.end_sec - s.start_sec AS DOUBLE) AS seconds, (s.start_sec + s.end_sec) / 2 / (SELECT n FROM span) AS place
   FROM seg s JOIN grid g ON g.video_id = s.video_id AND g.t >= s.start_sec AND g.t < s.end_sec GROUP BY s.video_id, s.segment_id, s.start_sec, s.end_sec"""
 SELECTS |= {
     "document_segments": """SELECT video_id, segment_id, start_sec, end_sec, label, confidence, coalesce(r.text, '') AS summary, false AS user_corrected,
@@ -290,10 +290,10 @@ SELECTS |= {
     "broken_segments": """SELECT video_id, pos AS segment_id, CASE event_type WHEN 'view' THEN 'core_content' WHEN 'click' THEN 'intro' WHEN 'purchase' THEN 'sponsorship' ELSE event_type END AS label
   FROM ev WHERE event_type NOT IN ('view', 'click', 'purchase') OR value / 100 NOT BETWEEN 0 AND 1""",
     "point_get": "SELECT video_id, pos, text FROM sent WHERE video_id = '1'",
-    "replaced_documents": """SELECT video_id, concat(video_id, '.mp4') AS filename, round(coalesce(n, 720), 6) AS duration_sec, n IS NOT NULL AS verified_by_human
+    "replaced_documents": """SELECT video_id, concat(video_id, '.mp4') AS filename, round(coalesce(n, (SELECT n FROM span)), 6) AS duration_sec, n IS NOT NULL AS verified_by_human
   FROM users LEFT JOIN (SELECT video_id, max("end") AS n FROM sent GROUP BY video_id) USING (video_id)""",
-    "list_labels": """SELECT video_id, concat(video_id, '.mp4 (720.0s)', CASE WHEN video_id IN (SELECT video_id FROM sent) THEN ' ✓' ELSE '' END) AS label FROM users""",
-    "scene_map": f"""SELECT vec_id, {_SCENE_LIST}[CAST(d AS INTEGER)] AS scene, round(exp(embedding[d]::DOUBLE) / list_sum(list_transform(embedding[1:5], lambda x: exp(x::DOUBLE))), 6) AS prob FROM embeddings, range(1, 6) r(d)""",
+    "list_labels": """SELECT video_id, concat(video_id, '.mp4 (', (SELECT n FROM span), '.0s)', CASE WHEN video_id IN (SELECT video_id FROM sent) THEN ' ✓' ELSE '' END) AS label FROM users""",
+    "scene_map": """SELECT vec_id, concat('scene ', d) AS scene, round(exp(embedding[d]::DOUBLE) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))), 6) AS prob FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings)""",
     "ocr_gate": """SELECT video_id, t, last_value(CASE WHEN t % 3 = 0 AND NOT (mean < 10 AND variance < 50) THEN commercial END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t) AS commercial FROM (
   SELECT video_id, t, avg(value) AS mean, var_pop(value) AS variance, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS commercial FROM ev GROUP BY video_id, t)""",
     "ad_block": """SELECT * FROM (SELECT r.video_id, r.start_sec, r.end_sec, CASE WHEN bool_or(g.is_hard_cut = 1 AND abs(g.t - r.start_sec) <= 3) AND bool_or(g.is_hard_cut = 1 AND abs(g.t - r.end_sec) <= 3) THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence

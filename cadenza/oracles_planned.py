@@ -18,7 +18,7 @@ def _drift(src: str, size: int, dst: str) -> str:
 
 
 _SECONDS = f"""ev AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS pos, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS INTEGER) AS t, event_type, value FROM events),
-spine AS (SELECT video_id, CAST(r.t AS INTEGER) AS t FROM (SELECT video_id, max(t) AS last FROM ev GROUP BY video_id), range(0, 720) AS r(t)),
+spine AS (SELECT video_id, CAST(unnest(range((SELECT max(t) + 1 FROM ev))) AS INTEGER) AS t FROM (SELECT DISTINCT video_id FROM ev)),
 newest AS (SELECT video_id, t, arg_max(event_type, pos) AS event_type, arg_max(value, pos) AS value FROM ev GROUP BY video_id, t),
 av AS (SELECT s.video_id, s.t, CASE WHEN n.event_type = 'purchase' THEN 1 ELSE 0 END AS is_music, coalesce(n.value > 150, false) AS cut,
   [coalesce(floor(n.value) / 1024, 0) + 0.0625::DOUBLE, coalesce(n.value * 10, 0) / 1000, coalesce(n.value / 2000, 0) * 4, CASE WHEN n.event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END] AS sound,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from cadenza.config import Config
 from cadenza.functions.expressions import cosine, matched_keywords
 
-SECONDS = 720
 #: Scene labels in order, and the event types that stand for them.
 SCENES = (("person talking", "view"), ("presentation slide", "click"), ("advertisement", "purchase"), ("blank screen", "error"), ("title card", "signup"))
 #: Phrases that occur in the synthetic prose, in place of those of real recordings.
@@ -38,7 +37,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("video_id").distinct().withColumn("duration_sec", F.lit(float(SECONDS)))
+    """All recordings are as long as the last hour of any event."""
+    length = events(spark, sf_dir).agg((F.max("t") + 1).cast("double")).scalar()
+    return events(spark, sf_dir).select("video_id").distinct().withColumn("duration_sec", F.coalesce(length, F.lit(0.0)))
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
