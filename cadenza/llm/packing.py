@@ -25,7 +25,7 @@ from cadenza.llm.tokens import WordMemo, in_chunks, vocabulary
 
 OPEN_BINS = 64
 #: Pieces between white space are more than words.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 350_000
 #: Python's str.split takes these for white space, Unicode's property doesn't.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"\p{White_Space}+")
