@@ -73,7 +73,7 @@ power AS (SELECT video_id, t, k, pow(sum(x * cos(2 * pi() * (k * place % 2048) /
 loud AS (SELECT video_id, t, b, 10 * log10(greatest(1e-10, sum(p * w))) AS db FROM power JOIN weights USING (k) GROUP BY ALL),
 bands AS (SELECT video_id, t, b, coalesce(db, -100) AS db FROM (SELECT video_id, t, b FROM vec, range(0, 128) AS r(b)) LEFT JOIN loud USING (video_id, t, b)),
 clipped AS (SELECT video_id, t, b, greatest(db, max(db) OVER (PARTITION BY video_id, t) - 80) AS db FROM bands)
-SELECT video_id, t, CAST(k AS INTEGER) AS k, round(v * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 128.0::DOUBLE), 4) AS value
+SELECT video_id, t, CAST(k AS INTEGER) AS k, round_even(v * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 128.0::DOUBLE), 4) AS value
 FROM (SELECT video_id, t, k, sum(db * cos(pi() * k * (2 * b + 1) / 256)) AS v FROM clipped, range(0, 20) AS q(k) GROUP BY video_id, t, k)""",
     "sound_features": f"""WITH {_VEC},
 frames AS (SELECT video_id, t, f, j, CASE WHEN 32 * f + j BETWEEN 32 AND 95 THEN s[32 * f + j - 31] ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS x FROM vec, range(0, 3) AS q(f), range(0, 64) AS r(j)),
@@ -84,7 +84,7 @@ centre AS (SELECT *, sum(k * p) OVER (PARTITION BY video_id, t) AS c FROM share)
 spectral AS (SELECT video_id, t, any_value(c) AS c, sqrt(sum(pow(k - c, 2) * p)) AS b, -sum(p * log2(p + 1e-12)) AS e FROM centre GROUP BY ALL),
 padded AS (SELECT video_id, t, list_concat(list_transform(range(1024), lambda i: s[1] < 0), list_transform(s, lambda x: x < 0), list_transform(range(1024), lambda i: s[n] < 0)) AS g FROM vec),
 crossing AS (SELECT video_id, t, avg(len(list_filter(range(32 * f + 2, 32 * f + 2049), lambda i: g[i] <> g[i - 1])) / 2048) AS z FROM padded, range(0, 3) AS q(f) GROUP BY ALL)
-SELECT video_id, t, round(sqrt(list_dot_product(s, s) / n), 6) AS rms_energy, round(c, 2) AS spectral_centroid, round(b, 2) AS spectral_bandwidth, round(z, 6) AS zero_crossing_rate, round(e, 4) AS spectral_entropy
+SELECT video_id, t, round_even(sqrt(list_dot_product(s, s) / n), 6) AS rms_energy, round_even(c, 2) AS spectral_centroid, round_even(b, 2) AS spectral_bandwidth, round_even(z, 6) AS zero_crossing_rate, round_even(e, 4) AS spectral_entropy
 FROM vec JOIN spectral USING (video_id, t) JOIN crossing USING (video_id, t)""",
     "frame_features": f"""WITH {_VEC},
 pixels AS (SELECT video_id, t, i - 1 AS i, CAST(least(255, greatest(0, round(s[i] * 100 + 128))) AS BIGINT) AS p FROM vec, range(1, 65) AS r(i)),
@@ -93,7 +93,7 @@ frames AS (SELECT *, lag(h) OVER w AS before, lag(ps) OVER w AS earlier FROM (SE
   JOIN (SELECT video_id, t, list(p ORDER BY i) AS ps, sum(p) / 64 AS mean, sum(p * p) / 64 AS square FROM pixels GROUP BY ALL) USING (video_id, t) WINDOW w AS (PARTITION BY video_id ORDER BY t)),
 detail AS (SELECT video_id, t, sum(c * c) / 4096 AS e FROM (
   SELECT video_id, t, u, v, sum(p * cos((2 * (i // 8) + 1) * u * pi() / 16) * cos((2 * (i % 8) + 1) * v * pi() / 16)) / 4 AS c FROM pixels, range(4, 8) AS q(u), range(4, 8) AS r(v) GROUP BY ALL) GROUP BY ALL),
-told AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE round(greatest(0, 1 - (list_dot_product(h, before) - 8) / sqrt((list_dot_product(h, h) - 8) * (list_dot_product(before, before) - 8))), 6) END AS d FROM frames JOIN detail USING (video_id, t))
+told AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE round_even(greatest(0, 1 - (list_dot_product(h, before) - 8) / sqrt((list_dot_product(h, h) - 8) * (list_dot_product(before, before) - 8))), 6) END AS d FROM frames JOIN detail USING (video_id, t))
 SELECT video_id, t AS frame_index, CAST(t AS DOUBLE) AS timestamp_sec, d AS hist_diff_to_previous, d > 0.6 AS is_hard_cut, mean AS mean_luminance, square - mean * mean AS luminance_variance,
   mean < 10 AND square - mean * mean < 50 AS is_black_frame, CASE WHEN earlier IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: abs(ps[i] - earlier[i]))) / 64 END AS motion_intensity,
   0.0::DOUBLE AS chroma_diff, round(e, 6) AS dct_hf_energy FROM told""",
