@@ -32,13 +32,14 @@ def unique_events(events: DataFrame, late: str = "10 seconds") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
-def thinned(candidates: DataFrame, min_gap: int = 3, idle: str = "1 day") -> DataFrame:
+def thinned(candidates: DataFrame, min_gap: int = 3, idle: str | None = None) -> DataFrame:
     """Streamed candidates (video_id, t), thinned as they come: kept if far enough from the last kept one of the recording.
 
-    State is one number for each recording; candidates of a batch are taken in order, earlier ones that come late are dropped. A
-    recording without candidates for ``idle`` is forgotten, so state ends; one that comes again begins anew.
+    State is one number for each recording; candidates of a batch are taken in order, earlier ones that come late are dropped.
+    With ``idle`` ("1 day") a recording without candidates for so long is forgotten, and one that comes again begins anew, so state
+    doesn't grow for ever. That is by the clock, for streams that run on: one that ends with its input would wait for it.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,7 +54,8 @@ def thinned(candidates: DataFrame, min_gap: int = 3, idle: str = "1 day") -> Dat
                 last = t
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"video_id": [key[0]] * len(kept), "t": kept})
 
-    return candidates.groupBy("video_id").applyInPandasWithState(step, "video_id string, t int", "last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return candidates.groupBy("video_id").applyInPandasWithState(step, "video_id string, t int", "last int", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 import wave
 
 import numpy as np
@@ -91,6 +92,28 @@ def test_thinned_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("thin").collect()) == [("v", 0), ("v", 3), ("v", 9), ("w", 2)]
 
 
+def test_thinned_stream_forgets(spark, tmp_path):
+    """A recording that was idle for a moment begins anew, so its next candidate is kept however near it is."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    spark.createDataFrame([("v", 5)], "video_id string, t int").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("video_id string, t int").parquet(str(folder))
+    q = live.thinned(stream, idle="1 second").writeStream.outputMode("append").format("memory").queryName("forgetful").start()
+    try:
+        until = dt.datetime.now() + dt.timedelta(seconds=90)
+        while spark.table("forgetful").count() < 1 and dt.datetime.now() < until:
+            time.sleep(0.5)
+        states = lambda: (q.lastProgress or {}).get("stateOperators", [{}])[0].get("numRowsTotal")
+        while states() != 0 and dt.datetime.now() < until:
+            time.sleep(0.5)
+        spark.createDataFrame([("v", 6)], "video_id string, t int").coalesce(1).write.mode("append").parquet(str(folder))
+        while spark.table("forgetful").count() < 2 and dt.datetime.now() < until:
+            time.sleep(0.5)
+        assert sorted(r["t"] for r in spark.table("forgetful").collect()) == [5, 6]
+    finally:
+        q.stop()
+
+
 def test_segmenting_files(spark, tmp_path):
     root = tmp_path / "workspaces"
     for name, spoken in (("talk", True), ("mute", False), ("unfinished", False)):
