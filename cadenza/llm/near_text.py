@@ -24,6 +24,7 @@ from cadenza.llm.components import components
 from cadenza.llm.joins import looked_up
 from cadenza.llm.lineage import bounded_batches, written
 from cadenza.llm.shingles import CELLS, cells, idf, shingles, weighted_samples
+from cadenza.llm.tokens import release
 from cadenza.llm.totals import slices, summed
 
 THRESHOLD, BANDS, ROWS = 0.8, 7, 3
@@ -36,6 +37,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         total = np.zeros(CELLS + 1)  # the last number counts the documents
         for pdf in batches:
             total[CELLS] += len(pdf)
@@ -97,6 +99,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         w = weight.value
         for pdf in batches:
             keys: dict[bytes, np.ndarray | None] = {None: None}
@@ -107,6 +110,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "keys": [keys[n] for n in pdf["node"].tolist()]})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             sets = [shingles(t) for t in pdf["text"].tolist()]
             counts = [b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c in sets]

@@ -8,7 +8,6 @@ at a partition's end is packed once more, bin by bin, among neighbouring partiti
 
 from __future__ import annotations
 
-import functools
 import itertools
 import unicodedata
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.lineage import bounded_batches, written
-from cadenza.llm.tokens import WordMemo, in_chunks, vocabulary
+from cadenza.llm.tokens import WordMemo, held, in_chunks, vocabulary
 
 OPEN_BINS = 64
 #: Pieces between white space are more than words.
@@ -104,7 +103,7 @@ class WordEncoder:
         return out
 
 
-@functools.cache
+@held
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import itertools
 import os
 from collections.abc import Callable, Iterable
@@ -52,3 +54,21 @@ def in_chunks(items: list, weight: Callable, most: int = 4_000_000):
         total += weight(x)
     if part:
         yield part
+
+
+#: What workers hold from task to task, by the function that made it.
+_HELD: list = []
+
+
+def held(make: Callable) -> Callable:
+    """``make``, whose results a worker keeps for its next tasks, until ``release``."""
+    kept = functools.cache(make)
+    _HELD.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Gives back what this worker holds for other operators, before one that needs the memory itself."""
+    for kept in _HELD:
+        kept.cache_clear()
+    gc.collect()
