@@ -185,3 +185,19 @@ def test_collocations_are_those_of_plain_counters(spark):
 
 def test_no_collocations(spark):
     assert mined(spark, []) == [] and mined(spark, [("en", None), (None, "a b c"), ("en", "... \n")]) == []
+
+
+def test_held_results_are_given_back():
+    from cadenza.llm.tokens import held, release
+
+    made = []
+
+    @held
+    def make(name):
+        made.append(name)
+        return object()
+
+    first = make("a")
+    assert make("a") is first and made == ["a"]
+    release()
+    assert make("a") is not first and made == ["a", "a"]
