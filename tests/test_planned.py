@@ -123,3 +123,23 @@ def test_drifts(spark):
     either = planned.either_drift(flat, late)
     assert [tuple(r) for r in planned.ad_block(either.join(marks, ["video_id", "t"])).collect()] == [("v", 2, 13, 0.9)]
     assert not planned.ad_block(flat.join(marks, ["video_id", "t"])).collect()
+
+
+def test_drift_of_known_size_equals_gathered_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [("a", t, [float(x) for x in rng.normal(size=3)]) for t in [*range(0, 40), *range(47, 60), 80]] + [("b", 0, [1.0, 0.0, 0.0]), ("c", 0, None), ("c", 3, [0.0, 0.0, 0.0]), ("c", 6, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "video_id string, t int, vector array<double>")
+    expected = {(r["video_id"], r["t"]): r["drift"] for r in planned.style_drift(df).collect()}
+    got = {(r["video_id"], r["t"]): r["drift"] for r in planned.with_drift(df, "drift", F.col("vector"), 3).collect()}
+    assert got.keys() == expected.keys()
+    assert all((got[k] is None) == (expected[k] is None) and (got[k] is None or abs(got[k] - expected[k]) < 1e-12) for k in got)
+
+
+def test_blocks_are_told_by_windows_alone(spark):
+    """No join: a broadcast of the grid's seconds went through the driver."""
+    grid = spark.createDataFrame([(v, t, 0.5 if 5 <= t < 16 else 0.0, int(t == 9), int(t in cuts)) for v, cuts in (("both", (2, 18)), ("first", (2, 20)), ("late", (1, 19))) for t in range(30)], "video_id string, t int, drift double, commercial int, is_hard_cut int")
+    found = planned.ad_block(grid)
+    assert sorted(tuple(r) for r in found.collect()) == [("both", 5, 16, 0.9), ("first", 5, 16, 0.7), ("late", 5, 16, 0.7)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
