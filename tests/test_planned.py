@@ -143,3 +143,19 @@ def test_blocks_are_told_by_windows_alone(spark):
     found = planned.ad_block(grid)
     assert sorted(tuple(r) for r in found.collect()) == [("both", 5, 16, 0.9), ("first", 5, 16, 0.7), ("late", 5, 16, 0.7)]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_grow_with_the_seconds(spark, monkeypatch):
+    from cadenza.operators import align
+    from cadenza.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    durations = spark.createDataFrame([(str(v), 90.0) for v in range(20)], "video_id string, duration_sec double")
+    visual = spark.createDataFrame([(str(v), v, v + 0.5, 0.0, False, {"a": 0.5}) for v in range(20)], "video_id string, pos int, timestamp_sec double, hist_diff_to_previous double, is_hard_cut boolean, clip_labels map<string,double>")
+    try:
+        grid = align.build_grid(durations, visual=visual)
+        assert "hashpartitioning(video_id" in (plan := grid._jdf.queryExecution().executedPlan().toString()) and ", 19), REPARTITION_BY_NUM" in plan
+        assert grid.count() == 1800 and grid.filter("size(scene) = 1 and scene[0] = 0.5").count() == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
