@@ -159,3 +159,20 @@ def test_partitions_grow_with_the_seconds(spark, monkeypatch):
         assert grid.count() == 1800 and grid.filter("size(scene) = 1 and scene[0] = 0.5").count() == 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rounds_of_tables_find_the_same_matches(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 8))
+    rows = [(f"v{k}", t, [float(x) for x in base[t] + rng.normal(size=8) * 0.05]) for k in range(4) for t in range(12)]
+    df = spark.createDataFrame(rows, "video_id string, t int, vector array<double>")
+    kept_tables = []
+    monkeypatch.setattr(episodes, "kept", lambda d, *by, real=episodes.kept: kept_tables.append(d) or real(d, *by))
+    told = []
+    for size in (1000, 4):
+        monkeypatch.setattr(episodes, "ROUND", size)
+        kept_tables.clear()
+        told.append((sorted(tuple(r) for r in episodes.matches(df, threshold=0.95, best=5).collect()), len(kept_tables)))
+    assert told[0][0] == told[1][0] and told[0][0]
+    assert told[0][1] == 3 and told[1][1] > 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
