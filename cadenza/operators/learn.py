@@ -15,7 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.classify import KEY, MEANS, inside
+from cadenza.operators.align import until
+from cadenza.operators.classify import KEY, MEANS, inside, mean
 
 #: Of this many recordings one is held out.
 FOLDS = 5
@@ -43,11 +44,11 @@ def segment_features(grid: DataFrame, segment: DataFrame, features: Features) ->
     One pass over the seconds. A scene vector of fewer scenes counts as zero in the others, and a similarity that is never
     known as null.
     """
-    scenes = [F.avg(F.coalesce(F.get("scene", F.lit(k)), F.lit(0.0))).alias(f"scene_{k}") for k in range(features.scenes)]
-    means = [F.avg(F.col(c).cast("double")).alias(c) for c in [*MEANS, "text_sim_to_next"]]
-    length = grid.groupBy("video_id").agg(F.max("t").alias("last"))
-    found = inside(grid, segment).groupBy(*KEY).agg(*means, *scenes).join(segment.select(*KEY, "start_sec", "end_sec"), KEY).join(length, "video_id")
-    place = (F.col("start_sec") + F.col("end_sec")) / 2 / (F.col("last") + 1)
+    scenes = [mean(F.coalesce(F.get("scene", F.lit(k)), F.lit(0.0))).alias(f"scene_{k}") for k in range(features.scenes)]
+    means = [mean(F.col(c)).alias(c) for c in [*MEANS, "text_sim_to_next"]]
+    length = grid.groupBy("video_id").agg(F.max(until(grid)).alias("length"))
+    found = inside(grid, segment).groupBy(*KEY, "start_sec", "end_sec").agg(*means, *scenes).join(length, "video_id")
+    place = (F.col("start_sec") + F.col("end_sec")) / 2 / F.col("length")
     return found.withColumns({"seconds": (F.col("end_sec") - F.col("start_sec")).cast("double"), "place": place}).select(*KEY, "start_sec", *features.names)
 
 

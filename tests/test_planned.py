@@ -176,3 +176,61 @@ def test_rounds_of_tables_find_the_same_matches(spark, monkeypatch):
     assert told[0][0] == told[1][0] and told[0][0]
     assert told[0][1] == 3 and told[1][1] > 3
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def sources(spark):
+    """Durations, and few rows of sound, pictures and text for long recordings."""
+    durations = spark.createDataFrame([("v", 4000.0), ("w", 7.5), ("none", 0.0), ("silent", 30.0)], "video_id string, duration_sec double")
+    heard = [("v", 0, 3.2, True, "speech"), ("v", 1, 3.9, False, "music"), ("v", 2, 4.0, True, "speech"), ("v", 3, 700.5, True, "music"), ("w", 4, 6.0, True, "speech"), ("w", 5, 99.0, True, "speech")]
+    audio = spark.createDataFrame([(v, p, s, s + 1, x, 0.25 * p, 2.0 * p, 1.0, 0.5, 0.0, c) for v, p, s, x, c in heard], "video_id string, pos long, start double, end double, is_speech boolean, rms_energy double, spectral_centroid double, spectral_bandwidth double, zero_crossing_rate double, spectral_entropy double, audio_class string")
+    seen = [("v", 0, 5.5, False, {"a": 0.75, "b": 0.25}), ("v", 1, 700.0, True, {"b": 0.5}), ("v", 2, 701.0, False, {"a": 0.75, "b": 0.25}), ("w", 3, 0.0, True, {"a": 1.0})]
+    visual = spark.createDataFrame([(v, p, s, 0.5 * p, c, m) for v, p, s, c, m in seen], "video_id string, pos long, timestamp_sec double, hist_diff_to_previous double, is_hard_cut boolean, clip_labels map<string,double>")
+    said = [("v", 0, 10.0, 14.5, 0.25), ("v", 1, 14.5, 15.0, None), ("w", 0, 5.0, 9.0, 0.125)]
+    text = spark.createDataFrame([(v, p, p, s, e, "t", x) for v, p, s, e, x in said], "video_id string, pos int, id int, start double, end double, text string, similarity_to_next double")
+    return durations, audio, visual, text
+
+
+def test_stretches_stand_for_their_seconds(spark):
+    """Few rows for long recordings, and the same runs, boundaries, means and features as of single seconds."""
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import align, boundaries, classify, learn, runs
+
+    durations, audio, visual, text = sources(spark)
+    seconds, stretches = (f(durations, audio, visual, text).cache() for f in (align.build_grid, align.build_stretches))
+    assert seconds.count() == 4038 and stretches.count() < 40
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(stretches.withColumn("t", F.explode(F.sequence("t", F.col("until") - 1))).drop("until")) == rows(seconds)
+    repeated = stretches.withColumn("is_hard_cut", F.lit(1)).withColumn("text_sim_to_next", F.lit(0.0))  # what stretches of the grid itself never hold
+    for a, b in ((seconds, stretches), (seconds.withColumns({"is_hard_cut": F.lit(1), "text_sim_to_next": F.lit(0.0)}), repeated)):
+        assert rows(boundaries.candidates(a)) == rows(boundaries.candidates(b))
+    for holds, least, gap in ((F.col("is_speech") == 0, 3, 0), (F.col("is_speech") == 0, 3, 2), (F.col("is_music") == 1, 1, 700)):
+        assert rows(runs.runs(seconds, holds, least, gap)) == rows(runs.runs(stretches, holds, least, gap))
+    segment = spark.createDataFrame([("v", 0, 0, 3), ("v", 1, 3, 600), ("v", 2, 600, 700), ("v", 4, 701, 3999), ("w", 0, 2, 8), ("silent", 0, 4, 29)], "video_id string, segment_id int, start_sec int, end_sec int")
+    labels = align.scene_labels(visual)
+    steps = [
+        lambda g: classify.segment_means(g, segment),
+        lambda g: classify.scene_means(g, segment),
+        lambda g: classify.profile(g, segment, labels),
+        lambda g: learn.segment_features(g, segment, learn.Features(2)),
+        lambda g: classify.inside(g, segment).groupBy("video_id", "segment_id").agg(F.sum("n")),
+    ]
+    for step in steps:
+        assert rows(step(seconds)) == rows(step(stretches))
+
+
+def test_later_plans_keep_how_a_fixed_table_is_dealt_out(spark):
+    """An adaptive plan forgets it; seconds were shuffled again, into partitions as large as 64 MB compressed."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cadenza.sources.tables import kept
+
+    df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("video_id"), F.col("id").alias("t"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    table = kept(df, "video_id", "t", fixed=True)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    after = table.withColumn("before", F.lag("t").over(Window.partitionBy("video_id").orderBy("t"))).groupBy("video_id").agg(F.count("before").alias("n"))
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+    assert sorted(tuple(r) for r in after.collect()) == [(str(k), 143 - 1 if k < 6 else 142 - 1) for k in range(7)]
