@@ -234,3 +234,71 @@ def test_later_plans_keep_how_a_fixed_table_is_dealt_out(spark):
     plan = after._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort " not in plan
     assert sorted(tuple(r) for r in after.collect()) == [(str(k), 143 - 1 if k < 6 else 142 - 1) for k in range(7)]
+
+
+def test_means_of_scenes_make_no_row_for_each_scene(spark):
+    """A second became five rows and a segment five groups, which were aggregated twice."""
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import align, classify
+
+    durations, audio, visual, text = sources(spark)
+    grid, labels = align.build_stretches(durations, audio, visual, text).cache(), align.scene_labels(visual).cache()
+    segment = spark.createDataFrame([("v", 0, 0, 3), ("v", 1, 3, 600), ("w", 0, 2, 8), ("silent", 0, 4, 29)], "video_id string, segment_id int, start_sec int, end_sec int")
+    for found in (classify.profile(grid, segment, labels), classify.best_scene(classify.scene_means(grid, segment), labels)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan
+    # against the sum of every second's vector
+    seconds = {}
+    for r in align.build_grid(durations, audio, visual, text).collect():
+        seconds.setdefault(r["video_id"], {})[r["t"]] = r["scene"]
+    known = {r["video_id"]: r["labels"] for r in labels.collect()}
+    got = {(r["video_id"], r["segment_id"]): (r["prob"], r["scene"]) for r in classify.profile(grid, segment, labels).collect()}
+    assert len(got) == segment.count()
+    for r in segment.collect():
+        vectors = [v for t, v in seconds[r["video_id"]].items() if r["start_sec"] <= t < r["end_sec"]]
+        means = [round(sum(x) / len(x), 9) for x in zip(*vectors, strict=True)]
+        expected = (max(means), known[r["video_id"]][means.index(max(means))]) if means else (None, None)
+        assert got[r["video_id"], r["segment_id"]] == expected
+    # vectors of several lengths, and none at all
+    odd = spark.createDataFrame([("v", 0, [0.5]), ("v", 1, [0.5, 1.0]), ("v", 2, None)], "video_id string, t int, scene array<double>")
+    one = spark.createDataFrame([("v", 0, 0, 2), ("v", 1, 2, 3)], "video_id string, segment_id int, start_sec int, end_sec int")
+    assert [(r["segment_id"], r["probs"]) for r in classify.scene_means(odd, one).collect()] == [(0, [0.5, 1.0])]
+    assert classify.scenes_of(odd) == 2 and classify.scenes_of(odd.filter("scene is null")) == 0
+    assert classify.scene_means(odd.withColumn("scene", F.array().cast("array<double>")), one).isEmpty()
+
+
+def test_short_spans_meet_few_others(spark):
+    """Within stretches of five minutes every span of ten seconds met thirty others."""
+    from cadenza.operators.overlap import meeting
+
+    a = spark.range(600).selectExpr("'v' as video_id", "id", "id * 10 as a", "id * 10 + 10 as b")
+    pairs = meeting(a, ("a", "b"), a.selectExpr("video_id", "id as other", "a as c", "b as d"), ("c", "d"))
+    assert pairs.count() < 600 * 12
+    assert pairs.filter("c < b and a < d").count() == 600
+
+
+def test_scene_divergence_sums_a_vector_once(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from cadenza.functions.expressions import scene_divergence
+
+    told = spark.createDataFrame([([0.625, 0.25, 0.0], [0.0, 0.5, 2.0])], "p array<double>, q array<double>").select(scene_divergence(F.col("p"), F.col("q")).alias("d"))
+    p, q = ([max(1e-9, min(1.0, x)) for x in v] for v in ([0.625, 0.25, 0.0], [0.0, 0.5, 2.0]))
+    expected = sum(0.5 * (a / sum(p) - b / sum(q)) * math.log((a / sum(p)) / (b / sum(q))) for a, b in zip(p, q, strict=True))
+    assert abs(told.first()["d"] - expected) < 1e-12
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert plan.count("greatest(") == 2  # one for each vector; sums within the function of a component clipped it again for each
+
+
+def test_scene_labels_are_found_once(spark):
+    """Each recording's first frame was looked for in three plans, each with the frames read again."""
+    from cadenza.plans.fusion import Fusion
+
+    durations, audio, visual, text = sources(spark)
+    fusion = Fusion(durations, audio, visual, text)
+    assert fusion.labels.count() == visual.select("video_id").distinct().count()
+    plan = fusion.seconds._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_keys" not in plan and fusion.scenes == 2
