@@ -339,3 +339,46 @@ def test_brief_stretches_keep_their_first_candidate(spark):
                 kept.append(t)
         kept = kept if kept[-1] == seconds[-1] else [*kept, seconds[-1]]
         assert boundaries.boundaries(df, replace(DEFAULT, min_gap=gap)).first()["boundaries"] == kept
+
+
+def crowded(seed):
+    """Recordings with crowds of near and parallel vectors: in many recordings, in a single one and in copies of it, of two lengths, whole and not."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-9, 9, (3, 8)).astype(float)
+    rows = [(f"v{k % 23:02}", k, (base[k % 2] * 4 + rng.integers(-2, 3, 8)).tolist()) for k in range(240)]
+    for of in ("a", "b"):  # a recording and its copy, each with more near seconds than a list holds of it
+        rows += [(of, t, (base[2] * 3 + np.arange(8) % (2 + t % 7) * 0.25 * (t // 7 % 3)).tolist()) for t in range(60)]
+    rows += [(f"p{k % 3}", k, (base[2] * (1 + k)).tolist()) for k in range(50)]  # parallel ones
+    rows += [(f"q{k % 5}", k, [0.1 + k * 1e-4, 1e70, 1.0]) for k in range(20)]
+    return rows
+
+
+def test_crowds_are_matched_as_by_all_pairs(spark, monkeypatch):
+    rows = crowded(5)
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    for best in (2, 7):
+        expected = plain_matches(rows, 0.95, best)
+        for block, hits in ((episodes.BLOCK, 100_000), (20, 50)):  # few hits at a time, so bars rise early
+            monkeypatch.setattr(episodes, "BLOCK", block)
+            monkeypatch.setattr(episodes, "HITS", hits)
+            found = sorted(tuple(r) for r in episodes.matches(df, threshold=0.95, best=best, missed=1e-6).collect())
+            assert len(found) > 500 and [r[:4] for r in found] == [r[:4] for r in expected]
+            assert np.allclose([r[4] for r in found], [r[4] for r in expected], atol=2e-9)
+
+
+def written_by_shuffles(spark):
+    """Bytes of each stage that were shuffled, by stage."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_a_crowd_is_dealt_out_once_a_table(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-40, 40, 32)
+    rows = [(f"v{k % 400}", k, [float(x) for x in base + rng.integers(-3, 4, 32)]) for k in range(3000)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(4)
+    before = set(written_by_shuffles(spark))
+    assert episodes.matches(df, threshold=0.95, best=5, missed=1e-6).count() == 3000 * 5
+    most = max(n for stage, n in written_by_shuffles(spark).items() if stage not in before)
+    assert most < 3000 * 100 * episodes.ROUND
